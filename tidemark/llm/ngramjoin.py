@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, map_arrow, saved, slices, table
+from tidemark.llm.common import as_bytes, map_arrow, release, saved, slices, table
 
 FREQUENT = 256
 LISTED = 16
@@ -93,8 +93,8 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
         at += n
 
 
-def groups_of(texts: list[bytes], most: int = 1 << 22) -> Iterator[list[bytes]]:
-    """Runs of texts of a few MB, so that a batch of long texts is hashed piece by piece."""
+def groups_of(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Runs of texts of about a MB, so that a batch of long texts is hashed piece by piece."""
     some, size = [], 0
     for t in texts:
         some.append(t)
@@ -211,13 +211,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
     sets = saved(token_sets(docs.join(rows, "key").dropDuplicates(["node"]), width), "join-sets")
     both = close.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return saved(common.filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "join-links")
+    links = saved(common.filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "join-links")
+    release(close, sets)
+    return links
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (its component's least node) of every node of ``edges`` (a, b), by alternating large and small stars."""
+def components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, comp (its component's least node) of every node of ``edges`` (a, b), by alternating large and small stars; and
+    the saved table to release."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    before = None
+    before, last = None, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -225,13 +228,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = saved(edges, "join-stars")
+        edges = saved(small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "join-stars")
+        if last is not None:
+            release(last)
+        last = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    return edges.withColumnsRenamed({"u": "node", "v": "comp"}), last
 
 
 def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -245,19 +250,26 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     index = saved(keyed.select("node", F.explode("keys").alias("k")), "join-index")
     ends = index.groupBy("k").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("c > 1")
     met = saved(index.join(ends, "k"), "join-met")
+    release(index)
     pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").filter("a < b").distinct()
-    links = verified(pairs, nodes, docs, width, percent)
-    comp = components(links)
+    first = verified(pairs, nodes, docs, width, percent)
+    comp, stars = components(first)
     # members of one key in different components meet; a key of up to three members has met already
-    named = met.filter("c > 3").join(comp, "node", "left").select("k", "node", F.coalesce("comp", "node").alias("comp"))
+    named = saved(met.filter("c > 3").join(comp, "node", "left").select("k", "node", F.coalesce("comp", "node").alias("comp")), "join-named")
+    release(met, stars)
     apart = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k")
     open_ = saved(named.join(apart, "k", "left_semi").join(nodes.select("node", "n"), "node"), "join-open")
+    release(named)
     x, y = open_.alias("x"), open_.alias("y")
     fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     more = x.join(y, (F.col("x.k") == F.col("y.k")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = links.unionByName(verified(more, nodes, docs, width, percent))
-    comp = components(links)
-    return rows.join(comp, "node", "left").select("key", "doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
+    second = verified(more, nodes, docs, width, percent)
+    release(open_)
+    comp, stars = components(first.unionByName(second))
+    out = rows.join(comp, "node", "left").select("key", "doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
+    out = saved(out, "join-linked")
+    release(got, nodes, first, second, stars)
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -266,7 +278,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, for each row of ``docs``."""
-    linked = saved(link(keyed(docs), width, percent), "join-linked")
+    linked = link(keyed(docs), width, percent)
     least = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return linked.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -275,7 +287,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id, all columns kept.
     Rows without words stay."""
     with_key = keyed(docs)
-    linked = saved(link(with_key, width, percent), "join-linked")
+    linked = link(with_key, width, percent)
     first = linked.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("f")).select(F.col("f.key").alias("key"))
     bare = with_key.join(linked.filter("comp is null").select("key").distinct(), "key", "left_semi")
     return with_key.join(first, "key", "left_semi").dropDuplicates(["key"]).unionByName(bare).drop("key")
