@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.plans import aggregates, learning, probability, quality, relational, streams, temporal  # noqa: F401
+from tidemark.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
