@@ -1,16 +1,18 @@
 """Operator 7: exact Jaccard join of word n-gram sets by prefixes of token combinations.
 
 A token is the 64-bit hash of a shingle. Equal sets become one node. Tokens are ordered by an estimate of their frequency
-and then by hash (any order is right; the estimate only keeps candidates few). Two sets that link share at least two tokens
-within the first n - ceil(t n) + 2 of each. Tokens below ``FREQUENT`` are indexed singly; if none of those is shared, both
-shared tokens are frequent, and their pair is: combinations of two index the frequent class. Large sets would have too many
-combinations, so from ``PAIR_SIZE`` * t tokens on they index frequent tokens singly too, and from ``PAIR_SIZE`` / t on
-only so; sets on either side of a limit then still meet.
-
-Within a key no pairs are multiplied out at first: each member meets the key's least and greatest member. Candidates pass a
-lossless bound from 512-bit parity sketches and are then verified on whole sets. Verified links form components; only
-members of one key that are in different components then meet directly. Links inside a component add nothing to it, so no
-link between components is lost.
+and then by hash (any order is right; the estimate only keeps candidates few). Two sets that link with n_x <= n_y share at
+least two tokens within the first n_x - ceil(2t/(1+t) n_x) + 2 of x (its short prefix) and n_y - ceil(t n_y) + 2 of y (its
+long prefix). Tokens below ``FREQUENT`` are indexed singly; if none of those is shared, both shared tokens are frequent,
+and their pair is: combinations of two index the frequent class. Large sets would have too many combinations, so from
+``PAIR_SIZE`` * t tokens on they index frequent tokens singly too, and from ``PAIR_SIZE`` / t on only so; sets on either
+side of a limit then still meet. Keys that no short prefix has are dropped.
+
+Within a key no pairs are multiplied out at first: each member meets two members that a hash picks for the key. Candidates
+pass a lossless bound from parity sketches of as many bits as the set has tokens, and are then verified on whole sets. The
+verified links join most members of a key into few components. Only members in different components then meet, short with
+long, if what follows the key in both prefixes leaves room for enough common tokens: the first tokens that a linked pair
+shares always pass. Links inside a component add nothing to it, so no link between components is lost.
 
 Cases: null and empty texts, and texts without a word, have no shingles and link with nothing; with fewer words than the
 width the whole sequence is the one shingle; repeated rows are equal sets; ties in component ids go to the smallest
@@ -35,6 +37,7 @@ FREQUENT = 256
 LISTED = 16
 MAX_LISTED = 200_000
 PAIR_SIZE = 200
+#: Bits of a sketch at least; sets with more tokens have as many, rounded up to a power of two.
 SKETCH = 512
 CHUNK_DOCS = 4096
 SPACE = np.zeros(256, bool)
@@ -112,7 +115,9 @@ def sets_of(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
 
 
 def sketch(tokens: np.ndarray) -> list[int]:
-    return np.packbits(np.bincount(tokens & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64).tolist()
+    """The parity of each bit that tokens fall on; folding its halves together gives the sketch of half as many bits."""
+    bits = 1 << max(SKETCH.bit_length() - 1, int(max(1, len(tokens)) - 1).bit_length())
+    return np.packbits(np.bincount(tokens & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.int64).tolist()
 
 
 def read(docs: DataFrame, width: int) -> DataFrame:
@@ -147,42 +152,44 @@ def read(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("key", "doc_id", "text").mapInArrow(run, "key bigint, doc_id bigint, node bigint, n bigint, sketch array<bigint>, token bigint, times bigint")
 
 
-def overlap_needed(n: int, percent: int) -> int:
-    return -(-percent * n // 100)
-
-
-def keys_of(tokens: np.ndarray, listed: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set: see the module's text."""
+def keys_of(tokens: np.ndarray, listed: np.ndarray, times: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set and, for each, four times the number of tokens that follow it in the order, plus two for a pair
+    of tokens, plus one if it lies in the short prefix. See the module's text."""
     n = len(tokens)
     if n < 2:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.searchsorted(listed, tokens)
     at[at == len(listed)] = 0
     count = np.where(listed[at] == tokens, times[at], 0) if len(listed) else np.zeros(n, np.int64)
-    length = min(n, n - overlap_needed(n, percent) + 2)
-    order = np.lexsort((tokens, count))[:length]
-    prefix, often = tokens[order], count[order] >= FREQUENT
-    single, frequent = prefix[~often], prefix[often].view(np.uint64)
-    parts = [single]
-    if len(frequent):
-        if n >= PAIR_SIZE * percent / 100:
-            parts.append(mix(frequent + np.uint64(1)).view(np.int64))
-        if n <= PAIR_SIZE * 100 / percent and len(frequent) > 1:
-            i, j = np.array(list(combinations(range(len(frequent)), 2))).T
-            parts.append(mix(mix(frequent[i]) * np.uint64(3) + frequent[j]).view(np.int64))
-    return np.unique(np.concatenate(parts))
+    long = min(n, n + (-percent * n // 100) + 2)
+    short = min(n, n + (-2 * percent * n // (100 + percent)) + 2)
+    order = np.lexsort((tokens, count))[:long]
+    prefix, often, place = tokens[order], count[order] >= FREQUENT, np.arange(long)
+    one = ~often | (n >= PAIR_SIZE * percent / 100)
+    keys = [prefix[one]]
+    places = [place[one]]
+    pairs = [np.zeros(int(one.sum()), np.int64)]
+    at = np.flatnonzero(often)
+    if n <= PAIR_SIZE * 100 / percent and len(at) > 1:
+        i, j = at[np.array(list(combinations(range(len(at)), 2)))].T
+        frequent = prefix.view(np.uint64)
+        keys.append(mix(mix(frequent[i]) * np.uint64(3) + frequent[j]).view(np.int64))
+        places.append(j)
+        pairs.append(np.full(len(j), 2))
+    place = np.concatenate(places)
+    return np.concatenate(keys), 4 * (n - 1 - place) + np.concatenate(pairs) + (place < short)
 
 
 def postings(docs: DataFrame, width: int, percent: int, listed: np.ndarray, times: np.ndarray) -> DataFrame:
-    """key (of a row), keys (of its index)."""
+    """key (of a row), keys and marks (of its index)."""
     shared = docs.sparkSession.sparkContext.broadcast((listed, times))  # at most MAX_LISTED tokens
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         some, counts = shared.value
-        keys = [keys_of(s, some, counts, percent) for s in sets_of(as_bytes(batch.column("text")), width)]
-        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(keys, pa.list_(pa.int64()))], ["key", "keys"])
+        got = [keys_of(s, some, counts, percent) for s in sets_of(as_bytes(batch.column("text")), width)]
+        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array([k for k, _ in got], pa.list_(pa.int64())), pa.array([m.astype(np.int32) for _, m in got], pa.list_(pa.int32()))], ["key", "keys", "marks"])
 
-    return map_arrow(docs.select("key", "text"), run, "key bigint, keys array<bigint>")
+    return map_arrow(docs.select("key", "text"), run, "key bigint, keys array<bigint>, marks array<int>")
 
 
 def token_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -194,12 +201,22 @@ def token_sets(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs.select("node", "text"), run, "node bigint, tokens array<bigint>")
 
 
+def sizes_fit(percent: int) -> Column:
+    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+
+
 def may_link(percent: int) -> Column:
-    """Sizes fit, and so does the overlap that the parity sketches allow: (n_a + n_b - differing bits) / 2 at most."""
-    differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    """The overlap that the parity sketches allow, (n_a + n_b - differing bits) / 2 at most, is enough."""
+
+    def folded(x: str, other: str) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        both = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), both).otherwise(F.col(x))
+
+    bits = F.zip_with(folded("sketch_a", "sketch_b"), folded("sketch_b", "sketch_a"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
     both = F.col("n_a") + F.col("n_b")
-    most = F.floor((both - differ) / 2)
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (100 * most >= percent * (both - most))
+    most = F.floor((both - F.aggregate(bits, F.lit(0), lambda acc, x: acc + x)) / 2)
+    return F.when(sizes_fit(percent), 100 * most >= percent * (both - most)).otherwise(F.lit(False))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -216,18 +233,27 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
     return links
 
 
-def components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node, comp (its component's least node) of every node of ``edges`` (a, b), by alternating large and small stars; and
+def near_labels(links: DataFrame, hops: int = 3) -> DataFrame:
+    """node, comp: the least node within so many links. Nodes of one label are in one component, not the other way round."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    label = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+    for _ in range(hops - 1):
+        seen = both.join(label.withColumnsRenamed({"u": "v"}), "v").select("u", "m").unionByName(label)
+        label = seen.groupBy("u").agg(F.min("m").alias("m"))
+    return label.select(F.col("u").alias("node"), F.col("m").alias("comp"))
+
+
+def components(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, comp (its component's least node) of every node of ``links`` (a, b), by alternating large and small stars; and
     the saved table to release."""
-    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     before, last = None, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v")
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         edges = saved(small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "join-stars")
         if last is not None:
             release(last)
@@ -246,23 +272,29 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     rows = got.filter("node is not null")
     listed = got.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= LISTED).orderBy(F.desc("times"), "token").limit(MAX_LISTED).toPandas().sort_values("token")
     nodes = saved(rows.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "join-nodes")
-    keyed = postings(docs, width, percent, listed["token"].to_numpy(np.int64), listed["times"].to_numpy(np.int64)).join(nodes.select("key", "node"), "key").select("node", "keys").dropDuplicates(["node"])
-    index = saved(keyed.select("node", F.explode("keys").alias("k")), "join-index")
-    ends = index.groupBy("k").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("c > 1")
+    keyed = postings(docs, width, percent, listed["token"].to_numpy(np.int64), listed["times"].to_numpy(np.int64)).join(nodes.select("key", "node"), "key").dropDuplicates(["node"])
+    index = saved(keyed.select("node", F.inline(F.arrays_zip(F.col("keys").alias("k"), F.col("marks").alias("w")))), "join-index")
+    # the members whose scrambled hash is least and greatest: others for each key
+    turned = F.col("node").bitwiseXOR(F.col("k"))
+    ends = index.groupBy("k").agg(F.count("*").alias("c"), F.max(F.col("w") % 2).alias("short"), F.min(turned).alias("x"), F.max(turned).alias("y")).filter("c > 1 AND short = 1")
+    ends = ends.select("k", "c", F.col("x").bitwiseXOR(F.col("k")).alias("lo"), F.col("y").bitwiseXOR(F.col("k")).alias("hi"))
     met = saved(index.join(ends, "k"), "join-met")
     release(index)
-    pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").filter("a < b").distinct()
+    order = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pairs = met.select(F.explode(F.array(order("lo", "node"), order("node", "hi"))).alias("p")).select("p.*").filter("a < b").distinct()
     first = verified(pairs, nodes, docs, width, percent)
-    comp, stars = components(first)
-    # members of one key in different components meet; a key of up to three members has met already
-    named = saved(met.filter("c > 3").join(comp, "node", "left").select("k", "node", F.coalesce("comp", "node").alias("comp")), "join-named")
-    release(met, stars)
+    # a key of up to three members has met already
+    named = saved(met.filter("c > 3").select("k", "w", "node").join(near_labels(first), "node", "left").select("k", "w", "node", F.coalesce("comp", "node").alias("comp")), "join-named")
+    release(met)
     apart = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k")
     open_ = saved(named.join(apart, "k", "left_semi").join(nodes.select("node", "n"), "node"), "join-open")
     release(named)
-    x, y = open_.alias("x"), open_.alias("y")
-    fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    more = x.join(y, (F.col("x.k") == F.col("y.k")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    x, y = open_.filter("w % 2 = 1").alias("x"), open_.alias("y")
+    n = F.col("x.n") + F.col("y.n")
+    room = F.shiftright(F.col("x.w").bitwiseAND(F.lit(2)), 1) + 1 + F.least(F.shiftright("x.w", 2), F.shiftright("y.w", 2))
+    rising = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") != F.col("y.node")))
+    fits = rising & (F.col("x.comp") != F.col("y.comp")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & ((100 + percent) * room >= percent * n)
+    more = x.join(y, (F.col("x.k") == F.col("y.k")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     second = verified(more, nodes, docs, width, percent)
     release(open_)
     comp, stars = components(first.unionByName(second))
