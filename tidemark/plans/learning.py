@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.models import glm
-from tidemark.operators import stats
-from tidemark.plans.base import MATCHES, matches, query, r6
+from tidemark.functions import prob
+from tidemark.models import glm, groups, trees
+from tidemark.operators import protocol, stats
+from tidemark.plans.base import MATCHES, matches, query, r6, table
 
 
 def rows_of(spark, sf):
@@ -76,3 +77,66 @@ def l08_low_score_cells(spark, sf):
     """The four counts that the dependence parameter is estimated from."""
     low = rows_of(spark, sf).filter("home_goals <= 1 AND away_goals <= 1")
     return low.groupBy(F.col("home_goals").cast("int").alias("h"), F.col("away_goals").cast("int").alias("a")).agg(F.count("*").alias("n"))
+
+
+@query()
+def l02_elo_tuning(spark, sf):
+    m = matches(spark, sf).withColumn("level", F.lit(1)).withColumn("played", F.col("status") == "played")
+    m = m.select("match_id", "league", "season", "level", "day", "home_id", "away_id", "home_goals", "away_goals", "played")
+    got = groups.tune_elo(m, "league", [{"k": k, "home": h} for k in (10.0, 20.0) for h in (0.0, 40.0)], 1996)
+    return got.select("setting", r6("loss").alias("loss"), "n")
+
+
+@query()
+def l10_boosted_poisson(spark, sf):
+    rows = rows_of(spark, sf)
+    model = trees.fit(rows, ["a", "b"], "y", trees=3, depth=2)
+    return rows.select("match_id", r6(F.exp(model.score())).alias("mean"))
+
+
+@query()
+def l15_mixture_clusters(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
+    got, _ = groups.mixture(lines, ["q", "d", "t"], (2, 3))
+    return got.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def r05_calibration_slope(spark, sf):
+    rows = rows_of(spark, sf).withColumn("over", (F.col("y") > 4).cast("int")).withColumn("z", prob.logit(0.3 + 0.2 * F.col("a")))
+    return report(spark, glm.logistic(rows, ["z"], "over").describe())
+
+
+def nested_models():
+    def poisson(features):
+        return lambda train, s: F.exp(glm.poisson(train, features, "y", ridge=s.get("ridge", 0.0)).linear())
+
+    return {
+        "mean": protocol.Model(lambda train, s: F.lit(train.agg(F.avg("y")).first()[0])),
+        "a": protocol.Model(poisson(["a"])),
+        "ab": protocol.Model(poisson(["a", "b"]), (("ridge", (0.0, 0.1)),)),
+    }
+
+
+@query()
+def r16_r17_r19_walk_forward(spark, sf):
+    got = protocol.walk_forward(rows_of(spark, sf), nested_models(), protocol.folds(1995, [1998, 1999]), "match_id", "y")
+    return protocol.contribution(protocol.pooled(got), ["mean", "a", "ab"]).select("rank", "model", r6("loss").alias("loss"), r6("step").alias("step"), r6("gain").alias("gain"))
+
+
+@query(BASE + """ SELECT match_id, CAST(sum(y) AS BIGINT) AS total, bool_or(y > 4) AS over FROM x GROUP BY ALL""")
+def r18_outcomes(spark, sf):
+    return rows_of(spark, sf).groupBy("match_id").agg(F.sum("y").alias("total"), F.bool_or(F.col("y") > 4).alias("over"))
+
+
+@query("""SELECT o_orderpriority, count(*) FILTER (o_orderdate < TIMESTAMP '1999-01-01') AS before_, count(*) FILTER (o_orderdate >= TIMESTAMP '1999-01-01') AS after_ FROM orders GROUP BY ALL""")
+def r21_tracing_counts(spark, sf):
+    limit = F.to_timestamp_ntz(F.lit("1999-01-01"))
+    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderdate") < limit).alias("before_"), F.count_if(F.col("o_orderdate") >= limit).alias("after_"))
+
+
+@query(BASE + """, d AS (SELECT league, avg(y) AS m, var_samp(y) / count(*) AS v FROM x GROUP BY ALL) SELECT league, round(m, 6) + 0.0 AS effect, round(m - 1.96 * sqrt(v), 6) + 0.0 AS low, round(m + 1.96 * sqrt(v), 6) + 0.0 AS high FROM d""")
+def r20_effect_intervals(spark, sf):
+    d = rows_of(spark, sf).groupBy("league").agg(F.avg("y").alias("m"), (F.var_samp("y") / F.count("*")).alias("v"))
+    half = 1.96 * F.sqrt("v")
+    return d.select("league", r6("m").alias("effect"), r6(F.col("m") - half).alias("low"), r6(F.col("m") + half).alias("high"))
