@@ -103,6 +103,12 @@ def test_quality_edges_and_outliers(spark, edge):
     assert kept == set(range(190))
 
 
+def test_many_groups_are_salted_with_equal_results(spark, sf, monkeypatch):
+    want = {tuple(r) for r in QUERIES["op10_quality"](spark, sf).collect()}
+    monkeypatch.setattr(quality, "FEW_GROUPS", 0)
+    assert {tuple(r) for r in QUERIES["op10_quality"](spark, sf).collect()} == want
+
+
 def test_concentration_matches_numpy(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(400, quality.P))

@@ -35,6 +35,18 @@ CUTOFF, MEDIAN = 33.377, 3.3567
 FLOOR = (0.05**2, 0.25**2, 0.25**2, 0.25**2)
 NOT_SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 WINDOW = 5
+#: Up to so many groups their parameters (some 300 bytes each) are broadcast; beyond, keys are salted.
+FEW_GROUPS = 10_000
+SALTS = 64
+
+
+def with_group(rows: DataFrame, small: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row that ``small`` has for each group. A group may hold a third of all rows, so rows are
+    never dealt out by group alone."""
+    if few:
+        return rows.join(F.broadcast(small), keys, how)
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.spark_partition_id() % SALTS).join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def repeated(words: list[bytes]) -> int:
@@ -97,17 +109,19 @@ PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 PARAMS = "__g string, mu array<double>, inv array<double>"
 
 
-def grouped(stats: DataFrame, min_group: int) -> DataFrame:
-    """``stats`` with the group ``__g`` whose estimate judges the row."""
+def grouped(stats: DataFrame, min_group: int) -> tuple[DataFrame, bool]:
+    """``stats`` with the group ``__g`` whose estimate judges the row, and whether groups are few enough to broadcast."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source"))
     keyed = stats.withColumn("__l", lang).withColumn("__s", source)
     sizes = keyed.groupBy("__l", "__s").agg(F.count("*").alias("__n"), F.count_if(~F.col("base_failed")).alias("__ok"))
+    sizes = saved(sizes, "quality-sizes")
+    few = sizes.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     small = sizes.filter(F.col("__ok") < min_group)
     pool = small.groupBy("__l").agg(F.sum("__ok").alias("__pool"))
     named = sizes.join(pool, "__l", "left").withColumn(
         "__g", F.when(F.col("__ok") >= min_group, F.to_json(F.array("__l", "__s"))).when(F.col("__pool") >= min_group, F.to_json(F.array("__l"))).otherwise("[]")
     )
-    return keyed.join(named.select("__l", "__s", "__g"), ["__l", "__s"]).drop("__l", "__s")
+    return with_group(keyed, named.select("__l", "__s", "__g"), ["__l", "__s"], few).drop("__l", "__s"), few
 
 
 def estimate(total: np.ndarray) -> tuple[list[float], list[float]]:
@@ -119,7 +133,7 @@ def estimate(total: np.ndarray) -> tuple[list[float], list[float]]:
     return np.round(mean, 6).tolist(), np.round(np.linalg.inv(np.round(cov, 8) + np.diag(FLOOR)), 6).ravel().tolist()
 
 
-def first_estimate(good: DataFrame) -> DataFrame:
+def first_estimate(good: DataFrame, few: bool = False) -> DataFrame:
     """Medians and median absolute deviations by group, from counts in bins of 1/256."""
     fine = 256.0
 
@@ -136,7 +150,7 @@ def first_estimate(good: DataFrame) -> DataFrame:
     # deviations of the bins' centres, so that the rows are read once
     wide = middle.groupBy("__g").pivot("k", list(range(P))).agg(F.first("m"))
     wide = wide.select("__g", F.array(*(F.col(str(k)) for k in range(P))).alias("mu"))
-    off = good.join(wide, "__g").select("__g", F.posexplode(F.array(*(F.abs(F.col(x) - F.col("mu")[i]) for i, x in enumerate(X)))).alias("k", "x"), "mu")
+    off = with_group(good, wide, ["__g"], few).select("__g", F.posexplode(F.array(*(F.abs(F.col(x) - F.col("mu")[i]) for i, x in enumerate(X)))).alias("k", "x"), "mu")
     spread = median(off.groupBy("__g", "k", F.floor(F.col("x") * fine).alias("bin")).agg(F.count("*").alias("n")))
     spread = spread.groupBy("__g").pivot("k", list(range(P))).agg(F.first("m"))
     scale = [F.lit(1.0) / (F.pow(1.4826 * F.col(str(k)), 2) + FLOOR[k]) for k in range(P)]
@@ -149,11 +163,11 @@ def distance() -> Column:
     return sum((off[i] * off[j] * F.col("inv")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
 
 
-def binned(good: DataFrame, params: DataFrame) -> DataFrame:
+def binned(good: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """Counts and moments by group and distance bin (eight to an octave)."""
     d = F.greatest(F.col("__d"), F.lit(1e-6))
     return (
-        good.join(params, "__g").withColumn("__d", distance()).groupBy("__g", F.floor(8 * F.log2(d)).cast("int").alias("bin"))
+        with_group(good, params, ["__g"], few).withColumn("__d", distance()).groupBy("__g", F.floor(8 * F.log2(d)).cast("int").alias("bin"))
         .agg(F.count("*").cast("double").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS))
     )
 
@@ -161,7 +175,7 @@ def binned(good: DataFrame, params: DataFrame) -> DataFrame:
 MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
 
 
-def concentrate(good: DataFrame, params: DataFrame, share: float) -> DataFrame:
+def concentrate(good: DataFrame, params: DataFrame, share: float, few: bool = False) -> DataFrame:
     """One concentration step: the estimate from the nearest rows."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -170,10 +184,10 @@ def concentrate(good: DataFrame, params: DataFrame, share: float) -> DataFrame:
         mu, inv = estimate(rows[MOMENTS].to_numpy()[:upto].sum(axis=0))
         return pd.DataFrame({"__g": [key[0]], "mu": [mu], "inv": [inv]})
 
-    return binned(good, params).groupBy("__g").applyInPandas(run, PARAMS)
+    return binned(good, params, few).groupBy("__g").applyInPandas(run, PARAMS)
 
 
-def scaled(good: DataFrame, params: DataFrame, min_group: int) -> DataFrame:
+def scaled(good: DataFrame, params: DataFrame, min_group: int, few: bool) -> DataFrame:
     """``params`` with ``cut``: the distance beyond which a row is an outlier, from the median distance; none for small groups."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -183,21 +197,22 @@ def scaled(good: DataFrame, params: DataFrame, min_group: int) -> DataFrame:
         factor = max(1.0, 2 ** ((rows["bin"].iloc[at] + 1) / 8) / MEDIAN)
         return pd.DataFrame({"__g": [key[0]], "cut": [CUTOFF * factor if n >= min_group else math.inf]})
 
-    return params.join(binned(good, params).groupBy("__g").applyInPandas(run, "__g string, cut double"), "__g")
+    return params.join(binned(good, params, few).groupBy("__g").applyInPandas(run, "__g string, cut double"), "__g")
 
 
 def judged(stats: DataFrame, share: float = SHARE, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
     """``stats`` with base_failed and kept. stats: saved output of ``statistics``."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = saved(grouped(stats.withColumn("base_failed", failed), min_group), "quality-groups")
+    rows, few = grouped(stats.withColumn("base_failed", failed), min_group)
+    rows = saved(rows, "quality-groups")
     rows = rows.withColumns(dict(zip(X, vector(), strict=True)))
     good = rows.filter(~F.col("base_failed")).select("__g", *X)
-    params = saved(first_estimate(good), "quality-start")
+    params = saved(first_estimate(good, few), "quality-start")
     for _ in range(steps):
-        params = concentrate(good, params, share)
-    params = saved(scaled(good, params, min_group), "quality-model")
+        params = concentrate(good, params, share, few)
+    params = saved(scaled(good, params, min_group, few), "quality-model")
     verdict = F.col("base_failed") | F.coalesce(distance() > F.col("cut"), F.lit(False))
-    return rows.join(params, "__g", "left").withColumn("kept", ~verdict).drop("__g", "mu", "inv", "cut", *X)
+    return with_group(rows, params, ["__g"], few, "left").withColumn("kept", ~verdict).drop("__g", "mu", "inv", "cut", *X)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
