@@ -254,7 +254,9 @@ def test_html_blocks():
     assert [t for t, _ in html.blocks_of("<p>a<table><tr><td>x<td>y</table>b<p")] == ["a", "x", "y", "b"]
 
 
-def test_templates_go_by_host(spark):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_templates_go_by_host(spark, monkeypatch, few):
+    monkeypatch.setattr(html, "FEW_TEMPLATES", few)
     rows = [(i, f"http://h{i % 2}.org/{i}", f"<body><div>Site {i % 2} bar</div><div><p>text {i}</p><p>both</p></div></body>") for i in range(30)] + [(99, None, None), (98, "bad", "")]
     got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as key", "2 as host")).collect()}
     assert got[3] == "text 3" and got[99] == "" and got[98] == "" and len(got) == 32

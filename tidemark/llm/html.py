@@ -27,6 +27,8 @@ from tidemark.llm.common import map_arrow, saved, table
 #: A subtree is a template's if it recurs on so many pages of its host, and on such a share of them.
 MIN_PAGES = 5
 MIN_SHARE = 0.1
+#: Up to so many templates (a host and a hash each) are broadcast; beyond, they are joined.
+FEW_TEMPLATES = 50_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?:script|style|noscript|template|iframe|svg|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?:script|style|noscript|template|iframe|svg|textarea|title)\s*>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.DOTALL | re.IGNORECASE)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
@@ -173,12 +175,17 @@ def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     parsed = saved(parse(pages), "html-parsed")
-    held = parsed.select("host", "key", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash")).distinct()
-    cut = held.join(templates(parsed, min_pages, min_share), ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("cut"))
+    found = saved(templates(parsed, min_pages, min_share), "html-templates")
     none = F.expr("cast(array() as array<bigint>)")
+    if found.limit(FEW_TEMPLATES + 1).count() <= FEW_TEMPLATES:
+        by_host = F.broadcast(found.groupBy("host").agg(F.collect_set("hash").alias("all")))
+        cut = parsed.join(by_host, "host", "left").withColumn("cut", F.array_intersect(F.flatten("blocks.around"), F.coalesce("all", none)))
+    else:
+        held = parsed.select("host", "key", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash")).distinct()
+        cut = parsed.join(held.join(found, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("cut")), "key", "left")
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("cut", none)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return parsed.join(cut, "key", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return cut.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
