@@ -316,3 +316,16 @@ def test_pipeline(spark, sf, texts):
     packed = corpus_pipeline.packing(spark, docs, sf).collect()
     assert {r["doc_id"] for r in packed} == set(left)
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
+
+
+def prose(r, words=40):
+    return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(words))
+
+
+def test_a_line_of_least_hash_is_dropped(spark):
+    r = random.Random(5)
+    own = [prose(r) for _ in range(40)]
+    least = min(linededup.hash64(x.encode()) for x in own)
+    notice = next(x for x in (prose(r, 8) for _ in range(100_000)) if linededup.hash64(x.encode()) < least)
+    got = linededup.dedup(spark.createDataFrame([(i, f"{x}\n{notice}") for i, x in enumerate(own)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == dict(enumerate(own))

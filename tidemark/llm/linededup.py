@@ -5,15 +5,15 @@ the three leading tokens. In a leaf, lines that agree with a template in three q
 positions in which they differ become wildcards. A template that recurs across documents is dropped wherever it occurs.
 
 Copies of a document all share its lines without those being boilerplate, so a template's recurrence is counted over
-distinct documents: a document's mark is its least line hash, which exact copies and nearly all near copies share, while
-documents that share a template alone have different marks. Lines of fewer than five words are left alone.
+distinct documents: a document's mark is its near-copy component, as operator 7 links texts (``WIDTH``, ``PERCENT``), and a
+template recurs if it has ``min_docs`` marks. Lines of fewer than five words are left alone.
 
 Only hashes are shuffled for all lines. Leaves that too few documents reach are put aside, and the texts of lines are
 fetched for the remaining leaves alone, through a bitmap of fixed size that lets some others pass (an exact join follows).
 A leaf with more than ``MAX_LEAF`` distinct lines is split by twelve leading tokens, and by all tokens where even those
 leave more, so no group grows with the input: equal lines are one row.
 
-Cases: null and empty texts stay as they are; repeated rows have one mark and count once; ties between templates go to
+Cases: null and empty texts stay as they are; repeated rows and near copies have one mark and count once; ties between templates go to
 the first in the order of hashes; an empty table gives no rows; ``dedup`` keeps other columns.
 """
 
@@ -28,11 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_bytes, map_arrow, release, saved, table
+from tidemark.llm.ngramjoin import link
 
 DEPTH = 3
 SIMILARITY = 0.75
 MIN_WORDS = 5
 MIN_DOCS = 10
+#: Texts that share such a percentage of their shingles of so many words are near copies.
+WIDTH = 5
+PERCENT = 80
 #: Distinct documents per line's occurrence: below it, the occurrences are mostly copies of a few documents.
 MIN_SPREAD = 0.2
 MAX_LEAF = 2000
@@ -58,23 +62,18 @@ def leaf_of(tokens: list[bytes], depth: int = DEPTH) -> int:
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """Hashes of all lines with enough words: key (of the row), at (line number), leaf, line, mark (of the document)."""
+    """Hashes of all lines with enough words: key (of the row), at (line number), leaf, line."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, at, leaf, line, mark = [], [], [], [], []
+        key, at, leaf, line = [], [], [], []
         for k, text in zip(batch.column("key").to_pylist(), as_bytes(batch.column("text")), strict=True):
-            first = len(line)
             for i, raw in enumerate(text.split(b"\n")):
                 tokens = masked(raw)
                 if len(tokens) >= min_words:
-                    at.append(i), leaf.append(leaf_of(tokens)), line.append(hash64(b" ".join(tokens)))
-            n = len(line) - first
-            if n:
-                key += [k] * n
-                mark += [min(line[first:])] * n
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(mark, pa.int64())], ["key", "at", "leaf", "line", "mark"])
+                    key.append(k), at.append(i), leaf.append(leaf_of(tokens)), line.append(hash64(b" ".join(tokens)))
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(leaf, pa.int64()), pa.array(line, pa.int64())], ["key", "at", "leaf", "line"])
 
-    return map_arrow(docs.select("key", "text"), run, "key bigint, at int, leaf bigint, line bigint, mark bigint")
+    return map_arrow(docs.select("key", "text"), run, "key bigint, at int, leaf bigint, line bigint")
 
 
 def bitmap(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
@@ -113,10 +112,10 @@ def templates(rows: list[tuple[int, list[bytes]]], similarity: float) -> list[tu
     return out
 
 
-def recurring(found: DataFrame, docs: DataFrame, min_words: int, min_docs: int, similarity: float) -> DataFrame:
+def recurring(found: DataFrame, marks: DataFrame, docs: DataFrame, min_words: int, min_docs: int, similarity: float) -> DataFrame:
     """Hashes of the lines whose template recurs: one column, line."""
-    marks = found.select("leaf", "line", "mark").distinct()
-    reached = saved(marks.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "lines-leaves")
+    marked = found.select("leaf", "key").distinct().join(marks, "key").select("leaf", "mark").distinct()
+    reached = saved(marked.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "lines-leaves")
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(reached, "leaf")))  # BITS / 8 bytes, whatever the input
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -144,7 +143,7 @@ def recurring(found: DataFrame, docs: DataFrame, min_words: int, min_docs: int,
         return pd.DataFrame(templates([(h, b.split(b" ")) for h, b in zip(rows["line"].tolist(), rows["body"].tolist(), strict=True)], similarity), columns=["line", "template"]).astype("int64")
 
     tree = saved(parts.groupBy("part").applyInPandas(grow, "line bigint, template bigint"), "lines-templates")
-    uses = found.groupBy("line", "mark").agg(F.count("*").alias("n")).join(tree, "line").groupBy("template", "mark").agg(F.sum("n").alias("n"))
+    uses = found.join(tree, "line").groupBy("template", "key").agg(F.count("*").alias("n")).join(marks, "key").groupBy("template", "mark").agg(F.sum("n").alias("n"))
     often = uses.groupBy("template").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).filter((F.col("docs") >= min_docs) & (F.col("docs") >= MIN_SPREAD * F.col("n")))
     return tree.join(often, "template", "left_semi").select("line")
 
@@ -153,7 +152,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS,
     """``docs`` (doc_id, text, ...) with recurring lines dropped from ``text``, and n_lines, n_dropped."""
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     found = saved(lines(keyed, min_words), "lines-hashes")
-    gone = found.join(recurring(found, keyed, min_words, min_docs, similarity), "line", "left_semi")
+    marks = saved(link(keyed, WIDTH, PERCENT).select("key", F.col("comp").alias("mark")).dropDuplicates(["key"]), "lines-marks")
+    gone = found.join(recurring(found, marks, keyed, min_words, min_docs, similarity), "line", "left_semi")
     drops = gone.select("key", "at").distinct().groupBy("key").agg(F.collect_set("at").alias("drops"))
     all_lines = F.split("text", "\n", -1)
     none = F.expr("cast(array() as array<int>)")
