@@ -329,3 +329,12 @@ def test_a_line_of_least_hash_is_dropped(spark):
     notice = next(x for x in (prose(r, 8) for _ in range(100_000)) if linededup.hash64(x.encode()) < least)
     got = linededup.dedup(spark.createDataFrame([(i, f"{x}\n{notice}") for i, x in enumerate(own)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["text"] for r in got} == dict(enumerate(own))
+
+
+def test_copies_and_repeats_do_not_save_a_recurring_line(spark):
+    r = random.Random(6)
+    notice, rule = prose(r, 8), prose(r, 6)
+    texts = [f"{prose(r)}\n{notice}" for _ in range(30)] + ["\n".join([prose(r), *[rule] * 12]) for _ in range(30)]
+    rows = list(enumerate(texts)) + [(100 + i, texts[0]) for i in range(300)]
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 360 and all(r["text"] == dict(rows)[r["doc_id"]].split("\n")[0] for r in got)

@@ -37,8 +37,6 @@ MIN_DOCS = 10
 #: Texts that share such a percentage of their shingles of so many words are near copies.
 WIDTH = 5
 PERCENT = 80
-#: Distinct documents per line's occurrence: below it, the occurrences are mostly copies of a few documents.
-MIN_SPREAD = 0.2
 MAX_LEAF = 2000
 BITS = 1 << 24
 WILD = b"\x00"
@@ -143,8 +141,8 @@ def recurring(found: DataFrame, marks: DataFrame, docs: DataFrame, min_words: in
         return pd.DataFrame(templates([(h, b.split(b" ")) for h, b in zip(rows["line"].tolist(), rows["body"].tolist(), strict=True)], similarity), columns=["line", "template"]).astype("int64")
 
     tree = saved(parts.groupBy("part").applyInPandas(grow, "line bigint, template bigint"), "lines-templates")
-    uses = found.join(tree, "line").groupBy("template", "key").agg(F.count("*").alias("n")).join(marks, "key").groupBy("template", "mark").agg(F.sum("n").alias("n"))
-    often = uses.groupBy("template").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).filter((F.col("docs") >= min_docs) & (F.col("docs") >= MIN_SPREAD * F.col("n")))
+    uses = found.join(tree, "line").select("template", "key").distinct().join(marks, "key").select("template", "mark").distinct()
+    often = uses.groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
     return tree.join(often, "template", "left_semi").select("line")
 
 
