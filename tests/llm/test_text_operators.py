@@ -338,3 +338,17 @@ def test_copies_and_repeats_do_not_save_a_recurring_line(spark):
     rows = list(enumerate(texts)) + [(100 + i, texts[0]) for i in range(300)]
     got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 360 and all(r["text"] == dict(rows)[r["doc_id"]].split("\n")[0] for r in got)
+
+
+def test_edited_copies_keep_their_text(spark):
+    r = random.Random(7)
+    article = [prose(r, n).split() for n in (20, 40, 60)]
+    rows = []
+    for i in range(50):
+        copy = [list(line) for line in article]
+        for line in copy:
+            for at in r.sample(range(3, len(line)), len(line) // 20):
+                line[at] = prose(r, 1)
+        rows.append((i, "\n".join(map(" ".join, copy))))
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == dict(rows)

@@ -34,9 +34,10 @@ DEPTH = 3
 SIMILARITY = 0.75
 MIN_WORDS = 5
 MIN_DOCS = 10
-#: Texts that share such a percentage of their shingles of so many words are near copies.
-WIDTH = 5
-PERCENT = 80
+#: Texts that share such a percentage of their shingles of so many words are near copies, linked directly or by others. An
+#: edited word costs two pairs of words but five runs of five, so short shingles keep groups of edited copies together.
+WIDTH = 2
+PERCENT = 60
 MAX_LEAF = 2000
 BITS = 1 << 24
 WILD = b"\x00"
