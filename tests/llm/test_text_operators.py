@@ -352,3 +352,12 @@ def test_edited_copies_keep_their_text(spark):
         rows.append((i, "\n".join(map(" ".join, copy))))
     got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["text"] for r in got} == dict(rows)
+
+
+def test_a_large_leaf_has_templates_too(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "MAX_LEAF", 8)
+    r = random.Random(8)
+    own = [prose(r) for _ in range(40)]
+    rows = [(i, f"{x}\nwe thank our reader {prose(r, 1)} for being with us") for i, x in enumerate(own)]
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == dict(enumerate(own))

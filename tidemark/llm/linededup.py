@@ -2,7 +2,7 @@
 
 A line's tokens are its words, with a wildcard for those that hold a digit. The tree has a fixed depth: token count, then
 the three leading tokens. In a leaf, lines that agree with a template in three quarters of the positions join it, and the
-positions in which they differ become wildcards. A template that recurs across documents is dropped wherever it occurs.
+positions in which they differ become blanks, which agree with nothing. A template that recurs across documents is dropped wherever it occurs.
 
 Copies of a document all share its lines without those being boilerplate, so a template's recurrence is counted over
 distinct documents: a document's mark is its near-copy component, as operator 7 links texts (``WIDTH``, ``PERCENT``), and a
@@ -10,8 +10,11 @@ template recurs if it has ``min_docs`` marks. Lines of fewer than five words are
 
 Only hashes are shuffled for all lines. Leaves that too few documents reach are put aside, and the texts of lines are
 fetched for the remaining leaves alone, through a bitmap of fixed size that lets some others pass (an exact join follows).
-A leaf with more than ``MAX_LEAF`` distinct lines is split by twelve leading tokens, and by all tokens where even those
-leave more, so no group grows with the input: equal lines are one row.
+A leaf with more than ``MAX_LEAF`` distinct lines is dealt to parts, whose templates are then lines of a next round, until
+one part holds what is left or a whole cycle of rounds merges nothing, so no group grows with the input. A round deals by
+every k-th token, k being one more than the positions in which lines of a template may differ: lines that agree in enough
+positions share all tokens of one such class, so they meet within k rounds, unless a class has over ``MAX_LEAF`` lines
+itself; then chance deals it anew in each round.
 
 Cases: null and empty texts stay as they are; repeated rows and near copies have one mark and count once; ties between templates go to
 the first in the order of hashes; an empty table gives no rows; ``dedup`` keeps other columns.
@@ -41,6 +44,8 @@ PERCENT = 60
 MAX_LEAF = 2000
 BITS = 1 << 24
 WILD = b"\x00"
+#: A position in which lines of a template differ.
+BLANK = b"\x01"
 DIGIT_BYTES = b"0123456789"
 
 
@@ -56,8 +61,8 @@ def masked(line: bytes) -> list[bytes]:
     return tokens
 
 
-def leaf_of(tokens: list[bytes], depth: int = DEPTH) -> int:
-    return hash64(b"%d " % len(tokens) + b" ".join(tokens[:depth]))
+def leaf_of(tokens: list[bytes]) -> int:
+    return hash64(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH]))
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -86,31 +91,88 @@ def bitmap(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
-def templates(rows: list[tuple[int, list[bytes]]], similarity: float) -> list[tuple[int, int]]:
-    """(line, template) for the lines of a leaf, in the order of hashes: each joins the template that agrees with it in
-    most positions, if in enough, and else begins one."""
+def classes(size: int, similarity: float) -> int:
+    """In one of so many classes of positions, lines that agree in enough positions differ nowhere."""
+    return int(size * (1 - similarity) + 1e-9) + 1
+
+
+def templates(rows: list[tuple[int, list[bytes]]], similarity: float) -> list[tuple[int, bytes]]:
+    """(line, template) for the lines or templates of a leaf, in the order given: each joins the template that agrees with
+    it in most positions, if in enough, and else begins one; templates then join each other likewise."""
     out = []
     for size in sorted({len(t) for _, t in rows}):
         some = [(h, t) for h, t in rows if len(t) == size]
-        code = {WILD: 0}
-        made = np.empty((len(some), size), np.int64)
-        count, joined = 0, []
-        for _, tokens in some:
-            x = np.array([code.setdefault(t, len(code)) for t in tokens])
-            same = (made[:count] == x).sum(axis=1)
-            best = int(same.argmax()) if count else -1
-            if best < 0 or same[best] < similarity * size:
-                best, count = count, count + 1
-                made[best] = x
-            else:
-                made[best][made[best] != x] = 0
-            joined.append(best)
+        code = {BLANK: 0}
+        x = np.array([[code.setdefault(t, len(code)) for t in tokens] for _, tokens in some]).reshape(len(some), size)
+        joined = np.arange(len(some))
+        while True:
+            made, count, to = np.empty_like(x), 0, []
+            for row in x:
+                same = ((made[:count] == row) & (row > 0)).sum(axis=1)
+                best = int(same.argmax()) if count else -1
+                if best < 0 or same[best] < similarity * size:
+                    best, count = count, count + 1
+                    made[best] = row
+                else:
+                    made[best][made[best] != row] = 0
+                to.append(best)
+            joined = np.array(to)[joined]
+            if count == len(x):
+                break
+            x = made[:count]
         names = list(code)
-        final = [hash64(b"%d " % i + b" ".join(names[c] for c in row)) for i, row in enumerate(made[:count].tolist())]
-        out += [(h, final[i]) for (h, _), i in zip(some, joined, strict=True)]
+        final = [b" ".join(names[c] for c in row) for row in made[:count].tolist()]
+        out += [(h, final[i]) for (h, _), i in zip(some, joined.tolist(), strict=True)]
     return out
 
 
+def tree_of(bodies: DataFrame, similarity: float) -> DataFrame:
+    """line, template for the distinct lines (leaf, line, body) of all leaves."""
+
+    def deal(turn: int):  # noqa: ANN202
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            held = [b.split(b" ") for b in batch.column("body").to_pylist()]
+            kind = [hash64(b" ".join(t[DEPTH + turn % k :: k])) for t in held for k in [classes(len(t), similarity)]]
+            cycle = [classes(len(t), similarity) for t in held]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind, pa.int64()), pa.array(cycle, pa.int32())], [*batch.schema.names, "kind", "cycle"])
+
+        return run
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        got = templates([(h, b.split(b" ")) for h, b in zip(rows["id"].tolist(), rows["body"].tolist(), strict=True)], similarity)
+        made = pd.DataFrame(got, columns=["id", "body"])
+        return made.assign(leaf=rows["leaf"].iloc[0], template=[hash64(b) for b in made["body"]])[["leaf", "id", "template", "body"]]
+
+    kinds = "leaf bigint, id bigint, template bigint, body binary"
+    seeds = bodies.select("leaf", F.col("line").alias("id"), "body")
+    tree, turn, idle, before = None, 0, 0, -1
+    while True:
+        sized = seeds.join(seeds.groupBy("leaf").agg(F.count("*").alias("n")), "leaf")
+        whole = sized.filter(F.col("n") <= MAX_LEAF).select(F.col("leaf").alias("part"), "leaf", "id", "body")
+        made = whole.groupBy("part").applyInPandas(grow, kinds)
+        large = saved(map_arrow(sized.filter(F.col("n") > MAX_LEAF).select("leaf", "id", "body"), deal(turn), "leaf bigint, id bigint, body binary, kind bigint, cycle int"), "lines-large")
+        left, cycle = large.agg(F.count("*"), F.max("cycle")).first()
+        idle = idle + 1 if left == before else 0
+        if left and idle > cycle:  # nothing merged in a whole cycle: these are templates
+            made, left = made.unionByName(large.select("leaf", "id", F.col("id").alias("template"), "body")), 0
+        elif left:
+            pieces = large.groupBy("leaf", "kind").agg(F.ceil(F.count("*") / MAX_LEAF).alias("pieces"))
+            part = F.xxhash64("leaf", "kind", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("pieces")))
+            made = made.unionByName(large.join(pieces, ["leaf", "kind"]).select(part.alias("part"), "leaf", "id", "body").groupBy("part").applyInPandas(grow, kinds))
+        made = saved(made, "lines-grown")
+        step = made.select(F.col("id").alias("from"), "template")
+        if tree is None:
+            tree = step.withColumnRenamed("from", "line")
+        else:
+            tree = saved(tree.join(step.withColumnRenamed("template", "to"), tree["template"] == step["from"], "left").select("line", F.coalesce("to", "template").alias("template")), "lines-tree")
+        if not left:
+            return tree
+        open_ = large.select("leaf").distinct()
+        seeds = saved(made.join(open_, "leaf", "left_semi").select("leaf", F.col("template").alias("id"), "body").dropDuplicates(["id"]), "lines-seeds")
+        before, turn = left, turn + 1
+
+
 def recurring(found: DataFrame, marks: DataFrame, docs: DataFrame, min_words: int, min_docs: int, similarity: float) -> DataFrame:
     """Hashes of the lines whose template recurs: one column, line."""
     marked = found.select("leaf", "key").distinct().join(marks, "key").select("leaf", "mark").distinct()
@@ -119,29 +181,19 @@ def recurring(found: DataFrame, marks: DataFrame, docs: DataFrame, min_words: in
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen = np.unpackbits(bits.value)
-        got: dict[int, tuple[int, int, int, bytes]] = {}
+        got: dict[int, tuple[int, int, bytes]] = {}
         for text in as_bytes(batch.column("text")):
             for raw in text.split(b"\n"):
                 tokens = masked(raw)
                 if len(tokens) >= min_words and seen[(leaf := leaf_of(tokens)) % BITS]:
                     body = b" ".join(tokens)
                     if (h := hash64(body)) not in got:
-                        got[h] = (leaf, leaf_of(tokens, 4 * DEPTH), h, body)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got.values()], t) for i, t in enumerate(kinds)], ["leaf", "deep", "line", "body"])
-
-    bodies = map_arrow(docs.select("text"), fetch, "leaf bigint, deep bigint, line bigint, body binary").groupBy("leaf", "deep", "line").agg(F.first("body").alias("body"))
-    bodies = saved(bodies.join(reached, "leaf", "left_semi"), "lines-bodies")
-    wide = bodies.groupBy("leaf").agg(F.count("*").alias("in_leaf"))
-    deep = bodies.groupBy("deep").agg(F.count("*").alias("in_deep"))
-    part = F.when(F.col("in_leaf") <= MAX_LEAF, F.col("leaf")).when(F.col("in_deep") <= MAX_LEAF, F.col("deep")).otherwise(F.col("line"))
-    parts = bodies.join(wide, "leaf").join(deep, "deep").select(part.alias("part"), "line", "body")
-
-    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line")
-        return pd.DataFrame(templates([(h, b.split(b" ")) for h, b in zip(rows["line"].tolist(), rows["body"].tolist(), strict=True)], similarity), columns=["line", "template"]).astype("int64")
-
-    tree = saved(parts.groupBy("part").applyInPandas(grow, "line bigint, template bigint"), "lines-templates")
+                        got[h] = (leaf, h, body)
+        kinds = [pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got.values()], t) for i, t in enumerate(kinds)], ["leaf", "line", "body"])
+
+    bodies = map_arrow(docs.select("text"), fetch, "leaf bigint, line bigint, body binary").groupBy("leaf", "line").agg(F.first("body").alias("body"))
+    tree = tree_of(saved(bodies.join(reached, "leaf", "left_semi"), "lines-bodies"), similarity)
     uses = found.join(tree, "line").select("template", "key").distinct().join(marks, "key").select("template", "mark").distinct()
     often = uses.groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
     return tree.join(often, "template", "left_semi").select("line")
