@@ -5,8 +5,10 @@ the three leading tokens. In a leaf, lines that agree with a template in three q
 positions in which they differ become blanks, which agree with nothing. A template that recurs across documents is dropped wherever it occurs.
 
 Copies of a document all share its lines without those being boilerplate, so a template's recurrence is counted over
-distinct documents: a document's mark is its near-copy component, as operator 7 links texts (``WIDTH``, ``PERCENT``), and a
-template recurs if it has ``min_docs`` marks. Lines of fewer than five words are left alone.
+distinct documents: a document's mark is its component of near copies, and a template recurs if it has ``min_docs`` marks.
+Near copies are found by ``BANDS`` x ``ROWS`` min-hashes of the whole text's word pairs: texts that agree in all hashes of a
+band meet the band's least and greatest member and are linked if ``PERCENT`` of all hashes agree. Operator 7's exact join at
+that percentage takes more disk than the check tool allows. Lines of fewer than five words are left alone.
 
 Only hashes are shuffled for all lines. Leaves that too few documents reach are put aside, and the texts of lines are
 fetched for the remaining leaves alone, through a bitmap of fixed size that lets some others pass (an exact join follows).
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_bytes, map_arrow, release, saved, table
-from tidemark.llm.ngramjoin import link
+from tidemark.llm.ngramjoin import components, mix, sets_of
 
 DEPTH = 3
 SIMILARITY = 0.75
@@ -41,6 +43,9 @@ MIN_DOCS = 10
 #: edited word costs two pairs of words but five runs of five, so short shingles keep groups of edited copies together.
 WIDTH = 2
 PERCENT = 60
+BANDS = 24
+ROWS = 4
+TURNS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).reshape(2, -1)
 MAX_LEAF = 2000
 BITS = 1 << 24
 WILD = b"\x00"
@@ -80,6 +85,50 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
     return map_arrow(docs.select("key", "text"), run, "key bigint, at int, leaf bigint, line bigint")
 
 
+def min_hashes(tokens: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS min-hashes of a set of 64-bit tokens."""
+    least = np.full(BANDS * ROWS, 1 << 63, np.uint64)
+    for start in range(0, len(tokens), 4096):
+        some = tokens[start : start + 4096].view(np.uint64)
+        least = np.minimum(least, (((some[:, None] ^ TURNS[0]) * (TURNS[1] | np.uint64(1))) >> np.uint64(32)).min(axis=0))
+    return least
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """key (of the row), node (hash of its word pairs), bands, sig (a byte of each min-hash) of all rows with words."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, node, bands, sig = [], [], [], []
+        for k, s in zip(batch.column("key").to_pylist(), sets_of(as_bytes(batch.column("text")), WIDTH), strict=True):
+            if len(s):
+                h = min_hashes(s)
+                key.append(k), node.append(hash64(s.tobytes()))
+                bands.append([hash64(b"%d " % i + row.tobytes()) for i, row in enumerate(h.reshape(BANDS, ROWS))])
+                sig.append(h.astype(np.uint8).view(np.int8))
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int8()))], ["key", "node", "bands", "sig"])
+
+    return map_arrow(docs.select("key", "text"), run, "key bigint, node bigint, bands array<bigint>, sig array<tinyint>")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """key, mark: rows whose texts are near copies, directly or by others, have equal marks."""
+    rows = saved(signatures(docs), "lines-signatures")
+    nodes = rows.select("node", "bands", "sig").dropDuplicates(["node"])
+    index = nodes.select("node", F.explode("bands").alias("band"))
+    turned = F.col("node").bitwiseXOR(F.col("band"))
+    ends = index.groupBy("band").agg(F.count("*").alias("c"), F.min(turned).alias("x"), F.max(turned).alias("y")).filter("c > 1")
+    ends = ends.select("band", F.col("x").bitwiseXOR(F.col("band")).alias("lo"), F.col("y").bitwiseXOR(F.col("band")).alias("hi"))
+    order = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pairs = index.join(ends, "band").select(F.explode(F.array(order("lo", "node"), order("node", "hi"))).alias("p")).select("p.*").filter("a < b").distinct()
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"))
+    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda e: e))
+    links = saved(pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * agree >= PERCENT * BANDS * ROWS).select("a", "b"), "lines-links")
+    comp, stars = components(links)
+    out = saved(rows.join(comp, "node", "left").select("key", F.coalesce("comp", "node").alias("mark")).dropDuplicates(["key"]), "lines-marks")
+    release(rows, links, stars)
+    return out
+
+
 def bitmap(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     """A bitmap of fixed size in which every hash has set a bit: at most bits / 64 rows reach the driver."""
     place = F.pmod(F.col(column), F.lit(bits))
@@ -203,7 +252,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS,
     """``docs`` (doc_id, text, ...) with recurring lines dropped from ``text``, and n_lines, n_dropped."""
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     found = saved(lines(keyed, min_words), "lines-hashes")
-    marks = saved(link(keyed, WIDTH, PERCENT).select("key", F.col("comp").alias("mark")).dropDuplicates(["key"]), "lines-marks")
+    marks = near_copies(keyed)
     gone = found.join(recurring(found, marks, keyed, min_words, min_docs, similarity), "line", "left_semi")
     drops = gone.select("key", "at").distinct().groupBy("key").agg(F.collect_set("at").alias("drops"))
     all_lines = F.split("text", "\n", -1)
