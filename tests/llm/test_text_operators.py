@@ -361,3 +361,10 @@ def test_a_large_leaf_has_templates_too(spark, monkeypatch):
     rows = [(i, f"{x}\nwe thank our reader {prose(r, 1)} for being with us") for i, x in enumerate(own)]
     got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["text"] for r in got} == dict(enumerate(own))
+
+
+def test_class_words_and_comment_articles_leave_the_page(spark):
+    text = "the text of the page is long enough to be most of it"
+    side = "<section class=comments><article>a comment</article></section><aside><article>teaser</article></aside>"
+    pages = [f"<div>{text}</div>{side}", f'<main class="has-sidebar"><p>{text}</p></main>', f'<div class="layout with-sidebar"><article><p>{text}</p></article><div class=sidebar>x</div></div>']
+    assert [[t for t, _ in html.blocks_of(p)] for p in pages] == [[text]] * 3

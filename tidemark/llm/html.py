@@ -4,7 +4,9 @@ Workers parse each page into its elements, hash every element's subtree (tag, at
 page's text blocks, each with the hashes of the elements around it. Spark counts on how many pages of a host each subtree
 recurs; blocks inside subtrees that recur on many pages of their host are deleted. Besides, elements that are by name,
 role or class no article text go: menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments.
-Where a page has an ``article`` or ``main`` element, only text inside one counts. Paragraphs, headings and the like inside
+An element that holds ``main`` or
+half of the page's remaining text doesn't go by a class word. Where a page has an ``article`` or ``main`` element outside of
+what goes, only text inside one counts. Paragraphs, headings and the like inside
 an article are its text, and never a template, however often they recur.
 
 Cases: null and empty pages have an empty text; a page without a host belongs to the host ``""``; unclosed elements end
@@ -51,24 +53,33 @@ SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("dropped", "flow", "name", "parts", "tag", "within", "blocks", "keeps")
+    __slots__ = ("blocks", "chars", "dropped", "flow", "keeps", "main", "marked", "name", "parent", "parts", "tag", "within")
 
     def __init__(self, name: str, tag: str, parent: Element | None):
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(tag)} if len(tag) > len(name) + 2 else {}
         article = name in ("article", "main") or found.get("role") == "main"
-        self.name, self.tag, self.parts, self.blocks, self.keeps = name, tag, [], [], article
+        self.name, self.tag, self.parts, self.blocks, self.parent, self.chars = name, tag, [], [], parent, 0
         self.within = article or (parent is not None and parent.within)
         words = f"{found.get('class', '')} {found.get('id', '')}"
-        marked = name not in ("html", "body") and bool(words.strip() and DROPPED_WORDS.search(words))
+        self.marked = name not in ("html", "body") and bool(words.strip() and DROPPED_WORDS.search(words))
         gone = name in DROPPED or (name in OUTSIDE and not self.within) or found.get("role") in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-        self.dropped = marked or gone or (parent is not None and parent.dropped)
+        self.dropped = gone or (parent is not None and parent.dropped)
+        self.keeps = article and not self.dropped
+        self.main = self.keeps and name != "article"
         self.flow = self.within and name in FLOW
 
+    def goes(self, total: int) -> bool:
+        """The element or one around it goes by a class word, of a page with so many characters outside of what is dropped."""
+        e = self
+        while e is not None and not (e.marked and not e.main and 2 * e.chars < total):
+            e = e.parent
+        return e is not None
+
 
 def blocks_of(page: str) -> list[tuple[str, list[int]]]:
     """Text blocks of a page in order, each with the hashes of the subtrees around it that may be a template's."""
     root = Element("html", "", None)
-    stack, buffer, made = [root], [], []
+    stack, buffer, made, articles = [root], [], [], []
 
     def flush() -> None:
         raw = "".join(buffer)
@@ -78,9 +89,10 @@ def blocks_of(page: str) -> list[tuple[str, list[int]]]:
             top = stack[-1]
             top.parts.append(text)
             if not top.dropped:
-                made.append((text, top.within, hashes := []))
+                made.append((text, top, hashes := []))
                 for e in stack:
                     e.blocks.append(hashes)
+                    e.chars += len(text)
 
     def close() -> None:
         e = stack.pop()
@@ -88,6 +100,7 @@ def blocks_of(page: str) -> list[tuple[str, list[int]]]:
         digest = hashlib.blake2b(content.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         stack[-1].parts.append(digest.hex())
         stack[-1].keeps |= e.keeps
+        stack[-1].main |= e.main
         if not e.keeps and not e.flow:
             value = int.from_bytes(digest, "little", signed=True)
             for hashes in e.blocks:
@@ -131,6 +144,8 @@ def blocks_of(page: str) -> list[tuple[str, list[int]]]:
                 break
         if name != "hr":
             stack.append(Element(name, tag, stack[-1]))
+            if stack[-1].keeps:
+                articles.append(stack[-1])
             if tag.endswith("/>"):
                 close()
     if at < len(page):
@@ -139,7 +154,8 @@ def blocks_of(page: str) -> list[tuple[str, list[int]]]:
     flush()
     while len(stack) > 1:
         close()
-    return [(text, hashes) for text, within, hashes in made if within or not root.keeps]
+    only = any(not e.goes(root.chars) for e in articles)
+    return [(text, hashes) for text, e, hashes in made if (e.within or not only) and not e.goes(root.chars)]
 
 
 PARSED = "key bigint, page_id bigint, url string, host string, blocks array<struct<text:string,around:array<bigint>>>"
