@@ -368,3 +368,10 @@ def test_class_words_and_comment_articles_leave_the_page(spark):
     side = "<section class=comments><article>a comment</article></section><aside><article>teaser</article></aside>"
     pages = [f"<div>{text}</div>{side}", f'<main class="has-sidebar"><p>{text}</p></main>', f'<div class="layout with-sidebar"><article><p>{text}</p></article><div class=sidebar>x</div></div>']
     assert [[t for t, _ in html.blocks_of(p)] for p in pages] == [[text]] * 3
+
+
+def test_templates_of_few_pages_go_and_copies_stay(spark):
+    menu, copied = "<div>section notice</div>", "<div><p>a copied page</p></div>"
+    rows = [(i, "http://h.org/", f"<div><p>text {i}</p></div>{menu if i < 8 else ''}") for i in range(200)] + [(200 + i, "http://h.org/", copied) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}" if i < 200 else "a copied page" for i in range(209)}

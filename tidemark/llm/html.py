@@ -10,7 +10,7 @@ what goes, only text inside one counts. Paragraphs, headings and the like inside
 an article are its text, and never a template, however often they recur.
 
 Cases: null and empty pages have an empty text; a page without a host belongs to the host ``""``; unclosed elements end
-with their parent; repeated rows count as pages each and give repeated results; other columns are ignored.
+with their parent; pages of equal text count as one and give a result each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow, saved, table
 
-#: A subtree is a template's if it recurs on so many pages of its host, and on such a share of them.
+#: A subtree is a template's if it recurs on so many pages of its host, pages of equal text counting as one.
 MIN_PAGES = 5
-MIN_SHARE = 0.1
 #: Up to so many templates (a host and a hash each) are broadcast; beyond, they are joined.
 FEW_TEMPLATES = 50_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?:script|style|noscript|template|iframe|svg|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?:script|style|noscript|template|iframe|svg|textarea|title)\s*>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.DOTALL | re.IGNORECASE)
@@ -180,18 +179,17 @@ def parse(pages: DataFrame) -> DataFrame:
     return map_arrow(pages.select(F.xxhash64("page_id", "url", "html").alias("key"), "page_id", "url", "html"), run, PARSED, rows=256)
 
 
-def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Subtrees (host, hash) that recur on many pages of their host."""
-    hashes = parsed.select("host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash"))
-    pages = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = hashes.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return counted.join(pages, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+    content = F.xxhash64("blocks.text").alias("content")
+    hashes = parsed.select("host", content, F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash")).distinct()
+    return hashes.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "hash")
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     parsed = saved(parse(pages), "html-parsed")
-    found = saved(templates(parsed, min_pages, min_share), "html-templates")
+    found = saved(templates(parsed, min_pages), "html-templates")
     none = F.expr("cast(array() as array<bigint>)")
     if found.limit(FEW_TEMPLATES + 1).count() <= FEW_TEMPLATES:
         by_host = F.broadcast(found.groupBy("host").agg(F.collect_set("hash").alias("all")))
