@@ -71,16 +71,40 @@ def test_op3_on_the_smallest_table(spark, sf):
     assert got == brute_top(fine, 20, 20)
 
 
-def test_many_blocks_ties_and_copies(spark):
+@pytest.mark.parametrize(("block", "pivots", "page", "held"), [(100, 7, 16, 32), (40, 2, 8, 1000), (5000, 1, 64, 7)])
+def test_many_blocks_ties_and_copies(spark, monkeypatch, block, pivots, page, held):
+    monkeypatch.setattr(mtree, "PAGE", page)
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", held)
     r = np.random.default_rng(0)
     base = r.integers(-9, 9, (900, 6))
     x = np.vstack([base, np.repeat(base[:1], 400, axis=0), base[:100]])
     vectors = [(i, v.tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame(vectors, "vec_id long, v array<bigint>")
-    got = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"]) for q in mtree.Index(df, block=100, max_pivots=7).top_k(df.filter("vec_id % 20 = 0"), 20).collect())
+    got = sorted((q["query_id"], q["rank"], q["vec_id"], q["score"]) for q in mtree.Index(df, block=block, max_pivots=pivots).top_k(df.filter("vec_id % 20 = 0"), 20).collect())
     assert got == brute_top(vectors, 20, 20)
 
 
+def test_search_prunes_and_finds_all():
+    """Small clusters far apart: pages and vectors are left out, results are those of brute force; so with huge components."""
+    r = np.random.default_rng(3)
+    for scale in (1, 1 << 22):
+        x = np.vstack([r.integers(-3, 3, (300, 4)) + c for c in r.integers(-200, 200, (8, 4))]) * scale
+        top, ids = float((x.astype(float) ** 2).sum(axis=1).max()) * (1 + 1e-9), np.arange(len(x))
+        lift = mtree.lifted(x, top)
+        got = mtree.search(mtree.build(lift, lift[0]), mtree.narrow(x), ids, lift[0], x[::20], ids[::20], top, 20, np.full(len(x[::20]), -np.inf))
+        for i, q in enumerate(ids[::20]):
+            want = sorted((-int(s), j) for j, s in enumerate((x.astype(object) @ x[q].astype(object)).tolist()) if j != q)[:20]
+            mine = got.query == i
+            assert sorted(zip((-got.score[mine]).tolist(), got.id[mine].tolist(), strict=True)) == want
+
+
+def test_repeated_ids_and_few_rows(spark):
+    rows = [(0, [1, 2]), (0, [1, 1]), (1, [3]), (1, [3]), (2, [0, -5])] + [(20, [9, 9])] * 300
+    df = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    got = mtree.Index(df, block=50).top_k(df.filter("vec_id % 20 = 0"), 3).collect()
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in got) == [(0, 20, 18)] * 3 + [(20, 0, 18), (20, 0, 27), (20, 1, 27)]
+
+
 def test_bad_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.5]), (20, None), (1, [float("nan"), 1.0]), (2, [None, 1.0]), (3, [float("inf"), 1.0]), (4, [-0.01, 0.0])]
     v = mtree.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as v"))
