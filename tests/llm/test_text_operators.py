@@ -67,6 +67,41 @@ def test_pii_fuzz_and_edges(spark):
     assert null["spans"] == "" and null["n_email"] == 0
 
 
+def brute_redact(text, spans):
+    """``spans``: (start, end, kind)."""
+    out, at = "", 0
+    for a, b, kind in sorted(spans):
+        if a >= at:
+            out += text[at:a] + f"<{kind.upper()}>"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_long_texts_of_many_matches(spark):
+    """Megabytes of labels and mixed spans end soon, with spans apart and texts cut as plain Python does it."""
+    r = random.Random(9)
+    some = ["joe (at) mail.cc", "a.b@c.org", "+1 (555) 123-4567", "(212) 555-0187", "Mr John Smith", 'token = "abcdef0123456789abcdef0123456789"', "é😀", "4111111111111111", "x.y@z (at) q.com", "n" * 1500]
+    texts = {1: "joe (at) mail" + ".cc" * 30_000, 2: "".join(r.choice(some) + r.choice([" ", ", ", "\n"]) for _ in range(5_000)), 3: "a@b.cc " * 20_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.digests(df).collect()}
+    check_pii(rows.values(), texts)
+    cut = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    for d, row in rows.items():
+        found = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in row["spans"].split(","))]
+        base = sorted((a, b) for a, b, k in found if k in pii.BASE)
+        assert all(b <= c for (_, b), (c, _) in zip(base, base[1:], strict=False)) or d != 3
+        extra = sorted((a, b) for a, b, k in found if k in pii.EXTRA)
+        assert not {i for a, b in base for i in range(a, b)} & {i for a, b in extra for i in range(a, b)}
+        assert cut[d] == brute_redact(texts[d], found)
+
+
+def test_added_spans_are_the_planted_secrets(spark, texts):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {(r["doc_id"], m.start(), m.end()) for r in df.collect() for m in re.finditer('token = "[0-9a-f]{40}"', r["text"] or "")}
+    added = {(r["doc_id"], int(a), int(b)) for r in pii.digests(df).collect() for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k in pii.EXTRA}
+    assert planted and added == planted
+
+
 def test_redaction_hides_all_spans(spark):
     rows = [(1, "é mail a.b@c.org or +1 (555) 123-4567, card 4111111111111111; call (212) 555-0187 now", 1), (2, None, 2), (3, "clean", 3)] * 3
     got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, spans int")).collect()}
