@@ -13,7 +13,7 @@ from tidemark.llm import bpe, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIB = Tokenizer.from_file(PATH)
-ENC = bpe.Encoder(PATH)
+ENC = bpe.Encoder(PATH, bpe.classes())
 TRICKY = ["", "  ", "Hello  WORLD's 123 é", "x<|endoftext|>y <|startoftext|><|endoftext|>", "<|endoftext|", "a" * 5000, "the" * 300, "aaa aaaa", "ΣΑΣ İ", "é x\x1fy,\x1f|\xa0z\x85", "漢字🙂３", "\x00"]
 ROWS = [(1, "ab cd", "en"), (1, "ab cd", "en"), (2, None, None), (None, "zz", "de"), (3, "", "en"), (4, "word " * 9000, "fr")]
 
@@ -29,6 +29,16 @@ def test_tricky_texts_encode_as_the_library(text):
     assert (np.frombuffer(ids, "<u4").tolist(), decoded.decode()) == library(text)
 
 
+def test_every_code_point_encodes_as_the_library():
+    """By itself among letters and digits; beyond plane 3 every 97th."""
+    codes = [*range(1, 0xD800), *range(0xE000, 0x40000), *range(0x40000, 0x110000, 97)]
+    for start in range(0, len(codes), 20_000):
+        chunks = [f"a{chr(c)}B1{chr(c)}\u0301" for c in codes[start : start + 20_000]]
+        got = ENC.encode_decode([c.encode() for c in chunks])
+        for c, (ids, _), want in zip(chunks, got, LIB.encode_batch(chunks, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids, ascii(c)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from(list("aaabbcdeéÉßΣσ'sStTreE 12３.,!<|>\n\t́漢🙂İ")), max_size=60))
 def test_fuzzed_texts_encode_as_the_library(text):

@@ -3,7 +3,8 @@
 Texts are cut at ASCII white space; the tokenizer never joins symbols across it, so equal chunks have equal ids and a
 bounded cache in each Python worker holds them. The chunks that a batch has and the cache has not are encoded together:
 the symbols of all their words lie in one flat array, each round looks up every neighbouring pair in the sorted pair keys
-by binary search, and every word applies its lowest-ranked pair.
+by binary search, and every word applies its lowest-ranked pair. Normal form, lower case and the classes of characters are
+the tokenizers library's, as its tables are of another Unicode version than Python's; splitting and merging are done here.
 
 Cases: null and empty texts have no ids and decode to an empty text; repeated rows give repeated results; the strings of
 the special tokens inside a text are those tokens, as in the library; other columns are ignored.
@@ -14,18 +15,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from tidemark.llm.common import as_bytes, map_arrow, table
 
-#: Entries of a worker's chunk cache before it starts anew.
-CACHE_CHUNKS = 600_000
+#: Entries of a worker's chunk cache, and bytes of chunks in it, before it starts anew.
+CACHE_CHUNKS, CACHE_BYTES = 600_000, 1 << 25
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -38,27 +38,35 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
-def class_of(kind: str) -> str:
-    """A character class of all code points of a general category, as ranges."""
-    codes = np.array([c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind])
-    first = codes[np.r_[True, np.diff(codes) != 1]]
-    last = codes[np.r_[np.diff(codes) != 1, True]]
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True))
-
-
-LETTERS, NUMBERS = class_of("L"), class_of("N")
-SPACES = r"\t-\r \x85" + class_of("Z")
+@lru_cache(1)
+def classes() -> tuple[str, str, str]:
+    """Character classes of letters, numbers and white space, as ranges: those of the tokenizers library's own regular
+    expressions, whose Unicode version is not Python's. Found on the driver by splitting a text of all code points that are or
+    may become letters (planes 4 to 13 have none, planes 15 and 16 are private); workers get the ranges."""
+    text = "".join(chr(c) for c in [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)])
+    split = lambda pattern, how, t: pre_tokenizers.Split(Regex(pattern), how).pre_tokenize_str(t)
+    out = {r"\p{L}": [], r"\p{N}": [], r"\s": []}
+    for piece, _ in split(r"\p{L}+|\p{N}+|\s+", "isolated", text):
+        for kind, ranges in out.items():
+            if not split(kind, "removed", piece[0]):
+                codes = np.array([ord(c) for c in piece])
+                cut = np.flatnonzero(np.diff(codes) != 1)
+                ranges += [f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[np.r_[0, cut + 1]], codes[np.r_[cut, -1]], strict=True)]
+    return tuple("".join(r) for r in out.values())
 
 
 class Encoder:
     """A byte-level BPE with word ends, read from a tokenizers file."""
 
-    WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+|\n")
     ASCII_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|\n")
 
-    def __init__(self, path: str, named: bool = True):
-        """named: keep the tokens' strings too, for decoding."""
-        self.named = named
+    NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+    def __init__(self, path: str, kinds: tuple[str, str, str], named: bool = True):
+        """kinds: output of ``classes``; named: keep the tokens' strings too, for decoding."""
+        self.named, self.held = named, 0
+        letters, numbers, spaces = kinds
+        self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+|\n")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], dict(spec["model"]["vocab"])
@@ -93,10 +101,7 @@ class Encoder:
         blob = b"\n".join(chunks) + b"\n"
         if blob.isascii():
             return self.ASCII_WORD.findall(blob.lower())
-        text = unicodedata.normalize("NFC", blob.decode("utf-8", "replace"))
-        # character by character where Python's lower() would look at the neighbours
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return [w.encode() for w in self.WORD.findall(text)]
+        return [w.encode() for w in self.word.findall(self.NORMAL.normalize_str(blob.decode("utf-8", "replace")))]
 
     def rank_of(self, left: np.ndarray, right: np.ndarray, together: np.ndarray) -> np.ndarray:
         """Ranks of neighbouring symbols, by binary search in the sorted pair keys."""
@@ -196,10 +201,12 @@ class Encoder:
     def split(self, texts: list[bytes]) -> list[list[bytes]]:
         """The chunks of each text; afterwards the cache has them all."""
         split = [t.split() for t in texts]
-        if len(self.ids) > CACHE_CHUNKS:
+        if len(self.ids) > CACHE_CHUNKS or self.held > CACHE_BYTES:
             self.ids.clear(), self.names.clear()
+            self.held = 0
         if new := set().union(*split).difference(self.ids):
             self.learn(list(new))
+            self.held += sum(map(len, new))
         return split
 
     def encode_ids(self, texts: list[bytes]) -> list[bytes]:
@@ -214,17 +221,17 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(path: str, named: bool = True) -> Encoder:
+def encoder(path: str, kinds: tuple[str, str, str], named: bool = True) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(path, named)
+    return Encoder(path, kinds, named)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with ``ids`` (array of long) and ``decoded`` of every text."""
-    fields = {f.name: f.dataType.simpleString() for f in df.schema}
+    fields, kinds = {f.name: f.dataType.simpleString() for f in df.schema}, classes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = encoder(path).encode_decode(as_bytes(batch.column(text)))
+        got = encoder(path, kinds).encode_decode(as_bytes(batch.column(text)))
         ids = [np.frombuffer(i, "<u4").astype(np.int64) for i, _ in got]
         cols = [batch.column(k) for k in keep] + [pa.array(ids, pa.list_(pa.int64())), pa.array([d for _, d in got], pa.binary()).cast(pa.string())]
         return pa.RecordBatch.from_arrays(cols, [*keep, "ids", "decoded"])
@@ -236,9 +243,10 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
 
 def digests(df: DataFrame, path: str) -> DataFrame:
     """``encode`` with only the digests leaving the workers: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    kinds = classes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = encoder(path).encode_decode(as_bytes(batch.column("text")))
+        got = encoder(path, kinds).encode_decode(as_bytes(batch.column("text")))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got]), pa.array([hashlib.sha256(d).hexdigest() for _, d in got])],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

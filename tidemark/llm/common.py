@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one where none is set, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a local one, but only if the
+    executors are threads of the driver's process, as in tests: elsewhere they would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = os.path.join(tempfile.gettempdir(), f"tidemark-{os.getuid()}")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -52,11 +55,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Small batches, so that what a worker holds does not depend on Spark's batch size."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """Small batches by rows and by bytes, so that what a worker holds depends neither on Spark's batch size nor on how long
+    the texts are that come together."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        start = 0
+        while start < batch.num_rows:
+            some = batch.slice(start, rows)
+            while some.num_rows > 1 and some.nbytes > size:
+                some = some.slice(0, some.num_rows // 2)
+            yield some
+            start += some.num_rows
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

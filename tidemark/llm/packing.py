@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import encoder
+from tidemark.llm.bpe import classes, encoder
 from tidemark.llm.common import as_bytes, map_arrow, table
 
 LENGTH = 4096
@@ -50,11 +50,11 @@ def first_fit(sizes: list[int], capacity: int) -> list[int]:
 
 def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
     """One row for each piece of at most ``length`` tokens: doc_id, start, length, ids_crc32, doc_tokens, salt."""
-    end = end_id.to_bytes(4, "little")
+    end, kinds = end_id.to_bytes(4, "little"), classes()
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         rows = []
-        for doc, salt, ids in zip(batch.column("doc_id").to_pylist(), batch.column("salt").to_pylist(), encoder(path, False).encode_ids(as_bytes(batch.column("text"))), strict=True):
+        for doc, salt, ids in zip(batch.column("doc_id").to_pylist(), batch.column("salt").to_pylist(), encoder(path, kinds, False).encode_ids(as_bytes(batch.column("text"))), strict=True):
             ids += end
             n = len(ids) // 4
             rows += [(doc, a, min(length, n - a), zlib.crc32(ids[4 * a : 4 * (a + length)]), n, salt) for a in range(0, n, length)]
