@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -410,3 +411,19 @@ def test_templates_of_few_pages_go_and_copies_stay(spark):
     rows = [(i, "http://h.org/", f"<div><p>text {i}</p></div>{menu if i < 8 else ''}") for i in range(200)] + [(200 + i, "http://h.org/", copied) for i in range(9)]
     got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"text {i}" if i < 200 else "a copied page" for i in range(209)}
+
+
+def test_forms_and_state_words_keep_the_article():
+    text = "the text of the page"
+    more = "<p>a sidebar with far more text than there is in the article itself, on and on</p>"
+    pages = [f"<form id=aspnet><article><p>{text}</p><form>q</form></article></form>", f'<article><div class="entry-content has-share"><p>{text}</p></div><div>{text}</div></article>', f"<form><article>{text}</article></form><div class=sidebar>{more}</div>"]
+    assert ["\n".join(dict.fromkeys(t for t, _ in html.blocks_of(p))) for p in pages] == [text] * 3
+    assert [t for t, _ in html.blocks_of("<p title='a>b' x=\"c>d\">one<p it's>two")] == ["one", "two"]
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a ='", "<a ", "<", "<div>", "</div>", "<!", "<p x='>", "<script", "<div></p>", "&", "<li><ul>"])
+def test_malformed_long_pages_end_soon(part):
+    page = f"<p>first</p>{part * (2_000_000 // len(part))}"
+    began = time.time()
+    assert html.blocks_of(page)[0][0] == "first"
+    assert time.time() - began < 20
