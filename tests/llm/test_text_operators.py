@@ -239,7 +239,7 @@ def test_join_edges(spark, edge):
     assert len(got) == len(EDGE) and all(r["component_id"] == r["doc_id"] for r in got if r["n_shingles"] == 0)
     assert ngramjoin.near_duplicates(edge.limit(0)).count() == 0
     one = ngramjoin.one_of_each(edge)
-    assert one.count() == len(EDGE) - 1 and one.columns == edge.drop("key").columns
+    assert one.count() == len(EDGE) - 1 and one.columns == edge.columns and {r["key"] for r in one.collect()} == {"clash"}
 
 
 def test_op2_learns_from_the_other_folds(spark, sf):
@@ -322,7 +322,7 @@ def test_templates_of_lines_generalise(spark):
 def test_line_dedup_edges(spark, edge):
     got = linededup.dedup(edge).collect()
     assert len(got) == len(EDGE) and all(r["n_dropped"] == 0 for r in got)
-    assert {r["doc_id"]: r["text"] for r in got}[1] is None
+    assert {r["doc_id"]: r["text"] for r in got}[1] is None and {r["key"] for r in got} == {"clash"}
     assert linededup.dedup(edge.limit(0)).count() == 0
 
 

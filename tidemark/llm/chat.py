@@ -16,7 +16,7 @@ The template is ``<|im_start|>role\\ntext<|im_end|>\\n``. A backslash goes befor
 
 Cases: null roles and texts are empty; turns are ordered by turn, role and text, null first, and repeated rows are
 repeated turns; a null conv_id is a conversation of its own; equal conversations share all nodes; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored. In the query, rows of the table's own conversation -1 and the added one's are one conversation.
 """
 
 from __future__ import annotations

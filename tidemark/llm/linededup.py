@@ -19,7 +19,8 @@ positions share all tokens of one such class, so they meet within k rounds, unle
 itself; then chance deals it anew in each round.
 
 Cases: null and empty texts stay as they are; repeated rows and near copies have one mark and count once; ties between templates go to
-the first in the order of hashes; an empty table gives no rows; ``dedup`` keeps other columns.
+the first in the order of hashes; an empty table gives no rows; ``dedup`` keeps other columns, except that ``n_lines`` and
+``n_dropped`` are its own.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, map_arrow, release, saved, table
+from tidemark.llm.common import as_bytes, free_name, map_arrow, release, saved, table
 from tidemark.llm.ngramjoin import components, mix, sets_of
 
 DEPTH = 3
@@ -250,17 +251,17 @@ def recurring(found: DataFrame, marks: DataFrame, docs: DataFrame, min_words: in
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` (doc_id, text, ...) with recurring lines dropped from ``text``, and n_lines, n_dropped."""
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     found = saved(lines(keyed, min_words), "lines-hashes")
     marks = near_copies(keyed)
     gone = found.join(recurring(found, marks, keyed, min_words, min_docs, similarity), "line", "left_semi")
-    drops = gone.select("key", "at").distinct().groupBy("key").agg(F.collect_set("at").alias("drops"))
+    key, drops = free_name("key", docs.columns), free_name("drops", docs.columns)
+    cuts = gone.select("key", "at").distinct().groupBy("key").agg(F.collect_set("at").alias(drops)).withColumnRenamed("key", key)
     all_lines = F.split("text", "\n", -1)
-    none = F.expr("cast(array() as array<int>)")
-    cut = F.coalesce("drops", none)
+    cut = F.coalesce(drops, F.expr("cast(array() as array<int>)"))
     kept = F.filter(all_lines, lambda x, i: ~F.array_contains(cut, i))
-    joined = keyed.join(drops, "key", "left").withColumn("n_lines", F.coalesce(F.size(all_lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.size(cut).cast("long"))
-    return joined.withColumn("text", F.when(F.size(cut) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop("key", "drops")
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(cuts, key, "left").withColumn("n_lines", F.coalesce(F.size(all_lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.size(cut).cast("long"))
+    return joined.withColumn("text", F.when(F.size(cut) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop(key, drops)
 
 
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

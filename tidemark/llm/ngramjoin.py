@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, map_arrow, release, saved, slices, table
+from tidemark.llm.common import as_bytes, free_name, map_arrow, release, saved, slices, table
 
 FREQUENT = 256
 LISTED = 16
@@ -305,7 +305,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -318,11 +318,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id, all columns kept.
     Rows without words stay."""
-    with_key = keyed(docs)
-    linked = link(with_key, width, percent)
-    first = linked.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("f")).select(F.col("f.key").alias("key"))
-    bare = with_key.join(linked.filter("comp is null").select("key").distinct(), "key", "left_semi")
-    return with_key.join(first, "key", "left_semi").dropDuplicates(["key"]).unionByName(bare).drop("key")
+    key = free_name("key", docs.columns)
+    with_key = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    linked = link(keyed(docs), width, percent)
+    first = linked.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("f")).select(F.col("f.key").alias(key))
+    bare = with_key.join(linked.filter("comp is null").select(F.col("key").alias(key)).distinct(), key, "left_semi")
+    return with_key.join(first, key, "left_semi").dropDuplicates([key]).unionByName(bare).drop(key)
 
 
 def op7_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
