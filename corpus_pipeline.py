@@ -1,6 +1,9 @@
 """Cleans, deduplicates, redacts and packs ``documents``: STAGES in order, each written and read again.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+
+Cases, for every stage: null and empty texts, nulls in other columns, repeated rows, an empty table and further columns of any
+name pass without failing. Repeated rows are kept or dropped together, but for near_duplicates, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -23,27 +26,29 @@ def with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: those of under ten words (so null and empty texts) or of repeated words, and
+    outliers of their language and source."""
     return keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from every text."""
+    """Recurring lines go from every text; a text may become empty, null stays null, no row goes."""
     return with_length(dedup(docs), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 80 % of their five-word shingles, linked directly or by others, one stays."""
+    """Of documents that share 80 % of their five-word shingles, linked directly or by others, one stays: that of the smallest doc_id.
+    Texts without words all stay."""
     return one_of_each(docs, width=5, percent=80)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes the name of its kind."""
+    """Personal data becomes the name of its kind; null texts stay null, no row goes."""
     return with_length(redact(docs), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every token lies in sequences of 4096."""
+    """Where every token lies in sequences of 4096; null and empty texts are the end token alone."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
