@@ -8,8 +8,8 @@ and their pair is: combinations of two index the frequent class. Large sets woul
 ``PAIR_SIZE`` * t tokens on they index frequent tokens singly too, and from ``PAIR_SIZE`` / t on only so; sets on either
 side of a limit then still meet. Keys that no short prefix has are dropped.
 
-Within a key no pairs are multiplied out at first: each member meets two members that a hash picks for the key. Candidates
-pass a lossless bound from parity sketches of as many bits as the set has tokens, and are then verified on whole sets. The
+Within a key no pairs are multiplied out at first: each member meets two members that one of ``TURNS`` hashes picks for the
+key. Candidates pass a lossless bound from parity sketches of as many bits as the set has tokens, and are then verified on whole sets. The
 verified links join most members of a key into few components. Only members in different components then meet, short with
 long, if what follows the key in both prefixes leaves room for enough common tokens: the first tokens that a linked pair
 shares always pass. Links inside a component add nothing to it, so no link between components is lost.
@@ -40,6 +40,8 @@ PAIR_SIZE = 200
 #: Bits of a sketch at least; sets with more tokens have as many, rounded up to a power of two.
 SKETCH = 512
 CHUNK_DOCS = 4096
+#: Ways to choose the two members that all others of a key meet first.
+TURNS = 16
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -274,10 +276,12 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     nodes = saved(rows.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "join-nodes")
     keyed = postings(docs, width, percent, listed["token"].to_numpy(np.int64), listed["times"].to_numpy(np.int64)).join(nodes.select("key", "node"), "key").dropDuplicates(["node"])
     index = saved(keyed.select("node", F.inline(F.arrays_zip(F.col("keys").alias("k"), F.col("marks").alias("w")))), "join-index")
-    # the members whose scrambled hash is least and greatest: others for each key
-    turned = F.col("node").bitwiseXOR(F.col("k"))
+    # the members whose scrambled hash is least and greatest. There are TURNS ways to scramble, one for each key, so that a
+    # member meets others by other keys, yet a group with many keys in common has few pairs to try.
+    turn = F.xxhash64(F.pmod("k", F.lit(TURNS)))
+    turned = F.col("node").bitwiseXOR(turn)
     ends = index.groupBy("k").agg(F.count("*").alias("c"), F.max(F.col("w") % 2).alias("short"), F.min(turned).alias("x"), F.max(turned).alias("y")).filter("c > 1 AND short = 1")
-    ends = ends.select("k", "c", F.col("x").bitwiseXOR(F.col("k")).alias("lo"), F.col("y").bitwiseXOR(F.col("k")).alias("hi"))
+    ends = ends.select("k", "c", F.col("x").bitwiseXOR(turn).alias("lo"), F.col("y").bitwiseXOR(turn).alias("hi"))
     met = saved(index.join(ends, "k"), "join-met")
     release(index)
     order = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
