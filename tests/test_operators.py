@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import prob, text
 from tidemark.models import glm
-from tidemark.operators import lookup, quality, resolve, scoring, stats, temporal
+from tidemark.operators import lookup, quality, ratings, resolve, scoring, stats, temporal
 from tidemark.sources import raw, snapshot
 from tidemark.streaming import streams
 
@@ -68,7 +68,7 @@ def brute_elo(rows):
 
 def test_elo_is_a_daily_fold(spark):
     rows = contests()
-    got = {r["match_id"]: (r["home_elo"], r["away_elo"], r["home_played"], r["away_played"]) for r in temporal.elo(spark.createDataFrame(rows, CONTESTS), "league").collect()}
+    got = {r["match_id"]: (r["home_elo"], r["away_elo"], r["home_played"], r["away_played"]) for r in ratings.elo(spark.createDataFrame(rows, CONTESTS), "league").collect()}
     want = brute_elo(rows)
     assert got.keys() == want.keys()
     for k, v in want.items():

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.temporal import ELO_OUT, Ladder
+from tidemark.operators.ratings import seasons_of
 
 
 def standardised(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -70,19 +70,9 @@ def ordered_logit(gap: np.ndarray, outcome: np.ndarray, count: np.ndarray, steps
 
 
 def tune_elo(contests: DataFrame, ladder: str, grid: Sequence[dict], first_season: int) -> DataFrame:
-    """setting, loss, n: ordered-logit loss of home win, draw and away win by rating gap, for each Elo setting. The folds of
-    settings and ladders are separate tasks; gaps are counted in steps of five points before they are fitted."""
-    numbered = contests.sparkSession.createDataFrame([(i,) for i in range(len(grid))], "setting int")
-    spread = contests.crossJoin(F.broadcast(numbered))  # the grid is a parameter, a few settings
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = Ladder(grid[int(key[0])]), []
-        for _, some in rows.sort_values(["day", "match_id"]).groupby("day", sort=True):
-            out += state.day(some.to_dict("records"))
-        frame = pd.DataFrame(out, columns=["match_id", "home_elo", "away_elo", "home_played", "away_played"])
-        return frame.assign(setting=int(key[0]))
-
-    rated = spread.groupBy("setting", ladder).applyInPandas(fold, ELO_OUT + ", setting int")
+    """setting, loss, n: ordered-logit loss of home win, draw and away win by rating gap, for each Elo setting. A ladder's season
+    is read once for all settings; gaps are counted in steps of five points before they are fitted."""
+    rated = seasons_of(contests, ladder, "day", grid)
     known = contests.filter(F.col("played") & (F.col("season") >= first_season)).select("match_id", (F.sign(F.col("home_goals") - F.col("away_goals")) + 1).cast("int").alias("outcome"))
     binned = rated.join(known, "match_id").groupBy("setting", (F.floor((F.col("home_elo") - F.col("away_elo")) / 5) * 5).alias("gap"), "outcome").agg(F.count("*").alias("n"))
 

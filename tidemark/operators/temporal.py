@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,13 +136,30 @@ def new_members(rows: DataFrame, entity: str, row_id: str, day: str, members: st
     return rows.join(fresh, [entity, row_id], "left")
 
 
+def newest_before(rows: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], values: dict[str, Column], last: int) -> DataFrame:
+    """``rows`` with, for each of ``values``, the array of its last ``last`` non-null values of earlier days, newest first.
+
+    A day's values become one sorted array; days are numbered by those that have a value, so that a frame of ``last`` numbers
+    holds enough, however long a key's history is."""
+    held = {name: F.collect_list(F.when(v.isNotNull(), F.struct(*order, v.alias("__x")))) for name, v in values.items()}
+    newest = {name: F.transform(F.slice(F.sort_array(c, False), 1, last), lambda x: x["__x"]).alias(name) for name, c in held.items()}
+    days = rows.groupBy(*keys, day).agg(*newest.values())
+    for name in values:
+        number = F.coalesce(F.count_if(F.size(name) > 0).over(before(keys, day)), F.lit(0)) + 1
+        days = days.withColumn(f"__n_{name}", number)
+    for name in values:
+        frame = W.partitionBy(*keys).orderBy(f"__n_{name}").rangeBetween(-last, -1)
+        earlier = F.sort_array(F.collect_list(F.when(F.size(name) > 0, F.struct(f"__n_{name}", F.col(name).alias("__a")))).over(frame), False)
+        days = days.withColumn(f"__p_{name}", F.slice(F.flatten(F.transform(earlier, lambda x: x["__a"])), 1, last))
+    days = days.select(*keys, day, *(F.col(f"__p_{n}").alias(n) for n in values))
+    return rows.join(days, [*keys, day], "left")
+
+
 def regulars_missing(rows: DataFrame, entity: str, order: str, day: str, members: str, last: int = 10, least: int = 5, name: str = "regulars_missing") -> DataFrame:
     """Share of the entity's regulars (members of at least ``least`` of its last ``last`` earlier sets) that are absent; null
     with fewer sets or no regular."""
-    w = W.partitionBy(entity).orderBy(day).rangeBetween(W.unboundedPreceding, -1)
-    past = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(F.col(day), F.col(order), F.col(members).alias("m"))).over(w))), 1, last)
-    out = rows.withColumn("__past", past)
-    everyone = F.flatten(F.transform("__past", lambda x: x["m"]))
+    out = newest_before(rows, [entity], day, [order], {"__past": F.col(members)}, last)
+    everyone = F.flatten("__past")
     often = F.filter(F.array_distinct(everyone), lambda m: F.size(F.filter(everyone, lambda x: x == m)) >= least)
     out = out.withColumn("__reg", F.when(F.size("__past") >= last, often))
     absent = F.size(F.array_except("__reg", F.col(members)))
@@ -152,13 +168,9 @@ def regulars_missing(rows: DataFrame, entity: str, order: str, day: str, members
 
 def last_rows_mean(rows: DataFrame, keys: Sequence[str], day: str, order: str, values: Sequence[str], last: int) -> DataFrame:
     """Means of the last ``last`` rows of earlier days, null values skipped."""
-    w = W.partitionBy(*keys).orderBy(day).rangeBetween(W.unboundedPreceding, -1)
-    out = rows
-    for v in values:
-        kept = F.collect_list(F.when(F.col(v).isNotNull(), F.struct(F.col(day).alias("d"), F.col(order).alias("o"), F.col(v).cast("double").alias("v")))).over(w)
-        newest = F.slice(F.reverse(F.array_sort(kept)), 1, last)
-        out = out.withColumn(f"{v}_last{last}", F.when(F.size(newest) > 0, F.aggregate(newest, F.lit(0.0), lambda a, x: a + x["v"]) / F.size(newest)))
-    return out
+    out = newest_before(rows, keys, day, [order], {f"__{v}": F.col(v).cast("double") for v in values}, last)
+    mean = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c))
+    return out.withColumns({f"{v}_last{last}": mean(f"__{v}") for v in values}).drop(*(f"__{v}" for v in values))
 
 
 def percentile_rank(rows: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
@@ -169,87 +181,3 @@ def percentile_rank(rows: DataFrame, group: Sequence[str], value: str, name: str
     ties = F.count("*").over(W.partitionBy(*group, value))
     return rows.withColumn(name, F.when(known, 100.0 * (rank + (ties - 1) / 2.0) / F.count("*").over(w)))
 
-
-ELO = {"k": 15.0, "home": 40.0, "regress": 0.0, "gap": 100.0, "base": 1500.0, "scale": 400.0, "lowest": 3}
-
-
-def goal_factor(margin: int) -> float:
-    """1 for a margin of up to one, 1.5 for two, (11 + n) / 8 beyond."""
-    n = abs(margin)
-    return 1.0 if n <= 1 else 1.5 if n == 2 else (11 + n) / 8
-
-
-class Ladder:
-    """Ratings of one ladder (a country's divisions), fed day by day. ``state`` is plain data, so a stream can keep it."""
-
-    def __init__(self, params: dict | None = None, state: dict | None = None):
-        self.p = ELO | (params or {})
-        self.state = state or {"rating": {}, "played": {}, "season": {}, "level": {}, "opened": None, "entry": {}, "mean": {}}
-
-    def open_season(self, season: int) -> None:
-        s = self.state
-        if s["opened"] is not None and season <= s["opened"]:
-            return
-        s["opened"] = season
-        s["entry"], s["mean"] = {}, {}
-        by_level: dict[int, list[float]] = {}
-        for team, level in s["level"].items():
-            if s["season"][team] == season - 1:
-                by_level.setdefault(level, []).append(s["rating"][team])
-        for level, ratings in by_level.items():
-            low = sorted(ratings)[: self.p["lowest"]]
-            s["mean"][level], s["entry"][level] = sum(ratings) / len(ratings), sum(low) / len(low)
-
-    def prepare(self, team: int, season: int, level: int) -> None:
-        s = self.state
-        if team in s["season"] and season <= s["season"][team]:
-            return
-        self.open_season(season)
-        if s["season"].get(team) == season - 1:
-            m = s["mean"].get(level, s["rating"][team])
-            s["rating"][team] = m + (1 - self.p["regress"]) * (s["rating"][team] - m)
-        else:
-            s["rating"][team] = s["entry"].get(level, self.p["base"] - (self.p["gap"] if level == 2 else 0.0))
-        s["season"][team], s["level"][team] = season, level
-        s["played"].setdefault(team, 0)
-
-    def day(self, rows: list[dict]) -> list[dict]:
-        """Ratings before the day's contests; the day's results count from the next day on."""
-        s, out, pending = self.state, [], []
-        for r in rows:
-            home, away = r["home_id"], r["away_id"]
-            self.prepare(home, r["season"], r["level"])
-            self.prepare(away, r["season"], r["level"])
-            if r.get("regular", True):
-                s["level"][home] = s["level"][away] = r["level"]
-            rh, ra = s["rating"][home], s["rating"][away]
-            out.append({"match_id": r["match_id"], "home_elo": rh, "away_elo": ra, "home_played": s["played"][home], "away_played": s["played"][away]})
-            if r["played"] and r["home_goals"] is not None and r["away_goals"] is not None:
-                margin = int(r["home_goals"] - r["away_goals"])
-                expected = 1 / (1 + 10 ** (-(rh + self.p["home"] - ra) / self.p["scale"]))
-                result = 1.0 if margin > 0 else 0.5 if margin == 0 else 0.0
-                pending.append((home, away, self.p["k"] * goal_factor(margin) * (result - expected)))
-        for home, away, delta in pending:
-            s["rating"][home] += delta
-            s["rating"][away] -= delta
-            s["played"][home] += 1
-            s["played"][away] += 1
-        return out
-
-
-ELO_OUT = "match_id long, home_elo double, away_elo double, home_played int, away_played int"
-
-
-def elo(contests: DataFrame, ladder: str, day: str = "day", params: dict | None = None) -> DataFrame:
-    """Ratings before each contest. contests: match_id, ladder, season, level, day, home_id, away_id, home_goals, away_goals,
-    played. Each rating depends on all earlier days of its ladder, so a ladder is one task, and a ladder's contests of all
-    time its unit: a few thousand a season whatever else grows."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = Ladder(params), []
-        rows = rows.sort_values([day, "match_id"], kind="stable")
-        for _, some in rows.groupby(day, sort=True):
-            out += state.day([{k: (None if v is pd.NA or v != v else v) for k, v in r.items()} for r in some.to_dict("records")])
-        return pd.DataFrame(out, columns=["match_id", "home_elo", "away_elo", "home_played", "away_played"])
-
-    return contests.groupBy(ladder).applyInPandas(fold, ELO_OUT)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import quality as Q
 from tidemark.operators import temporal as T
 from tidemark.plans.base import HISTORY, MATCHES, SIDES, history, matches, query, r6, sides, table
+from tidemark.session import shared_folder
 
 
 @query(f"""WITH {SIDES} SELECT league, season, count(*) // 2 AS listed, count(DISTINCT team_id) * (count(DISTINCT team_id) - 1) AS expected FROM sides GROUP BY ALL""")
@@ -123,8 +123,7 @@ def k07_snapshot_round_trip(spark, sf):
     """A snapshot written, found and read again."""
     from tidemark.sources import snapshot
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    root = f"{base}/tidemark-snapshots-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/tidemark-snapshots-{uuid.uuid4().hex}"
     manifest = snapshot.write_snapshot(history(spark, sf), root, "2000-07-01")
     rows, _ = snapshot.read_snapshot(spark, root, manifest["version"])
     return rows.agg(F.count("*").alias("rows"), F.countDistinct("o_custkey").alias("customers"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import sides as S
 from tidemark.operators import temporal as T
+from tidemark.operators.ratings import elo
 from tidemark.plans.base import HISTORY, LINEUPS, MATCHES, SIDES, history, lineups, matches, query, r6, sides, table
 
 W01 = f"""WITH {HISTORY},
@@ -69,7 +70,7 @@ def w07_w08_w09_calendar_load(spark, sf):
 @query()
 def w05_elo(spark, sf):
     m = matches(spark, sf).withColumn("level", F.when(F.col("home_id") % 2 == 0, 1).otherwise(2)).withColumn("played", F.col("status") == "played")
-    got = T.elo(m.select("match_id", "league", "season", "level", "day", "home_id", "away_id", "home_goals", "away_goals", "played"), "league")
+    got = elo(m.select("match_id", "league", "season", "level", "day", "home_id", "away_id", "home_goals", "away_goals", "played"), "league")
     return got.select("match_id", r6("home_elo").alias("home_elo"), r6("away_elo").alias("away_elo"), "home_played", "away_played")
 
 

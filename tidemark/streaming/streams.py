@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.lookup import only_new
-from tidemark.operators.temporal import Ladder
+from tidemark.operators.ratings import RATINGS, rate, start
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -51,20 +51,15 @@ def incremental_elo(contests: DataFrame, ladder: str, day: str = "day") -> DataF
     the state has passed are refused (the batch operator sorts them in)."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"day": None, "ladder": None}
-        plain = held["ladder"]
-        if plain:
-            plain = {k: ({int(a): b for a, b in v.items()} if isinstance(v, dict) else v) for k, v in plain.items()}
-        rating, out = Ladder(state=plain), []
-        rows = pd.concat(list(frames)).sort_values([day, "match_id"], kind="stable")
-        for d, some in rows.groupby(day, sort=True):
-            if held["day"] is not None and d <= held["day"]:
-                continue
-            held["day"] = int(d)
-            out += rating.day(some.to_dict("records"))
-        held["ladder"] = rating.state
-        state.update((json.dumps(held, default=float),))
-        frame = pd.DataFrame(out, columns=["match_id", "home_elo", "away_elo", "home_played", "away_played"])
+        held = json.loads(state.get[0]) if state.exists else {"day": None, "ladder": start()}
+        rows = pd.concat(list(frames))
+        if held["day"] is not None:
+            rows = rows[rows[day] > held["day"]]
+        frame = pd.DataFrame(columns=RATINGS)
+        if len(rows):
+            frame, held["ladder"] = rate(rows, held["ladder"], day)
+            held["day"] = int(rows[day].max())
+        state.update((json.dumps(held),))
         frame.insert(0, "ladder", key[0])
         yield frame
 
