@@ -80,6 +80,20 @@ def outcomes(matrix: Column) -> Column:
     return let(rows, normalised)
 
 
+def independent_outcomes(home: Column, away: Column) -> Column:
+    """``outcomes`` of the joint of two independent distributions of one size, in one pass over both with a running sum."""
+    start = F.struct(*(F.lit(0.0).alias(k) for k in ("below", "rest", "home", "draw")))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["below"] + x["a"]).alias("below"), (acc["rest"] + x["h"]).alias("rest"), (acc["home"] + x["h"] * acc["below"]).alias("home"), (acc["draw"] + x["h"] * x["a"]).alias("draw"))
+
+    def shares(acc: Column) -> Column:
+        whole = acc["below"] * acc["rest"]
+        return F.struct((acc["home"] / whole).alias("home"), (acc["draw"] / whole).alias("draw"), ((whole - acc["home"] - acc["draw"]) / whole).alias("away"))
+
+    return F.aggregate(F.zip_with(home, away, lambda h, a: F.struct(h.alias("h"), a.alias("a"))), start, step, shares)
+
+
 def _field(rows: Column, name: str) -> Column:
     return F.transform(rows, lambda x: x[name])
 

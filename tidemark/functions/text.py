@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import difflib
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-# Letters with a mark or a ligature, and what they fold to.
-MARKED = "àáâãäåāăąçćĉčďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįıĵķĺļľłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccc" + "ddeeeeeeeeegggghhiiiiiiiiijklllln" + "nnnooooooooorrrsssstttuuuuuuuuuuwyyyzzz"
-LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d"}
+#: Letters that decompose into one ASCII letter or digit and marks, and that; then letters with a stroke, which don't decompose.
+DECOMPOSED = {c: d[0] for c in map(chr, range(0x80, 0x2100)) for d in [[x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x)]] if len(d) == 1 and d[0].isascii() and d[0].isalnum()}
+STROKED = {"ø": "o", "đ": "d", "ħ": "h", "ł": "l", "ı": "i", "ŧ": "t", "ŋ": "n", "ĸ": "k"}
+MARKED, PLAIN = ("".join(x) for x in zip(*(DECOMPOSED | STROKED).items(), strict=True))
+LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ĳ": "ij", "ﬁ": "fi", "ﬂ": "fl"}
 PARTICLES = ("de", "da", "do", "dos", "van", "von", "der", "den", "la", "le", "el", "di", "du")
 
 
@@ -41,6 +47,12 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+@F.pandas_udf(DoubleType())
+def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff and Obershelp's ratio: twice the matching letters by all letters, matches found longest block first."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+
 def trailing_number(value: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(value, F.lit(r"(\d+)\s*$"), F.lit(1)), F.lit(1)).try_cast("int")
 

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 
 @dataclass
 class Fit:
@@ -27,15 +29,24 @@ class Fit:
         return dict(zip(self.names, self.beta.tolist(), strict=True))
 
 
+def cells(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """Counts (``__n``) of the distinct rows of covariates and target, written once: what iterations read again and again."""
+    if "__n" in rows.columns:
+        return rows
+    plain = rows.select(*(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, target])))
+    return written(plain.groupBy(*plain.columns).agg(F.count("*").alias("__n")), "glm-cells")
+
+
 def moments(rows: DataFrame, xs: list[Column], weight: Column, value: Column) -> tuple[np.ndarray, np.ndarray, int]:
     """Sums of weight x x' and value x, and the row count."""
     p = len(xs)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    got = rows.agg(*(F.sum(weight * xs[i] * xs[j]).alias(f"h{i}_{j}") for i, j in pairs), *(F.sum(value * xs[i]).alias(f"g{i}") for i in range(p)), F.count("*").alias("n")).first()
+    n = F.col("__n") if "__n" in rows.columns else F.lit(1)
+    got = rows.agg(*(F.sum(n * weight * xs[i] * xs[j]).alias(f"h{i}_{j}") for i, j in pairs), *(F.sum(n * value * xs[i]).alias(f"g{i}") for i in range(p)), F.sum(n).alias("n")).first()
     h = np.zeros((p, p))
     for i, j in pairs:
         h[i, j] = h[j, i] = got[f"h{i}_{j}"] or 0.0
-    return h, np.array([got[f"g{i}"] or 0.0 for i in range(p)]), got["n"]
+    return h, np.array([got[f"g{i}"] or 0.0 for i in range(p)]), got["n"] or 0
 
 
 def design(features: Sequence[str]) -> list[Column]:
@@ -62,8 +73,8 @@ def nnls_two(rows: DataFrame, a: str, b: str, target: str) -> tuple[float, float
 
 def poisson(rows: DataFrame, features: Sequence[str], target: str, ridge: float = 0.0, steps: int = 25, tolerance: float = 1e-10) -> Fit:
     """Poisson regression with log link; ridge adds ridge/2 |slopes|^2 to the mean deviance / 2."""
-    xs, y = design(features), F.col(target).cast("double")
-    mean, n = rows.agg(F.avg(y).alias("m"), F.count("*").alias("n")).first()
+    rows, xs, y = cells(rows, features, target), design(features), F.col(target).cast("double")
+    mean, n = rows.agg((F.sum(F.col("__n") * y) / F.sum(F.when(y.isNotNull(), F.col("__n")))).alias("m"), F.sum("__n").alias("n")).first()
     beta = np.zeros(len(xs))
     beta[0] = np.log(max(mean or 1.0, 1e-9))
     penalty = np.diag([0.0] + [ridge * (n or 0)] * len(features))
@@ -90,7 +101,7 @@ def clustered_errors(rows: DataFrame, fit: Fit, target: str, cluster: str) -> np
 
 def logistic(rows: DataFrame, features: Sequence[str], target: str, steps: int = 30, tolerance: float = 1e-10) -> Fit:
     """Logistic regression, Platt's calibration among others."""
-    xs, y = design(features), F.col(target).cast("double")
+    rows, xs, y = cells(rows, features, target), design(features), F.col(target).cast("double")
     beta, h, n = np.zeros(len(xs)), np.eye(len(xs)), 0
     for _ in range(steps):
         p = 1 / (1 + F.exp(-sum((x * float(b) for x, b in zip(xs, beta, strict=True)), F.lit(0.0))))
@@ -104,10 +115,11 @@ def logistic(rows: DataFrame, features: Sequence[str], target: str, steps: int =
 
 def negative_binomial(rows: DataFrame, features: Sequence[str], target: str, rounds: int = 6) -> tuple[Fit, float]:
     """NB2: IRLS steps for the coefficients, the moment equation for alpha, in turns."""
-    fit, y, alpha = poisson(rows, features, target), F.col(target).cast("double"), 0.0
+    rows, y, alpha = cells(rows, features, target), F.col(target).cast("double"), 0.0
+    fit = poisson(rows, features, target)
     for _ in range(rounds):
         mu = F.exp(fit.linear())
-        r = rows.agg(F.sum(((y - mu) * (y - mu) - mu)).alias("a"), F.sum(mu * mu).alias("b")).first()
+        r = rows.agg(F.sum(F.col("__n") * ((y - mu) * (y - mu) - mu)).alias("a"), F.sum(F.col("__n") * mu * mu).alias("b")).first()
         alpha = max(0.0, r["a"] / r["b"])
         w = 1 / (1 + alpha * mu)
         h, g, n = moments(rows, design(features), mu * w, (y - mu) * w)
@@ -117,6 +129,7 @@ def negative_binomial(rows: DataFrame, features: Sequence[str], target: str, rou
 
 def elastic_net(rows: DataFrame, features: Sequence[str], target: str, strength: float, mix: float = 0.5, steps: int = 20) -> Fit:
     """Poisson regression with elastic-net penalty: proximal Newton, coordinate descent on the p x p moments."""
+    rows = cells(rows, features, target)
     base = poisson(rows, [], target)
     beta = np.r_[base.beta, np.zeros(len(features))]
     xs, y = design(features), F.col(target).cast("double")

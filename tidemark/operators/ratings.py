@@ -107,8 +107,8 @@ STEP = "setting int, ladder string, match_id bigint, home_elo double, away_elo d
 def seasons_of(contests: DataFrame, ladder: str, day: str, settings: Sequence[dict]) -> DataFrame:
     """setting, ladder and the ratings before each contest, for each of ``settings``."""
     spark = contests.sparkSession
-    seasons = sorted(r[0] for r in contests.select("season").distinct().collect())  # one row a season
-    keyed = contests.withColumn("__ladder", F.col(ladder).cast("string"))
+    keyed = written(contests.withColumn("__ladder", F.col(ladder).cast("string")), "elo-contests", ["season"])
+    seasons = sorted(r[0] for r in keyed.select("season").distinct().collect())  # one row a season
 
     def fold(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         had = dict(zip(before["setting"], before["held"], strict=True))

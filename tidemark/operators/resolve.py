@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.session import written
 
 
 def set_jaccard(a: DataFrame, b: DataFrame, id_a: str, id_b: str, token: str) -> DataFrame:
@@ -48,14 +49,32 @@ def propagate(matches_a: DataFrame, matches_b: DataFrame, known: DataFrame, tole
     return mutual_best(fresh, "a", "b", "votes", 1.0, 2.0).select("a", "b")
 
 
-def match_schedules(matches_a: DataFrame, matches_b: DataFrame, rounds: int = 3) -> DataFrame:
-    """a, b: entities of two schedules that are the same, from the seed and so many rounds of votes."""
-    known = anchor_seed(matches_a, matches_b).select("a", "b")
-    for _ in range(rounds):
-        known = known.unionByName(propagate(matches_a, matches_b, known))
+def match_schedules(matches_a: DataFrame, matches_b: DataFrame, rounds: int | None = None) -> DataFrame:
+    """a, b: entities of two schedules that are the same, from the seed and rounds of votes until one adds none (or so many)."""
+    matches_a, matches_b = written(matches_a, "schedule-a"), written(matches_b, "schedule-b")
+    known = written(anchor_seed(matches_a, matches_b).select("a", "b"), "schedule-pairs")
+    while rounds is None or rounds > 0:
+        more = written(propagate(matches_a, matches_b, known), "schedule-votes")
+        if more.isEmpty():
+            break
+        known, rounds = known.unionByName(more), None if rounds is None else rounds - 1
     return known
 
 
+def name_groups(names: DataFrame, name: str = "name") -> DataFrame:
+    """Each distinct name with ``grp``, the least name that compatible names lead to. Names are compatible if they are equal
+    after normalising or share a significant token; labels pass by tokens, so no pair of names is ever made."""
+    token = F.explode(F.array_distinct(F.concat(text.significant_tokens(F.col(name)), F.array(F.concat(F.lit("="), text.normalize_name(F.col(name)))))))
+    held = written(names.select(name).filter(F.col(name).isNotNull()).distinct().select(name, token.alias("token")), "name-tokens")
+    label = held.select(name, F.col(name).alias("grp")).distinct()
+    while True:
+        by_token = held.join(label, name).groupBy("token").agg(F.min("grp").alias("least"))
+        stepped = written(held.join(by_token, "token").groupBy(name).agg(F.min("least").alias("grp")), "name-groups")
+        if stepped.join(label.withColumnRenamed("grp", "was"), name).filter(F.col("grp") != F.col("was")).isEmpty():
+            return stepped
+        label = stepped
+
+
 def fuzzy_names(foreign: DataFrame, canonical: DataFrame, name: str = "name", accept: float = 0.84, review: float = 0.55) -> DataFrame:
     """Each foreign name with its best canonical name of those that share a token or the first three letters, the score and
     a verdict: accepted, review or unknown."""
@@ -65,7 +84,9 @@ def fuzzy_names(foreign: DataFrame, canonical: DataFrame, name: str = "name", ac
         return rows.select(F.col(name).alias(to), norm.alias(f"{to}_n"), F.explode(keys).alias("k")).distinct()
 
     pairs = blocks(foreign, "foreign").join(blocks(canonical, "canonical"), "k").select("foreign", "foreign_n", "canonical", "canonical_n").distinct()
-    scored = pairs.withColumn("score", text.similarity(F.col("foreign_n"), F.col("canonical_n")))
+    # no pair that the ratio would accept or give to review has a greater edit distance, so the ratio is taken for few
+    near = F.levenshtein("foreign_n", "canonical_n") <= (1 - review) * (F.length("foreign_n") + F.length("canonical_n"))
+    scored = pairs.filter(near).withColumn("score", text.matching_ratio("foreign_n", "canonical_n"))
     best = scored.groupBy("foreign").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), "canonical")).alias("b"))
     out = foreign.select(F.col(name).alias("foreign")).distinct().join(best, "foreign", "left")
     verdict = F.when(F.col("b.score") >= accept, "accepted").when(F.col("b.score") >= review, "review").otherwise("unknown")

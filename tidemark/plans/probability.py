@@ -44,7 +44,7 @@ JOINT = LAMBDAS + """, j AS (SELECT match_id, home_goals, away_goals, x.k AS h,
 
 @query(JOINT + """, s AS (SELECT match_id, sum(p0) FILTER (h > a) AS w, sum(p0) FILTER (h = a) AS d, sum(p0) FILTER (h < a) AS l, sum(p0) AS t FROM j GROUP BY ALL) SELECT match_id, round(w / t, 6) + 0.0 AS home, round(d / t, 6) + 0.0 AS draw, round(l / t, 6) + 0.0 AS away FROM s""")
 def m06_m08_joint_outcomes(spark, sf):
-    o = prob.outcomes(prob.joint(prob.poisson(F.col("lh"), 11), prob.poisson(F.col("la"), 11)))
+    o = prob.independent_outcomes(prob.poisson(F.col("lh"), 11), prob.poisson(F.col("la"), 11))
     return lambdas(spark, sf).withColumn("o", o).select("match_id", r6("o.home").alias("home"), r6("o.draw").alias("draw"), r6("o.away").alias("away"))
 
 
@@ -61,11 +61,15 @@ def m09_discretised_normal(spark, sf):
     return lambdas(spark, sf).select("match_id", F.posexplode(pmf).alias("k", "p")).select("match_id", "k", r6("p").alias("p"))
 
 
-@query(JOINT + " SELECT match_id, CAST(h AS INT) AS h, CAST(a AS INT) AS a, round(greatest(0.0, p0 * tau), 6) + 0.0 AS p FROM j WHERE h < 3 AND a < 3 AND match_id % 4 = 0")
+@query(JOINT + """, c AS (SELECT match_id, h, a, greatest(0.0, p0 * tau) AS p FROM j)
+SELECT match_id, round(max(p) FILTER (h = 0 AND a = 0), 6) + 0.0 AS p00, round(max(p) FILTER (h = 0 AND a = 1), 6) + 0.0 AS p01, round(max(p) FILTER (h = 1 AND a = 0), 6) + 0.0 AS p10, round(max(p) FILTER (h = 1 AND a = 1), 6) + 0.0 AS p11,
+  round(sum(p), 6) + 0.0 AS mass, round(sum(h * p), 6) + 0.0 AS home_mean, round(sum(a * p), 6) + 0.0 AS away_mean, round(sum(p * p), 6) + 0.0 AS squares FROM c GROUP BY match_id""")
 def m10_corrected_joint(spark, sf):
     j = prob.corrected_joint(F.col("lh"), F.col("la"), F.lit(-0.05), 11)
-    rows = lambdas(spark, sf).filter("match_id % 4 = 0").select("match_id", F.posexplode(j).alias("h", "r")).select("match_id", "h", F.posexplode("r").alias("a", "p"))
-    return rows.filter("h < 3 AND a < 3").select("match_id", "h", "a", r6("p").alias("p"))
+    cell = lambda h, a: F.col("j")[h][a]
+    sums = lambda f: prob.total(F.transform("j", lambda r, h: prob.total(F.transform(r, lambda p, a: f(p, h, a)))))
+    moments = {"mass": sums(lambda p, h, a: p), "home_mean": sums(lambda p, h, a: p * h), "away_mean": sums(lambda p, h, a: p * a), "squares": sums(lambda p, h, a: p * p)}
+    return lambdas(spark, sf).select("match_id", j.alias("j")).select("match_id", *(r6(cell(h, a)).alias(f"p{h}{a}") for h in (0, 1) for a in (0, 1)), *(r6(v).alias(k) for k, v in moments.items()))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN o > 1 AND u > 1 THEN (1 / o) / (1 / o + 1 / u) END, 6) + 0.0 AS p_over FROM (SELECT *, 0.9 + l_discount * 10 AS o, 1 + l_tax * 10 AS u FROM lineitem)""")

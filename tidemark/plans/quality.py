@@ -83,7 +83,15 @@ def q21_r22_snapshot_comparison(spark, sf):
     return Q.differing_columns(a, b, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], 1e-12)
 
 
-@query("""SELECT CAST(0 AS BIGINT) AS differing_rows""")
+def _forms(rows):
+    w = "PARTITION BY {} ORDER BY day RANGE BETWEEN 730 PRECEDING AND 1 PRECEDING"
+    return f"""(SELECT o_orderkey, round(CASE WHEN w > 0 THEN (wx + 3.0 * mu) / (w + 3.0) END, 6) AS ewm
+  FROM (SELECT *, sum(pow(0.5, -day / 120.0) * o_totalprice) OVER w * pow(0.5, day / 120.0) AS wx, sum(pow(0.5, -day / 120.0)) OVER w * pow(0.5, day / 120.0) AS w FROM {rows} WINDOW w AS ({w.format("o_custkey")}))
+  JOIN (SELECT c_mktsegment, day, sum(sum(o_totalprice)) OVER w / nullif(sum(count(o_totalprice)) OVER w, 0) AS mu FROM {rows} GROUP BY c_mktsegment, day WINDOW w AS ({w.format("c_mktsegment")})) USING (c_mktsegment, day) WHERE day <= 1500)"""
+
+
+@query(f"""WITH {HISTORY}, cut AS (SELECT * FROM hist WHERE day <= 1500), a AS {_forms("hist")}, b AS {_forms("cut")}
+SELECT count(*) AS differing_rows FROM (SELECT o_orderkey FROM a FULL JOIN b USING (o_orderkey) WHERE a.ewm IS DISTINCT FROM b.ewm)""")
 def q22_cut_date_invariance(spark, sf):
     """Forms built on history cut at day 1500 equal the earlier rows of forms built on everything."""
     h = history(spark, sf)

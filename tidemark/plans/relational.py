@@ -134,11 +134,12 @@ def j08_nearest_within_tolerance(spark, sf):
     return L.nearest_day(left, right, ["o_custkey"], "day", "left_id", "right_id", 20)
 
 
-@query(f"""WITH {MATCHES} SELECT a.match_id, b.match_id AS late_id FROM matches a JOIN (SELECT home_id, away_id, any_value(match_id) AS match_id FROM matches WHERE day >= 1200 GROUP BY ALL HAVING count(*) = 1) b USING (home_id, away_id) WHERE a.day < 1200""")
+@query(f"""WITH {MATCHES} SELECT a.match_id, b.match_id AS return_id FROM matches a JOIN (SELECT league, away_id AS home_id, home_id AS away_id, any_value(match_id) AS match_id FROM matches GROUP BY ALL HAVING count(*) = 1) b USING (league, home_id, away_id)""")
 def j09_unambiguous_key(spark, sf):
-    m = matches(spark, sf)
-    late = L.unambiguous(m.filter("day >= 1200").select("home_id", "away_id", F.col("match_id").alias("late_id")), ["home_id", "away_id"])
-    return m.filter("day < 1200").join(late, ["home_id", "away_id"]).select("match_id", "late_id")
+    """Each contest's return fixture, where the sides met the other way round once only."""
+    m, keys = matches(spark, sf), ["league", "home_id", "away_id"]
+    back = L.unambiguous(m.select("league", F.col("away_id").alias("home_id"), F.col("home_id").alias("away_id"), F.col("match_id").alias("return_id")), keys)
+    return m.join(back, keys).select("match_id", "return_id")
 
 
 @query("""SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 480000)""")
@@ -262,9 +263,16 @@ def e06_a11_latest_name(spark, sf):
 @query()
 def e01_e02_schedule_matching(spark, sf):
     """The same schedule under two sets of names, the second a day later for some: pairs found."""
-    m = matches(spark, sf).filter("league = 'BUILDING'").select("day", F.col("home_id").alias("home"), F.col("away_id").alias("away"))
+    m = matches(spark, sf).select("day", F.col("home_id").alias("home"), F.col("away_id").alias("away"))
     other = m.select((F.col("day") + F.when(F.pmod(F.xxhash64("day", "home"), F.lit(17)) == 0, 1).otherwise(0)).alias("day"), (F.col("home") + 5000).alias("home"), (F.col("away") + 5000).alias("away"))
-    return resolve.match_schedules(m, other, rounds=1)
+    return resolve.match_schedules(m, other)
+
+
+@query("""WITH RECURSIVE u AS (SELECT DISTINCT n_name AS name, unnest(string_split(trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS token FROM nation), t AS (SELECT * FROM u WHERE length(token) >= 2),
+r AS (SELECT DISTINCT name, name AS reached FROM t UNION SELECT r.name, b.name FROM r JOIN t a ON a.name = r.reached JOIN t b ON b.token = a.token)
+SELECT name, min(reached) AS grp FROM r GROUP BY ALL""")
+def f04_name_groups(spark, sf):
+    return resolve.name_groups(table(spark, sf, "nation").select(F.col("n_name").alias("name")))
 
 
 @query()
