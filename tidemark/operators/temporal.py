@@ -53,6 +53,12 @@ def any_before(rows: DataFrame, entity: str, day: str, event: Column, reach: int
     return rows.withColumn(name, F.coalesce(F.max(event).over(before([entity], day, reach)), F.lit(False)))
 
 
+def last_known(rows: DataFrame, entity: str, day: str, order: str, value: str, name: str) -> DataFrame:
+    """The entity's last non-null ``value`` of earlier days; of one day the greatest ``order``'s."""
+    held = F.when(F.col(value).isNotNull(), F.struct(F.col(day), F.col(order), F.col(value).alias("__v")))
+    return rows.withColumn(name, F.max(held).over(before([entity], day))["__v"])
+
+
 def strict_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], day: str, values: Sequence[str], prefix: str = "") -> DataFrame:
     """Left join with the last right row of an earlier day. Several right rows of one day: the greatest struct of values.
 

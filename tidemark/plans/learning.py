@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import prob
-from tidemark.models import glm, groups, trees
+from tidemark.models import calibrate, glm, groups, trees
+from tidemark.models.design import Design
 from tidemark.operators import protocol, stats
 from tidemark.plans.base import MATCHES, matches, query, r6, table
 
@@ -140,3 +141,33 @@ def r20_effect_intervals(spark, sf):
     d = rows_of(spark, sf).groupBy("league").agg(F.avg("y").alias("m"), (F.var_samp("y") / F.count("*")).alias("v"))
     half = 1.96 * F.sqrt("v")
     return d.select("league", r6("m").alias("effect"), r6(F.col("m") - half).alias("low"), r6(F.col("m") + half).alias("high"))
+
+
+DUMMIES = ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query(BASE + f""", s AS (SELECT *, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS z FROM x)
+SELECT match_id, round(z, 6) + 0.0 AS a, {", ".join(f"CASE WHEN league = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS league_{v}, round(CASE WHEN league = '{v}' THEN z ELSE 0 END, 6) + 0.0 AS a_x_league_{v}" for v in DUMMIES)} FROM s""")
+def l12_design_matrix(spark, sf):
+    """Standardised, one-hot and product columns; the constant one is left out."""
+    rows = rows_of(spark, sf).withColumn("same", F.lit(1.0))
+    made = Design(["a", "same"], ["league"], [("a", "league"), ("same", "league")]).fit(rows).transform(rows, ["match_id"])
+    return made.select("match_id", r6("a").alias("a"), *(c if c.startswith("league") else r6(c).alias(c) for c in made.columns[2:]))
+
+
+@query(BASE + """, g AS (SELECT a AS s, count(*) AS n, sum(CASE WHEN y > 4 THEN 1.0 ELSE 0.0 END) AS t FROM x GROUP BY a),
+c AS (SELECT s, sum(n) OVER (ORDER BY s) AS cn, sum(t) OVER (ORDER BY s) AS ct, n, t FROM g),
+m AS (SELECT p.s, j.s AS j, min((k.ct - j.ct + j.t) / (k.cn - j.cn + j.n)) AS low FROM c p JOIN c j ON j.s <= p.s JOIN c k ON k.s >= p.s GROUP BY ALL)
+SELECT s AS score, round(max(low), 6) + 0.0 AS calibrated FROM m GROUP BY s""")
+def l14_isotonic(spark, sf):
+    """Isotonic calibration of the score a for totals above four."""
+    rows = rows_of(spark, sf).withColumn("over", (F.col("y") > 4).cast("double"))
+    return calibrate.isotonic(rows, "a", "over").groupBy(F.col("a").cast("double").alias("score")).agg(r6(F.max("calibrated")).alias("calibrated"))
+
+
+@query()
+def l14_one_against_rest(spark, sf):
+    """Home, draw and away calibrated one by one and renormalised: counts and mean probabilities."""
+    h, a = F.col("home_goals"), F.col("away_goals")
+    got = calibrate.one_against_rest(rows_of(spark, sf), {"home": h > a, "draw": h == a, "away": h < a}, {"home": "a", "draw": "b", "away": "a"})
+    return got.agg(F.count("*").alias("n"), *(r6(F.avg(f"p_{c}")).alias(f"p_{c}") for c in ("home", "draw", "away")), r6(F.max(F.abs(F.col("p_home") + F.col("p_draw") + F.col("p_away") - 1))).alias("off"))

@@ -160,6 +160,15 @@ def r10_block_bootstrap(spark, sf):
     return scoring.bootstrap_means(losses(spark, sf), "league", "block", "diff", 200).select("replicate", r6("mean").alias("mean"))
 
 
+@query(LOSSES + """, b AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY block) - 1 AS i, count(*) OVER (PARTITION BY league) AS nb FROM (SELECT league, block, sum(diff) AS s, count(*) AS n FROM d GROUP BY league, block)),
+r AS (SELECT unnest(range(0, 1000)) AS r), f AS (SELECT b.league, r.r, nb, (r.r * 1103515245 + i * 12345 + 67) % 2147483648 AS g FROM b, r),
+p AS (SELECT league, r, CAST(floor(((g * 1103515245 + 12345) % 2147483648) / 65536) AS BIGINT) % nb AS i FROM f),
+m AS (SELECT p.r, sum(b.s) / sum(b.n) AS mean FROM p JOIN b ON b.league = p.league AND b.i = p.i GROUP BY ALL)
+SELECT (SELECT round(avg(diff), 6) + 0.0 FROM d) AS mean, (SELECT count(*) FROM d) AS n, round(quantile_cont(m.mean, 0.025), 6) + 0.0 AS low, round(quantile_cont(m.mean, 0.975), 6) + 0.0 AS high FROM m""")
+def r10_bootstrap_interval(spark, sf):
+    return scoring.bootstrap_interval(losses(spark, sf), "league", "block", "diff", 1000).select(*(r6(c).alias(c) if c != "n" else c for c in ("mean", "n", "low", "high")))
+
+
 @query(LOSSES + """, b AS (SELECT block, sum(diff) AS s, count(*) AS n FROM d GROUP BY ALL), t AS (SELECT sum(s) / sum(n) AS m, sum(n) AS n FROM b)
 SELECT CAST(t.n AS BIGINT) AS n, round(m, 6) + 0.0 AS mean, round(sqrt(sum(pow(b.s - b.n * m, 2)) / pow(t.n, 2)), 6) + 0.0 AS se, round(m / sqrt(sum(pow(b.s - b.n * m, 2)) / pow(t.n, 2)), 4) + 0.0 AS dm FROM b, t GROUP BY t.n, t.m""")
 def r11_diebold_mariano(spark, sf):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tidemark.operators import replay
 from tidemark.operators import sides as S
 from tidemark.operators import temporal as T
 from tidemark.operators.ratings import elo
 from tidemark.plans.base import HISTORY, LINEUPS, MATCHES, SIDES, history, lineups, matches, query, r6, sides, table
+from tidemark.session import shared_folder
 
 W01 = f"""WITH {HISTORY},
 daily AS (SELECT c_mktsegment, day, sum(o_totalprice) AS s, count(o_totalprice) AS c FROM hist GROUP BY ALL),
@@ -150,6 +154,35 @@ def w16_w17_shrunk_quality(spark, sf):
     return got.select("match_id", "team_id", r6(q).alias("quality"))
 
 
+@query(f"""WITH {HISTORY}, p AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN substr(o_orderpriority, 1, 1) END AS pos FROM hist),
+k AS (SELECT o_custkey, day, arg_max(pos, o_orderkey) AS pos FROM p WHERE pos IS NOT NULL GROUP BY ALL)
+SELECT p.o_orderkey, k.pos AS last_known FROM p ASOF LEFT JOIN k ON p.o_custkey = k.o_custkey AND p.day > k.day""")
+def w17_last_known_position(spark, sf):
+    """The last known value of earlier days, rows without one passed over."""
+    rows = history(spark, sf).withColumn("pos", F.when(F.col("o_orderstatus") == "F", F.substring("o_orderpriority", 1, 1)))
+    return T.last_known(rows, "o_custkey", "day", "o_orderkey", "pos", "last_known").select("o_orderkey", "last_known")
+
+
+REPLAYED = (2370, 2371, 2372)
+
+
+@query(f"""WITH {HISTORY}, x AS (SELECT *, sum(o_totalprice) OVER w AS s, count(*) OVER w AS n FROM hist WINDOW w AS (PARTITION BY o_custkey ORDER BY day RANGE BETWEEN 730 PRECEDING AND 1 PRECEDING))
+SELECT o_orderkey, CAST(day AS INT) AS day, round(s / nullif(n, 0), 4) + 0.0 AS form FROM x WHERE day IN {REPLAYED}""")
+def x02_x09_replay(spark, sf):
+    """Three days played as they came, each from what was known up to it; a second pass reads what the first one kept."""
+    rows = history(spark, sf)
+
+    def build(known):
+        own = T.before(["o_custkey"], "day", 730)
+        return known.withColumn("form", F.sum("o_totalprice").over(own) / F.nullif(F.count("*").over(own), F.lit(0))).select("o_orderkey", "day", "form")
+
+    root = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    version = replay.data_version(rows)
+    replay.replay(rows, "day", REPLAYED, build, root, version)
+    again = replay.replay(rows, "day", REPLAYED, build, root, version)
+    return again.select("o_orderkey", "day", (F.round("form", 4) + 0.0).alias("form"))
+
+
 @query(f"""WITH {LINEUPS}, b AS (SELECT match_id, team_id, unnest(xi) AS m, day FROM xi) SELECT match_id, team_id, round(CASE WHEN count(*) >= 4 THEN avg((day + 9000 - m * 100) / 365.25) END, 6) + 0.0 AS mean_age FROM b GROUP BY ALL""")
 def w19_mean_age(spark, sf):
     each = lineups(spark, sf).select("match_id", "team_id", F.explode("xi").alias("m"), "day")
