@@ -9,10 +9,11 @@ and their pair is: combinations of two index the frequent class. Large sets woul
 side of a limit then still meet. Keys that no short prefix has are dropped.
 
 Within a key no pairs are multiplied out at first: each member meets two members that one of ``TURNS`` hashes picks for the
-key. Candidates pass a lossless bound from parity sketches of as many bits as the set has tokens, and are then verified on whole sets. The
-verified links join most members of a key into few components. Only members in different components then meet, short with
-long, if what follows the key in both prefixes leaves room for enough common tokens: the first tokens that a linked pair
-shares always pass. Links inside a component add nothing to it, so no link between components is lost.
+key. Candidates pass a lossless bound from parity sketches of as many bits as the set has tokens, and are then verified on
+whole sets. The verified links join most members of a key into few components. Members in another component than the two
+that each key then picks anew meet those likewise. Only members that are in different components even then meet each other,
+short with long, if what follows the key in both prefixes leaves room for enough common tokens: the first tokens that a
+linked pair shares always pass. Links inside a component add nothing to it, so no link between components is lost.
 
 Cases: null and empty texts, and texts without a word, have no shingles and link with nothing; with fewer words than the
 width the whole sequence is the one shingle; repeated rows are equal sets; ties in component ids go to the smallest
@@ -267,6 +268,23 @@ def components(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.withColumnsRenamed({"u": "node", "v": "comp"}), last
 
 
+def still_apart(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """``postings`` (k, w, node) of the keys whose members the links leave in several components, with ``comp``."""
+    named = postings.join(near_labels(links), "node", "left").select("k", "w", "node", F.coalesce("comp", "node").alias("comp"))
+    several = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k")
+    return named.join(several, "k", "left_semi")
+
+
+def across(apart: DataFrame) -> DataFrame:
+    """Pairs of each member with two of its key, others for each key, that are in other components: what the first meeting
+    left alone tries again, and the many that it joined don't."""
+    turned = F.struct(F.col("node").bitwiseXOR(F.col("k")), "node", "comp")
+    ends = apart.groupBy("k").agg(F.min(turned).alias("lo"), F.max(turned).alias("hi"))
+    others = F.filter(F.array("lo", "hi"), lambda e: e["comp"] != F.col("comp"))
+    met = apart.join(ends, "k").select("node", F.explode(others).alias("end"))
+    return met.select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
+
+
 def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """For each row of ``docs`` (key, doc_id, text): key, doc_id, n_shingles, node, comp; rows link by equal comp."""
     docs = docs.select("key", "doc_id", "text")
@@ -288,11 +306,11 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     pairs = met.select(F.explode(F.array(order("lo", "node"), order("node", "hi"))).alias("p")).select("p.*").filter("a < b").distinct()
     first = verified(pairs, nodes, docs, width, percent)
     # a key of up to three members has met already
-    named = saved(met.filter("c > 3").select("k", "w", "node").join(near_labels(first), "node", "left").select("k", "w", "node", F.coalesce("comp", "node").alias("comp")), "join-named")
+    apart = saved(still_apart(met.filter("c > 3").select("k", "w", "node"), first), "join-apart")
     release(met)
-    apart = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k")
-    open_ = saved(named.join(apart, "k", "left_semi").join(nodes.select("node", "n"), "node"), "join-open")
-    release(named)
+    tried = verified(across(apart), nodes, docs, width, percent)
+    open_ = saved(still_apart(apart.drop("comp"), first.unionByName(tried)).join(nodes.select("node", "n"), "node"), "join-open")
+    release(apart)
     x, y = open_.filter("w % 2 = 1").alias("x"), open_.alias("y")
     n = F.col("x.n") + F.col("y.n")
     room = F.shiftright(F.col("x.w").bitwiseAND(F.lit(2)), 1) + 1 + F.least(F.shiftright("x.w", 2), F.shiftright("y.w", 2))
@@ -301,10 +319,10 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     more = x.join(y, (F.col("x.k") == F.col("y.k")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     second = verified(more, nodes, docs, width, percent)
     release(open_)
-    comp, stars = components(first.unionByName(second))
+    comp, stars = components(first.unionByName(tried).unionByName(second))
     out = rows.join(comp, "node", "left").select("key", "doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
     out = saved(out, "join-linked")
-    release(got, nodes, first, second, stars)
+    release(got, nodes, first, tried, second, stars)
     return out
 
 
