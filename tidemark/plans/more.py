@@ -185,11 +185,11 @@ def g06_calibration_brier(spark, sf):
     return table(spark, sf, "orders").groupBy("o_orderpriority").agg(r6(F.avg(o) - F.avg(p)).alias("bias"), r6(F.avg(F.pow(p - o, 2))).alias("brier"))
 
 
-@query("""SELECT o_custkey, round(avg(o_totalprice) FILTER (rn <= 10), 4) + 0.0 AS live_form FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) GROUP BY ALL""")
+@query("""SELECT o_custkey, round(avg(o_totalprice) FILTER (rn <= 10), 6) + 0.0 AS live_form FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) GROUP BY ALL""")
 def g04_live_features(spark, sf):
     w = W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     rows = table(spark, sf, "orders").withColumn("rn", F.row_number().over(w))
-    return rows.filter("rn <= 10").groupBy("o_custkey").agg((F.round(F.avg("o_totalprice"), 4) + 0.0).alias("live_form"))
+    return rows.filter("rn <= 10").groupBy("o_custkey").agg(r6(F.avg("o_totalprice")).alias("live_form"))
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity * l_discount) / nullif(sum(l_quantity), 0), 6) + 0.0 AS weighted, count(DISTINCT l_suppkey) FILTER (l_tax > 0.03) AS suppliers FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
