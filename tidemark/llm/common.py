@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -80,12 +81,18 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, rows: int = 512) -> DataFrame:
-    """``mapInArrow`` of a function of one small batch."""
+def quoted(name: str) -> str:
+    """``name`` as SQL reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType, rows: int = 512) -> DataFrame:
+    """``mapInArrow`` of a function of one small batch. Columns may have any names: Spark sees numbered ones."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows):
-            out = fn(batch)
+            out = fn(batch.rename_columns(names))
             yield from (out.to_batches() if isinstance(out, pa.Table) else [out])
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, schema)
