@@ -1,9 +1,15 @@
 """The score model, decay search and dependence against generators and plain numpy."""
 
+import math
+
 import numpy as np
 import pytest
 
-from tidemark.models import dependence, scores
+from pyspark.sql import functions as F
+
+from tidemark.functions import prob
+from tidemark.models import dependence, glm, scores
+from tidemark.operators import scoring
 
 
 def generate(seed, n=6000, sides=8, rho=-0.1, gamma=0.3, delta=0.2):
@@ -51,7 +57,7 @@ def strengths_of(model, k=0):
 
 def test_score_model_is_the_maximum_and_recovers_parameters(contests):
     df, rows, attack, defence = contests
-    model = scores.fit(df, [0.0, 0.002], features=["x"], steps=60)
+    model = scores.fit(df, [0.0, 0.002], features=["x"])
     assert model.moved < 1e-5 and model.strengths.count() == 8
     for k, xi in enumerate(model.decays):
         at, de = strengths_of(model, k)
@@ -66,21 +72,21 @@ def test_score_model_is_the_maximum_and_recovers_parameters(contests):
 
 def test_decay_search_equals_one_by_one(spark, contests):
     df, rows, *_ = contests
-    grid = [0.0, 0.003, 0.02]
-    found, best, _ = scores.decay_search(df, grid, 800, features=["x"], steps=12)
+    grid = [0.0, 0.003]
+    found, best, _ = scores.decay_search(df, grid, 800, features=["x"], steps=4)
     alone = []
     for xi in grid:
-        model = scores.fit(df.filter("day < 800"), [xi], features=["x"], steps=12)
+        model = scores.fit(df.filter("day < 800"), [xi], features=["x"], steps=4)
         alone.append(scores.log_loss(model, df.filter("day >= 800"))[0])
     assert np.allclose([v for _, v in found], alone, atol=1e-9) and best == int(np.argmin(alone))
     tracker = spark.sparkContext.statusTracker()
 
     def jobs(values, group):
         spark.sparkContext.setJobGroup(group, group)
-        scores.decay_search(df, values, 800, features=["x"], steps=2, tolerance=0.0)
+        scores.decay_search(df, values, 800, features=["x"], steps=1, tolerance=0.0)
         return len(tracker.getJobIdsForGroup(group))
 
-    one, many = jobs([0.001], "one"), jobs([0.0, 0.001, 0.01, 0.02], "many")
+    one, many = jobs([0.001], "one"), jobs([0.0, 0.001, 0.01], "many")
     spark.sparkContext._jsc.clearJobGroup()
     assert abs(one - many) <= 2
 
@@ -98,7 +104,7 @@ def test_score_model_edges(spark):
 
 def test_exact_scores_refuse_without_history(spark, contests):
     df, rows, *_ = contests
-    model = scores.fit(df, [0.0], features=["x"], steps=8)
+    model = scores.fit(df, [0.0], features=["x"], steps=3)
     fixtures = spark.createDataFrame([(1, 0, 1, 500, 0.0, 0.0), (2, 0, 1, 0, 0.0, 0.0), (3, 0, 99, 2000, 0.0, 0.0)], "match_id long, home_id long, away_id long, day int, home_x double, away_x double")
     got = {r["match_id"]: r for r in scores.exact_scores(model, fixtures, df, least=5, size=15).collect()}
     assert got[1]["refused"] is None and abs(sum(map(sum, got[1]["joint"])) - 1) < 1e-6
@@ -122,3 +128,58 @@ def test_rho_by_bracket(spark):
     assert dependence.rho(df.limit(0)) is None
     only = spark.createDataFrame([(1.0, 1.0, 1.0, 1.0)], df.schema)
     assert abs(dependence.rho(only) - -1.0) < 1e-4
+
+
+def test_least_squares_from_fourth_moments(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(1000, 2, (3000, 2))
+    y = 3 + 0.5 * x[:, 0] - x[:, 1] + r.normal(0, 1, 3000) * (1 + 0.3 * np.abs(x[:, 0] - 1000))
+    df = spark.createDataFrame([tuple(map(float, v)) for v in np.c_[x, y]] + [(None, 1.0, 1.0)], "a double, b double, y double")
+    got = glm.ols_checked(df, ["a", "b"], "y")
+    X = np.c_[np.ones(3000), x - 1000]
+    beta = np.linalg.lstsq(X, y, rcond=None)[0]
+    e2 = (y - X @ beta) ** 2
+    g = np.linalg.lstsq(X, e2, rcond=None)[0]
+    want = 3000 * ((X @ g - e2.mean()) ** 2).sum() / ((e2 - e2.mean()) ** 2).sum()
+    assert got.fit.rows == 3000 and np.allclose(got.fit.beta[1:], beta[1:], atol=1e-6) and abs(got.breusch_pagan / want - 1) < 1e-6
+    assert abs(got.sigma - np.sqrt(e2.sum() / 2997)) < 1e-8 and abs(got.r2 - (1 - e2.sum() / ((y - y.mean()) ** 2).sum())) < 1e-9
+    parts = glm.variance_by_fitted(df, got.fit, "y").orderBy("part").collect()
+    fitted = X @ beta
+    cut = np.quantile(fitted, [0.2, 0.4, 0.6, 0.8])
+    for k, row in enumerate(parts):
+        mine = (y - fitted)[np.searchsorted(cut, fitted) == k]
+        assert row["n"] == len(mine) and abs(row["variance"] - mine.var(ddof=1)) < 1e-6
+    assert glm.ols_checked(df.limit(0), ["a"], "y").fit.rows == 0
+
+
+def test_tails(spark):
+    row = spark.createDataFrame([(0.0, 0), (1e-3, 1), (0.7, 2), (3.841458820694124, 3), (11.0, 4), (60.0, 5), (-2.0, 6)], "x double, i int")
+    for r in row.select("x", prob.chi_square_tail(row.x, 1).alias("one"), prob.chi_square_tail(row.x, 3).alias("three"), prob.normal_tail(row.x).alias("normal"), prob.log_gamma(F.abs("x") + 0.1).alias("lg")).collect():
+        x = max(r["x"], 0.0)
+        assert abs(r["one"] - math.erfc(math.sqrt(x / 2))) < 1e-9
+        assert abs(r["three"] - (math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2))) < 1e-9
+        assert abs(r["normal"] - 0.5 * math.erfc(r["x"] / math.sqrt(2))) < 1e-9
+        assert abs(r["lg"] - math.lgamma(abs(r["x"]) + 0.1)) < 1e-9 * max(1, abs(r["lg"]))
+
+
+def test_overdispersion(spark):
+    r = np.random.default_rng(2)
+    clumped = spark.createDataFrame([(int(v),) for v in r.negative_binomial(2, 0.25, 2000)], "y int")
+    even = spark.createDataFrame([(int(v),) for v in r.binomial(20, 0.5, 2000)], "y int")
+    got, none = glm.overdispersion_test(clumped, [], "y"), glm.overdispersion_test(even, [], "y")
+    assert 0.4 < got["alpha"] < 0.62 and got["lr"] > 500
+    assert none == {"alpha": 0.0, "lr": 0.0}
+
+
+def test_slope_interval(spark):
+    r = np.random.default_rng(3)
+    rows = [(s, b, float(x), float(2 * x + e)) for s in range(2) for b in range(12) for x, e in zip(r.normal(0, 1, 20), r.normal(0, 1, 20), strict=True)]
+    df = spark.createDataFrame([*rows, (0, 0, None, 1.0)], "s int, b int, x double, y double")
+    got = scoring.slope_interval(df, "s", "b", "x", "y", replicates=500).first()
+    x, y = np.array([v[2:] for v in rows]).T
+    assert got["n"] == 480 and got["blocks"] == 24 and abs(got["slope"] - np.polyfit(x, y, 1)[0]) < 1e-9
+    assert got["low"] < got["slope"] < got["high"] and got["high"] - got["low"] < 0.4
+    flat = scoring.slope_interval(df.withColumn("x", F.lit(1.0)), "s", "b", "x", "y", replicates=10).first()
+    few = scoring.slope_interval(df.filter("s = 0 AND b < 3"), "s", "b", "x", "y", replicates=10).first()
+    none = scoring.slope_interval(df.limit(0), "s", "b", "x", "y", replicates=10).first()
+    assert flat["slope"] is None and few["low"] is None and few["n"] == 60 and none["n"] == 0

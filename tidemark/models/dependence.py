@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import written
@@ -11,10 +11,9 @@ from tidemark.session import written
 POINTS = 9
 
 
-def tau(h: Column, a: Column, home_rate: Column, away_rate: Column, rho: float) -> Column:
-    """The factor by which rho changes the probability of a score."""
-    none_none = F.when((h == 0) & (a == 0), 1 - home_rate * away_rate * rho)
-    return none_none.when((h == 0) & (a == 1), 1 + home_rate * rho).when((h == 1) & (a == 0), 1 + away_rate * rho).when((h == 1) & (a == 1), F.lit(1 - rho)).otherwise(F.lit(1.0))
+def tau(h: str, a: str, home_rate: str, away_rate: str, rho: str) -> str:
+    """The factor by which rho changes the probability of a score, as SQL."""
+    return f"CASE WHEN {h} = 0 AND {a} = 0 THEN 1 - {home_rate} * {away_rate} * {rho} WHEN {h} = 0 AND {a} = 1 THEN 1 + {home_rate} * {rho} WHEN {h} = 1 AND {a} = 0 THEN 1 + {away_rate} * {rho} WHEN {h} = 1 AND {a} = 1 THEN 1 - {rho} ELSE 1D END"
 
 
 def bounds(rows: DataFrame, home_rate: str, away_rate: str) -> tuple[float, float]:
@@ -40,10 +39,9 @@ def rho(rows: DataFrame, home_goals: str = "home_goals", away_goals: str = "away
         return None
     margin = 1e-6 * (high - low)
     low, high = low + margin, high - margin
-    h, a, lh, la, n = (F.col(c) for c in ("h", "a", "lh", "la", "n"))
     while high - low > tolerance:
         points = np.linspace(low, high, POINTS)
-        got = cells.agg(*(F.sum(n * F.log(tau(h, a, lh, la, float(x)))).alias(f"f{k}") for k, x in enumerate(points))).first()
+        got = cells.selectExpr(*(f"sum(n * ln({tau('h', 'a', 'lh', 'la', f'({float(x)!r}D)')})) AS f{k}" for k, x in enumerate(points))).first()
         at = int(np.argmax([v if v is not None else -np.inf for v in got]))
         low, high = float(points[max(0, at - 1)]), float(points[min(POINTS - 1, at + 1)])
     return (low + high) / 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,10 +31,11 @@ class Fit:
 
 
 def cells(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Counts (``__n``) of the distinct rows of covariates and target, written once: what iterations read again and again."""
+    """Counts (``__n``) of the distinct complete rows of covariates and target, written once: what iterations read again and
+    again. Covariates of few values make few of them; continuous ones make as many as there are rows, a second, narrow table."""
     if "__n" in rows.columns:
         return rows
-    plain = rows.select(*(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, target])))
+    plain = rows.select(*(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, target]))).dropna()
     return written(plain.groupBy(*plain.columns).agg(F.count("*").alias("__n")), "glm-cells")
 
 
@@ -58,6 +60,92 @@ def ols(rows: DataFrame, features: Sequence[str], target: str) -> Fit:
     return Fit(["intercept", *features], np.linalg.lstsq(h, g, rcond=None)[0], h, n)
 
 
+@dataclass
+class Residuals:
+    """An ordinary least-squares fit with what its residuals say: R squared, residual deviation, and the Breusch-Pagan statistic
+    (rows times R squared of squared residuals on the covariates) with its degrees of freedom."""
+
+    fit: Fit
+    r2: float
+    sigma: float
+    breusch_pagan: float
+    degrees: int
+
+
+def ols_checked(rows: DataFrame, features: Sequence[str], target: str) -> Residuals:
+    """Least squares and the regression of squared residuals from one aggregation: all fourth-degree moments of covariates and
+    target, from which both are solved, so residuals are never computed row by row. Moments are taken about a first row near
+    the data, against cancellation; their number is about p^4 / 24, for few covariates."""
+    known = rows.select(*(F.col(c).cast("double").alias(c) for c in [*features, target])).dropna()
+    first = known.first()
+    names = ["1D", *(f"({c} - {first[c]!r}D)" for c in [*features, target])] if first else ["1D", *features, target]
+    m, keys = len(names), list(itertools.combinations_with_replacement(range(len(names)), 4))
+    got = known.selectExpr(*(f"sum({' * '.join(names[i] for i in key)}) AS m{k}" for k, key in enumerate(keys))).first()
+    moment = np.zeros((m,) * 4)
+    for k, key in enumerate(keys):
+        for p in set(itertools.permutations(key)):
+            moment[p] = got[k] or 0.0
+    n, x = moment[0, 0, 0, 0], slice(0, m - 1)
+    second = moment[0, 0]
+    beta = np.linalg.lstsq(second[x, x], second[x, -1], rcond=None)[0]
+    c = np.r_[-beta, 1.0]
+    squared = np.einsum("ijkl,k,l->ij", moment, c, c)[0]
+    fourth = np.einsum("ijkl,i,j,k,l->", moment, c, c, c, c)
+    rss, tss = squared[0], second[-1, -1] - second[0, -1] ** 2 / max(n, 1)
+    gamma = np.linalg.lstsq(second[x, x], squared[x], rcond=None)[0]
+    spread = fourth - squared[0] ** 2 / max(n, 1)
+    explained = (gamma @ squared[x] - squared[0] ** 2 / max(n, 1)) / spread if spread > 0 else 0.0
+    shift = np.array([float(first[c]) for c in features]) if first else np.zeros(len(features))
+    fit = beta.copy()
+    fit[0] += (float(first[target]) if first else 0.0) - beta[1:] @ shift
+    free = n - len(beta)
+    return Residuals(Fit(["intercept", *features], fit, second[x, x], int(n)), float(1 - rss / tss) if tss > 0 else 0.0, float(np.sqrt(rss / free)) if free > 0 else float("nan"), float(n * explained), len(features))
+
+
+def variance_by_fitted(rows: DataFrame, fit: Fit, target: str, parts: int = 5) -> DataFrame:
+    """part, n and variance of the residuals, by equal parts of the fitted values (equal values together). The cuts are ranks
+    to one in a million, whatever the number of rows."""
+    known = rows.select(fit.linear().alias("fitted"), F.col(target).cast("double").alias("y")).dropna()
+    cuts = known.agg(F.percentile_approx("fitted", [k / parts for k in range(1, parts)], 1_000_000)).first()[0] or []
+    part = sum(((F.col("fitted") > float(c)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    return known.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.var_samp(F.col("y") - F.col("fitted")).alias("variance"))
+
+
+def negative_binomial_loglik(table: DataFrame, mean: str, target: str, alphas: Sequence[float]) -> list[float]:
+    """Log likelihoods of counts in ``table`` (with ``__n``) at means ``mean``, SQL, for each alpha; Poisson's for zero."""
+    y = target
+    parts = []
+    for a in alphas:
+        if a <= 0:
+            parts.append(f"{y} * ln({mean}) - ({mean})")
+        else:
+            grown = f"1 + {a!r}D * ({mean})"
+            rising = f"aggregate(sequence(0, greatest(cast({y} AS INT) - 1, 0)), 0D, (s, i) -> s + if(i < {y}, ln(1 + {a!r}D * i), 0D))"
+            parts.append(f"{rising} - {1 / a!r}D * ln({grown}) + {y} * (ln({mean}) - ln({grown}))")
+    got = table.selectExpr(*(f"sum(__n * ({p})) AS l{k}" for k, p in enumerate(parts))).first()
+    return [float(v or 0.0) for v in got]
+
+
+def overdispersion_test(rows: DataFrame, features: Sequence[str], target: str, most: float = 64.0, tolerance: float = 1e-9) -> dict[str, float]:
+    """Likelihood ratio of NB2 against Poisson, alpha on the boundary under the null: half of chi-square's tail. Coefficients are
+    those of each model; alpha is the maximum in a bracket whose points are summed in one aggregation a step."""
+    table = cells(rows, features, target)
+    restricted, (full, alpha) = poisson(table, features, target), negative_binomial(table, features, target)
+
+    def mean(fit: Fit) -> str:
+        return "exp(" + " + ".join([f"{float(fit.beta[0])!r}D", *(f"{float(b)!r}D * {n}" for n, b in zip(fit.names[1:], fit.beta[1:], strict=True))]) + ")"
+
+    low, high = 0.0, most
+    while high - low > tolerance * max(1.0, high):
+        points = [low + (high - low) * k / 8 for k in range(9)]
+        at = int(np.argmax(negative_binomial_loglik(table, mean(full), target, points)))
+        low, high = points[max(0, at - 1)], points[min(8, at + 1)]
+    alpha = (low + high) / 2 if high > tolerance * 2 else 0.0
+    base = negative_binomial_loglik(table, mean(restricted), target, [0.0])[0]
+    best = negative_binomial_loglik(table, mean(full), target, [alpha])[0] if alpha else base
+    return {"alpha": alpha, "lr": max(0.0, 2 * (best - base))}
+
+
 def nnls_two(rows: DataFrame, a: str, b: str, target: str) -> tuple[float, float]:
     """Non-negative least squares without an intercept for two coefficients: the best of the active sets."""
     x, y, t = (F.col(c).cast("double") for c in (a, b, target))

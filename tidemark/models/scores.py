@@ -67,65 +67,64 @@ def cells(contests: DataFrame, decays: Sequence[float], day: str, reference: int
     return contests.dropna(subset=[*keys, "home_goals", "away_goals", day]).groupBy(*keys).agg(*sums)
 
 
-def with_rates(rows: DataFrame, strengths: DataFrame, shared: np.ndarray, features: Sequence[str]) -> DataFrame:
-    n = len(shared)
-    for side in ("home", "away"):
-        own = [F.col(f"{what}{k}").alias(f"__{side}_{what}{k}") for what in ("attack", "defence") for k in range(n)]
-        rows = rows.join(strengths.select(F.col("side").alias(f"{side}_id"), *own), f"{side}_id", "left")
+def shared_names(n: int, d: int) -> list[str]:
+    """Of the coefficients in a row of ``shared``, row by row."""
+    return [name for k in range(n) for name in (f"__gamma{k}", *(f"__delta{k}_{i}" for i in range(d)), f"__rho{k}")]
 
-    def strength(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0.0))
 
-    out = {}
+def with_rates(rows: DataFrame, strengths: DataFrame, shared: np.ndarray, features: Sequence[str], carried: bool = False) -> DataFrame:
+    """``rows`` with lh0, la0, lh1, ... With ``carried`` the shared coefficients come as columns __gamma0, __delta0_0, __rho0, ...
+    of the home side's strengths, and stay: so the plan of one pass is compiled once, not anew for each new number. Expressions
+    are text here and below, since their many parts would each be a call to the driver's JVM."""
+    n = len(shared)
+    values = dict(zip(shared_names(n, len(features)), (repr(float(v)) + "D" for v in shared.ravel()), strict=True))
+    for side in ("home", "away"):
+        own = [f"{what}{k} AS __{side}_{what}{k}" for what in ("attack", "defence") for k in range(n)]
+        more = [f"{v} AS {name}" for name, v in values.items()] if carried and side == "home" else []
+        rows = rows.join(strengths.selectExpr(f"side AS {side}_id", *own, *more), f"{side}_id", "left")
+    value = {name: name for name in values} if carried else values
+    out = []
     for k in range(n):
-        gamma, delta = float(shared[k, 0]), shared[k, 1:-1]
         for short, own, other in (("lh", "home", "away"), ("la", "away", "home")):
-            eta = strength(f"__{own}_attack{k}") - strength(f"__{other}_defence{k}") + (gamma if own == "home" else 0.0)
-            for f, d in zip(features, delta, strict=True):
-                eta = eta + F.col(f"{own}_{f}") * float(d)
-            out[f"{short}{k}"] = F.exp(eta)
-    helpers = [c for c in rows.columns if c.startswith("__home_") or c.startswith("__away_")]
-    return rows.withColumns(out).drop(*helpers)
+            terms = [f"coalesce(__{own}_attack{k}, 0D)", f"-coalesce(__{other}_defence{k}, 0D)", *([value[f"__gamma{k}"]] if own == "home" else [])]
+            terms += [f"{own}_{f} * {value[f'__delta{k}_{i}']}" for i, f in enumerate(features)]
+            out.append(f"exp({' + '.join(terms)}) AS {short}{k}")
+    return rows.selectExpr(*(f"`{c}`" for c in rows.columns if not c.startswith(("__home_", "__away_"))), *out)
 
 
-def positive(x: Column) -> Column:
-    return F.greatest(x, F.lit(1e-10))
+def positive(x: str) -> str:
+    return f"greatest({x}, 1e-10D)"
 
 
 def one_pass(model: ScoreModel, table: DataFrame, block: str) -> tuple[DataFrame, list]:
     """Strengths with the attacks or the defences moved, saved, and the sums that the shared coefficients need."""
-    rows = with_rates(table, model.strengths, model.shared, model.features)
+    rows = with_rates(table, model.strengths, model.shared, model.features, carried=True)
     n, d = len(model.decays), 1 + len(model.features)
-    scored, expected, sums = {"home": [], "away": []}, {"home": [], "away": []}, []
+    own, sums = {"home": [], "away": []}, {}
     for k in range(n):
-        lh, la, w, rho = F.col(f"lh{k}"), F.col(f"la{k}"), F.col(f"w{k}"), float(model.shared[k, -1])
-        t00, t10, t01, t11 = (F.col(f"{t}{k}") for t in LOW)
-        both = -t00 * lh * la * rho / positive(1 - lh * la * rho)
-        got = {"home": F.col(f"yh{k}") + both + t01 * lh * rho / positive(1 + lh * rho), "away": F.col(f"ya{k}") + both + t10 * la * rho / positive(1 + la * rho)}
-        want = {"home": w * lh, "away": w * la}
-        for side in ("home", "away"):
-            scored[side].append(got[side].alias(f"got{k}"))
-            expected[side].append(want[side].alias(f"want{k}"))
-        x = {side: [F.lit(1.0 if side == "home" else 0.0), *(F.col(f"{side}_{f}") for f in model.features)] for side in ("home", "away")}
-        sums += [(f"g{k}_{i}", sum(((got[s] - want[s]) * x[s][i] for s in x), F.lit(0.0))) for i in range(d)]
-        sums += [(f"h{k}_{i}_{j}", sum((want[s] * x[s][i] * x[s][j] for s in x), F.lit(0.0))) for i in range(d) for j in range(i, d)]
-        slopes = [(t00, -lh * la / positive(1 - lh * la * rho)), (t10, la / positive(1 + la * rho)), (t01, lh / positive(1 + lh * rho)), (t11, F.lit(-1.0 / max(1e-10, 1 - rho)))]
-        sums += [(f"r{k}", sum((t * s for t, s in slopes), F.lit(0.0))), (f"i{k}", sum((t * s * s for t, s in slopes), F.lit(0.0)))]
+        lh, la, rho, t00, t10, t01, t11 = (f"{c}{k}" for c in ("lh", "la", "__rho", *LOW))
+        both = f"t00{k} * lh{k} * la{k} * {rho} / {positive(f'1 - {lh} * {la} * {rho}')}"
+        got = {"home": f"(yh{k} - {both} + {t01} * {lh} * {rho} / {positive(f'1 + {lh} * {rho}')})", "away": f"(ya{k} - {both} + {t10} * {la} * {rho} / {positive(f'1 + {la} * {rho}')})"}
+        want = {"home": f"(w{k} * {lh})", "away": f"(w{k} * {la})"}
+        for side in own:
+            own[side] += [f"{got[side]} AS got{k}", f"{want[side]} AS want{k}"]
+        x = {side: ["1D" if side == "home" else "0D", *(f"{side}_{f}" for f in model.features)] for side in own}
+        sums |= {f"g{k}_{i}": " + ".join(f"({got[s]} - {want[s]}) * {x[s][i]}" for s in x) for i in range(d)}
+        sums |= {f"h{k}_{i}_{j}": " + ".join(f"{want[s]} * {x[s][i]} * {x[s][j]}" for s in x) for i in range(d) for j in range(i, d)}
+        slopes = {t00: f"-{lh} * {la} / {positive(f'1 - {lh} * {la} * {rho}')}", t10: f"{la} / {positive(f'1 + {la} * {rho}')}", t01: f"{lh} / {positive(f'1 + {lh} * {rho}')}", t11: f"-1D / {positive(f'1 - {rho}')}"}
+        sums[f"r{k}"] = " + ".join(f"{t} * ({s})" for t, s in slopes.items())
+        sums[f"i{k}"] = " + ".join(f"{t} * ({s}) * ({s})" for t, s in slopes.items())
     # the side whose strength moves: who scored for attacks, who conceded for defences
     of = {"home": "home_id", "away": "away_id"} if block == "attack" else {"home": "away_id", "away": "home_id"}
-    parts = F.array(*(F.struct(F.col(of[s]).alias("side"), *scored[s], *expected[s], *((c if s == "home" else F.lit(0.0)).alias(name) for name, c in sums)) for s in ("home", "away")))
-    total = rows.select(F.inline(parts)).groupBy("side").agg(*(F.sum(c).alias(c) for c in [*(f"got{k}" for k in range(n)), *(f"want{k}" for k in range(n)), *(name for name, _ in sums)]))
-    sign, step = (1.0 if block == "attack" else -1.0), {}
-    for k in range(n):
-        step[f"move{k}"] = F.coalesce(F.log(F.greatest(F.col(f"got{k}"), F.lit(1e-9)) / positive(F.col(f"want{k}"))), F.lit(0.0)) * sign
-    moved = model.strengths.join(total, "side", "left").withColumns(step)
-    new = [F.greatest(F.least(F.col(f"{block}{k}") + F.col(f"move{k}"), F.lit(-FLOOR)), F.lit(FLOOR)) for k in range(n)]
-    names = [f"{what}{k}" for k in range(n) for what in ("attack", "defence")]
-    moved = moved.withColumns({f"__new{k}": c for k, c in enumerate(new)})
-    moved = moved.withColumn("__far", F.greatest(F.lit(0.0), *(F.abs(F.col(f"__new{k}") - F.col(f"{block}{k}")) for k in range(n))))
-    kept = [F.col(f"__new{c[len(block):]}").alias(c) if c.startswith(block) else F.col(c) for c in names]
-    saved = written(moved.select("side", *kept, "__far", *(name for name, _ in sums)), "score-strengths")
-    return saved.select("side", *names), saved.agg(F.max("__far").alias("far"), *(F.sum(name).alias(name) for name, _ in sums)).first()
+    part = {s: ", ".join([f"{of[s]} AS side", *own[s], *(f"{e if s == 'home' else '0D'} AS {name}" for name, e in sums.items())]) for s in own}
+    parts = rows.selectExpr(f"inline(array(struct({part['home']}), struct({part['away']})))")
+    total = parts.groupBy("side").agg(*(F.sum(c).alias(c) for c in parts.columns if c != "side"))
+    sign, names = ("" if block == "attack" else "-"), [f"{what}{k}" for k in range(n) for what in ("attack", "defence")]
+    new = {f"{block}{k}": f"greatest({FLOOR}D, least({-FLOOR}D, {block}{k} + coalesce({sign}ln(greatest(got{k}, 1e-9D) / {positive(f'want{k}')}), 0D)))" for k in range(n)}
+    far = ", ".join(f"abs({e} - {c})" for c, e in new.items())
+    moved = model.strengths.join(total, "side", "left").selectExpr("side", *(f"{new.get(c, c)} AS {c}" for c in names), f"greatest(0D, {far}) AS __far", *sums)
+    saved = written(moved, "score-strengths")
+    return saved.select("side", *names), saved.agg(F.max("__far").alias("far"), *(F.sum(name).alias(name) for name in sums)).first()
 
 
 def shared_step(shared: np.ndarray, got) -> np.ndarray:
@@ -143,7 +142,7 @@ def shared_step(shared: np.ndarray, got) -> np.ndarray:
     return out
 
 
-def fit(contests: DataFrame, decays: Sequence[float] = (0.0,), day: str = "day", features: Sequence[str] = (), reference: int | None = None, steps: int = 40, tolerance: float = 1e-6) -> ScoreModel:
+def fit(contests: DataFrame, decays: Sequence[float] = (0.0,), day: str = "day", features: Sequence[str] = (), reference: int | None = None, steps: int = 40, tolerance: float = 1e-5) -> ScoreModel:
     """The model of ``contests``: home_id, away_id, home_goals, away_goals, ``day`` (a number), home_<f> and away_<f> for each
     feature. Without ``reference`` the last day has weight one."""
     if reference is None:
@@ -179,12 +178,12 @@ def log_loss(model: ScoreModel, contests: DataFrame) -> list[float]:
     for k in range(len(model.decays)):
         lh, la, rho = F.col(f"lh{k}"), F.col(f"la{k}"), float(model.shared[k, -1])
         tau = F.when((h == 0) & (a == 0), 1 - lh * la * rho).when((h == 1) & (a == 0), 1 + la * rho).when((h == 0) & (a == 1), 1 + lh * rho).when((h == 1) & (a == 1), F.lit(1 - rho)).otherwise(1.0)
-        each = F.log(positive(tau)) + h * F.log(lh) - lh - F.log(F.factorial(h.cast("int")).cast("double")) + a * F.log(la) - la - F.log(F.factorial(a.cast("int")).cast("double"))
+        each = F.log(F.greatest(tau, F.lit(1e-10))) + h * F.log(lh) - lh - F.log(F.factorial(h.cast("int")).cast("double")) + a * F.log(la) - la - F.log(F.factorial(a.cast("int")).cast("double"))
         losses.append(F.avg(-each).alias(f"loss{k}"))
     return [float(v) if v is not None else float("nan") for v in rows.agg(*losses).first()]
 
 
-def decay_search(contests: DataFrame, grid: Sequence[float], cutoff: int, day: str = "day", features: Sequence[str] = (), steps: int = 40, tolerance: float = 1e-6) -> tuple[list[tuple[float, float]], int, ScoreModel]:
+def decay_search(contests: DataFrame, grid: Sequence[float], cutoff: int, day: str = "day", features: Sequence[str] = (), steps: int = 40, tolerance: float = 1e-5) -> tuple[list[tuple[float, float]], int, ScoreModel]:
     """(decay, loss) for each of ``grid``, fitted before day ``cutoff`` and judged from it on; the index of the least loss (the
     first of equal ones) and the fitted models. One fit and one pass for the whole grid."""
     model = fit(contests.filter(F.col(day) < cutoff), grid, day, features, steps=steps, tolerance=tolerance)

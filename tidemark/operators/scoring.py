@@ -60,24 +60,52 @@ def block_sums(losses: DataFrame, stratum: str, block: str, value: str) -> DataF
     return losses.groupBy(stratum, block).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
 
 
-def bootstrap_means(losses: DataFrame, stratum: str, block: str, value: str, replicates: int) -> DataFrame:
-    """replicate, mean: of resamples that draw in each stratum as many blocks as it has. Blocks are summed first, so what
-    is multiplied by the replicates doesn't grow with the rows of a block."""
-    sums = block_sums(losses, stratum, block, value)
+def resampled(sums: DataFrame, stratum: str, block: str, columns: Sequence[str], replicates: int) -> DataFrame:
+    """replicate and the sums of ``columns`` over resamples that draw in each stratum as many blocks as it has. ``sums`` has one
+    row for each block, so what is multiplied by the replicates doesn't grow with the rows of a block."""
     numbered = sums.withColumn("b", (F.row_number().over(W.partitionBy(stratum).orderBy(block)) - 1).cast("long")).withColumn("nb", F.count("*").over(W.partitionBy(stratum)))
     slots = numbered.select(stratum, F.col("b").alias("i"), "nb").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("r", F.col("r").cast("long"))
     picks = slots.withColumn("b", draw(F.col("r"), F.col("i"), F.col("nb"))).select(stratum, "r", "b")
-    drawn = picks.groupBy(stratum, "r", "b").agg(F.count("*").alias("times")).join(numbered.select(stratum, "b", "s", "n"), [stratum, "b"])
-    return drawn.groupBy(F.col("r").alias("replicate")).agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
+    return picks.join(numbered.select(stratum, "b", *columns), [stratum, "b"]).groupBy(F.col("r").alias("replicate")).agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def bootstrap_means(losses: DataFrame, stratum: str, block: str, value: str, replicates: int) -> DataFrame:
+    """replicate, mean of the losses of resampled blocks."""
+    return resampled(block_sums(losses, stratum, block, value), stratum, block, ["s", "n"], replicates).select("replicate", (F.col("s") / F.col("n")).alias("mean"))
 
 
-def bootstrap_interval(losses: DataFrame, stratum: str, block: str, value: str, replicates: int = 1000, level: float = 0.95) -> DataFrame:
-    means = bootstrap_means(losses, stratum, block, value, replicates)
+def interval_of(draws: DataFrame, value: str, level: float) -> DataFrame:
+    """One row: low and high, the percentiles of ``value`` that hold ``level`` of the draws."""
     a = (1 - level) / 2
-    bounds = means.agg(F.expr(f"percentile(mean, {a})").alias("low"), F.expr(f"percentile(mean, {1 - a})").alias("high"))
+    return draws.agg(F.expr(f"percentile({value}, {a})").alias("low"), F.expr(f"percentile({value}, {1 - a})").alias("high"))
+
+
+def bootstrap_interval(losses: DataFrame, stratum: str, block: str, value: str, replicates: int = 10_000, level: float = 0.95) -> DataFrame:
+    bounds = interval_of(bootstrap_means(losses, stratum, block, value, replicates), "mean", level)
     return losses.agg(F.avg(value).alias("mean"), F.count("*").alias("n")).crossJoin(bounds)  # one row by one row
 
 
+MOMENTS = ["n", "sx", "sy", "sxy", "sxx"]
+
+
+def slope() -> Column:
+    """Of the least-squares line of sums n, sx, sy, sxy, sxx; null where x doesn't vary."""
+    spread = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    return F.when(spread > 1e-12, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / spread)
+
+
+def slope_interval(rows: DataFrame, stratum: str, block: str, x: str, y: str, replicates: int = 10_000, level: float = 0.95, least: int = 5) -> DataFrame:
+    """One row: slope of y on x, its bootstrap interval over blocks drawn within strata, rows and blocks. Blocks come down to
+    five sums each; a replicate's slope is solved from their totals. All but the counts are null where x doesn't vary or blocks
+    are fewer than ``least``."""
+    known = rows.select(stratum, block, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(subset=["x", "y"])
+    sums = known.groupBy(stratum, block).agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
+    whole = sums.agg(F.count("*").alias("blocks"), *(F.sum(c).alias(c) for c in MOMENTS)).select("n", "blocks", slope().alias("slope"))
+    bounds = interval_of(resampled(sums, stratum, block, MOMENTS, replicates).select(slope().alias("slope")), "slope", level)
+    enough = F.col("slope").isNotNull() & (F.col("blocks") >= least)
+    return whole.crossJoin(bounds).select(F.coalesce("n", F.lit(0)).alias("n"), "blocks", *(F.when(enough, F.col(c)).alias(c) for c in ("slope", "low", "high")))  # one row by one row
+
+
 def diebold_mariano(losses: DataFrame, block: str, value: str) -> DataFrame:
     """Mean difference over its block-clustered standard error, with the two-sided normal p value."""
     blocks = losses.groupBy(block).agg(F.sum(value).alias("s"), F.count("*").alias("n"))

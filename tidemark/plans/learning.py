@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import prob
-from tidemark.models import calibrate, glm, groups, trees
+from tidemark.models import calibrate, dependence, glm, groups, scores, trees
 from tidemark.models.design import Design
 from tidemark.operators import protocol, stats
 from tidemark.plans.base import MATCHES, matches, query, r6, table
@@ -34,6 +34,31 @@ def l04_least_squares(spark, sf):
     return report(spark, glm.ols(rows_of(spark, sf), ["a"], "y").describe())
 
 
+MOMENTS_AB = BASE + """, c AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb, var_pop(y) AS yy FROM x),
+f AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS ka, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS kb FROM c),
+e AS (SELECT match_id, a, b, y - my - ka * (a - ma) - kb * (b - mb) AS r, my + ka * (a - ma) + kb * (b - mb) AS fitted FROM x, f)"""
+
+
+@query(MOMENTS_AB + """, s AS (SELECT count(*) AS n, var_pop(r * r) AS v, covar_pop(a, r * r) AS va, covar_pop(b, r * r) AS vb, sum(r * r) AS rss FROM e),
+t AS (SELECT s.n, 1 - rss / (s.n * yy) AS r2, sqrt(rss / (s.n - 3)) AS sigma, s.n * (va * (va * bb - vb * ab) + vb * (vb * aa - va * ab)) / (aa * bb - ab * ab) / v AS bp FROM s, f)
+SELECT n, round(r2, 6) + 0.0 AS r2, round(sigma, 6) + 0.0 AS sigma, round(bp, 5) + 0.0 AS breusch_pagan, round(exp(-bp / 2), 6) + 0.0 AS p_value FROM t""")
+def l04_breusch_pagan(spark, sf):
+    """Least squares of totals with the test for unequal variance, from one aggregation."""
+    got = glm.ols_checked(rows_of(spark, sf), ["a", "b"], "y")
+    row = spark.createDataFrame([(got.fit.rows, got.r2, got.sigma, got.breusch_pagan)], "n long, r2 double, sigma double, breusch_pagan double")
+    p = prob.chi_square_tail(F.col("breusch_pagan"), got.degrees)
+    return row.withColumn("p", p).select("n", r6("r2").alias("r2"), r6("sigma").alias("sigma"), (F.round("breusch_pagan", 5) + 0.0).alias("breusch_pagan"), r6("p").alias("p_value"))
+
+
+@query(MOMENTS_AB + """, q AS (SELECT round(quantile_disc(fitted, 0.2), 9) AS q1, round(quantile_disc(fitted, 0.4), 9) AS q2, round(quantile_disc(fitted, 0.6), 9) AS q3, round(quantile_disc(fitted, 0.8), 9) AS q4 FROM e),
+g AS (SELECT r, (round(fitted, 9) > q1)::INT + (round(fitted, 9) > q2)::INT + (round(fitted, 9) > q3)::INT + (round(fitted, 9) > q4)::INT AS part FROM e, q)
+SELECT part, count(*) AS n, round(var_samp(r), 6) + 0.0 AS variance FROM g GROUP BY part""")
+def l04_variance_by_fitted(spark, sf):
+    """Variance of the residuals by fifths of the fitted values."""
+    rows = rows_of(spark, sf)
+    return glm.variance_by_fitted(rows, glm.ols_checked(rows, ["a", "b"], "y").fit, "y").select("part", "n", r6("variance").alias("variance"))
+
+
 @query()
 def l05_poisson_total(spark, sf):
     return report(spark, glm.poisson(rows_of(spark, sf), ["a", "b"], "y").describe())
@@ -80,6 +105,76 @@ def l08_low_score_cells(spark, sf):
     return low.groupBy(F.col("home_goals").cast("int").alias("h"), F.col("away_goals").cast("int").alias("a")).agg(F.count("*").alias("n"))
 
 
+def orders_of_customers(spark, sf):
+    made = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("y"))
+    return table(spark, sf, "customer").join(made, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("y", F.lit(0)).cast("double").alias("y"))
+
+
+@query("""WITH c AS (SELECT c_custkey, count(o_orderkey)::INT AS y FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL), m AS (SELECT avg(y) AS mu FROM c),
+h AS (SELECT y, count(*) AS n FROM c GROUP BY y), coarse AS (SELECT unnest(range(0, 64001)) / 1000.0::DOUBLE AS alpha),
+l1 AS (SELECT alpha, sum(n * CASE WHEN alpha = 0 THEN y * ln(mu) - mu ELSE coalesce(list_sum(list_transform(range(0, y), lambda i: ln(1 + alpha * i))), 0) - ln(1 + alpha * mu) / alpha + y * (ln(mu) - ln(1 + alpha * mu)) END) AS l FROM coarse, h, m GROUP BY alpha),
+best AS (SELECT arg_max(alpha, l) AS peak FROM l1), fine AS (SELECT DISTINCT greatest(0.0::DOUBLE, peak + k / 1000000.0::DOUBLE) AS alpha FROM best, range(-1000, 1001) s(k)),
+l2 AS (SELECT alpha, sum(n * CASE WHEN alpha = 0 THEN y * ln(mu) - mu ELSE coalesce(list_sum(list_transform(range(0, y), lambda i: ln(1 + alpha * i))), 0) - ln(1 + alpha * mu) / alpha + y * (ln(mu) - ln(1 + alpha * mu)) END) AS l FROM fine, h, m GROUP BY alpha),
+t AS (SELECT arg_max(alpha, l) AS alpha, 2 * (max(l) - (SELECT l FROM l1 WHERE alpha = 0)) AS lr FROM l2), u AS (SELECT alpha, greatest(lr, 0) AS lr FROM t)
+SELECT round(alpha, 4) + 0.0 AS alpha, round(lr, 3) + 0.0 AS lr, round(CASE WHEN lr <= 0 THEN 0.5 WHEN lr > 600 THEN 0.0 ELSE 0.5 * (1 - list_sum(list_transform(range(0, 400), lambda i: exp((i + 0.5) * ln(lr / 2) - lr / 2 - lgamma(i + 1.5))))) END, 4) + 0.0 AS p_value FROM u""")
+def l16_boundary_test(spark, sf):
+    """Orders of a customer: likelihood ratio of the negative binomial against Poisson, at the boundary."""
+    got = glm.overdispersion_test(orders_of_customers(spark, sf), [], "y")
+    row = spark.createDataFrame([(got["alpha"], got["lr"])], "alpha double, lr double")
+    p = F.when(F.col("lr") > 0, 0.5 * prob.chi_square_tail(F.col("lr"), 1)).otherwise(0.5)
+    # p is computed before: beside an alias of the same name a lambda reads the rounded column
+    return row.withColumn("p", p).select((F.round("alpha", 4) + 0.0).alias("alpha"), (F.round("lr", 3) + 0.0).alias("lr"), (F.round("p", 4) + 0.0).alias("p_value"))
+
+
+def with_league_rates(spark, sf):
+    """Contests with the mean goals of their league as rates."""
+    rows = rows_of(spark, sf)
+    means = rows.groupBy("league").agg(F.avg("home_goals").alias("home_rate"), F.avg("away_goals").alias("away_rate"))
+    return rows.join(means, "league")
+
+
+@query(BASE + """, m AS (SELECT league, avg(home_goals) AS lh, avg(away_goals) AS la FROM x GROUP BY ALL), b AS (SELECT -1 / max(greatest(lh, la)) AS low, least(1.0, 1 / max(lh * la)) AS high FROM m),
+c AS (SELECT home_goals AS h, away_goals AS a, lh, la, count(*) AS n FROM x JOIN m USING (league) WHERE home_goals <= 1 AND away_goals <= 1 GROUP BY ALL),
+g1 AS (SELECT low + (high - low) * unnest(range(1, 2000)) / 2000.0 AS r FROM b),
+f1 AS (SELECT r, sum(n * ln(CASE WHEN h = 0 AND a = 0 THEN 1 - lh * la * r WHEN h = 0 THEN 1 + lh * r WHEN a = 0 THEN 1 + la * r ELSE 1 - r END)) AS f FROM g1, c GROUP BY r), b1 AS (SELECT arg_max(r, f) AS r FROM f1),
+g2 AS (SELECT b1.r + unnest(range(-2000, 2001)) / 2000000.0 AS r FROM b1), f2 AS (SELECT r, sum(n * ln(CASE WHEN h = 0 AND a = 0 THEN 1 - lh * la * r WHEN h = 0 THEN 1 + lh * r WHEN a = 0 THEN 1 + la * r ELSE 1 - r END)) AS f FROM g2, c, b WHERE r > low AND r < high GROUP BY r)
+SELECT round(arg_max(r, f), 4) + 0.0 AS rho FROM f2""")
+def l08_rho(spark, sf):
+    """The dependence of low scores, by a bracket of points summed together."""
+    got = dependence.rho(with_league_rates(spark, sf))
+    return spark.createDataFrame([(got,)], "rho double").select((F.round("rho", 4) + 0.0).alias("rho"))
+
+
+@query()
+def l13_score_model(spark, sf):
+    """Attack and defence of every side, home advantage and dependence, weights halving in about two years."""
+    played = matches(spark, sf).filter("status = 'played'")
+    model = scores.fit(played, [0.001], tolerance=1e-2)
+    gamma, rho = (round(float(v), 4) for v in model.shared[0])
+    return model.strengths.select("side", F.round("attack0", 3).alias("attack"), F.round("defence0", 3).alias("defence"), F.lit(gamma).alias("gamma"), F.lit(rho).alias("rho"))
+
+
+GRID = (0.0, 0.001, 0.002, 0.005, 0.01)
+
+
+@query()
+def g03_decay_search(spark, sf):
+    """Losses of five decays on the contests of the last seasons, all fitted in one go, and which is chosen."""
+    played = matches(spark, sf).filter("status = 'played'")
+    found, best, _ = scores.decay_search(played, GRID, 365 * 3, steps=6)
+    return spark.createDataFrame([(xi, round(loss, 5), k == best) for k, (xi, loss) in enumerate(found)], "decay double, loss double, chosen boolean")
+
+
+@query()
+def g05_exact_scores(spark, sf):
+    """Outcomes of the contests still to come, null with the reason where a side has played fewer than five before."""
+    both = matches(spark, sf)
+    played = both.filter("status = 'played'")
+    got = scores.exact_scores(scores.fit(played, [0.001], tolerance=1e-2), both.filter("status <> 'played'").select("match_id", "home_id", "away_id", "day"), played)
+    o = prob.outcomes(F.col("joint"))
+    return got.withColumn("o", F.when(F.col("joint").isNotNull(), o)).select("match_id", "home_games", "away_games", "refused", F.round("home_rate", 3).alias("home_rate"), *(F.round(f"o.{k}", 3).alias(k) for k in ("home", "draw", "away")))
+
+
 @query()
 def l02_elo_tuning(spark, sf):
     m = matches(spark, sf).withColumn("level", F.lit(1)).withColumn("played", F.col("status") == "played")

@@ -72,6 +72,13 @@ def m10_corrected_joint(spark, sf):
     return lambdas(spark, sf).select("match_id", j.alias("j")).select("match_id", *(r6(cell(h, a)).alias(f"p{h}{a}") for h in (0, 1) for a in (0, 1)), *(r6(v).alias(k) for k, v in moments.items()))
 
 
+@query("""SELECT p_partkey, round(exp(-x / 2) * list_sum(list_transform(range(0, k), lambda i: pow(x / 2, i) / factorial(i::INT))), 9) + 0.0 AS tail FROM (SELECT p_partkey, p_size * 1.5::DOUBLE AS x, (p_partkey % 8 + 1) AS k FROM part)""")
+def m20_chi_square_tail(spark, sf):
+    """Tails of chi-square with 2 to 16 degrees of freedom."""
+    tail = prob.chi_square_tail(F.col("p_size") * 1.5, 2 * (F.col("p_partkey") % 8 + 1))
+    return table(spark, sf, "part").select("p_partkey", (F.round(tail, 9) + 0.0).alias("tail"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN o > 1 AND u > 1 THEN (1 / o) / (1 / o + 1 / u) END, 6) + 0.0 AS p_over FROM (SELECT *, 0.9 + l_discount * 10 AS o, 1 + l_tax * 10 AS u FROM lineitem)""")
 def m11_l11_implied_probability(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r6(prob.implied(0.9 + F.col("l_discount") * 10, 1 + F.col("l_tax") * 10)).alias("p_over"))
@@ -161,12 +168,24 @@ def r10_block_bootstrap(spark, sf):
 
 
 @query(LOSSES + """, b AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY block) - 1 AS i, count(*) OVER (PARTITION BY league) AS nb FROM (SELECT league, block, sum(diff) AS s, count(*) AS n FROM d GROUP BY league, block)),
-r AS (SELECT unnest(range(0, 1000)) AS r), f AS (SELECT b.league, r.r, nb, (r.r * 1103515245 + i * 12345 + 67) % 2147483648 AS g FROM b, r),
+r AS (SELECT unnest(range(0, 10000)) AS r), f AS (SELECT b.league, r.r, nb, (r.r * 1103515245 + i * 12345 + 67) % 2147483648 AS g FROM b, r),
 p AS (SELECT league, r, CAST(floor(((g * 1103515245 + 12345) % 2147483648) / 65536) AS BIGINT) % nb AS i FROM f),
 m AS (SELECT p.r, sum(b.s) / sum(b.n) AS mean FROM p JOIN b ON b.league = p.league AND b.i = p.i GROUP BY ALL)
 SELECT (SELECT round(avg(diff), 6) + 0.0 FROM d) AS mean, (SELECT count(*) FROM d) AS n, round(quantile_cont(m.mean, 0.025), 6) + 0.0 AS low, round(quantile_cont(m.mean, 0.975), 6) + 0.0 AS high FROM m""")
 def r10_bootstrap_interval(spark, sf):
-    return scoring.bootstrap_interval(losses(spark, sf), "league", "block", "diff", 1000).select(*(r6(c).alias(c) if c != "n" else c for c in ("mean", "n", "low", "high")))
+    return scoring.bootstrap_interval(losses(spark, sf), "league", "block", "diff").select(*(r6(c).alias(c) if c != "n" else c for c in ("mean", "n", "low", "high")))
+
+
+@query(LOSSES + """, x AS (SELECT d.league, block, d.diff AS y, (season - 1995) + lh / 10 AS x FROM d JOIN l USING (match_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY block) - 1 AS i, count(*) OVER (PARTITION BY league) AS nb FROM (SELECT league, block, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx FROM x GROUP BY league, block)),
+r AS (SELECT unnest(range(0, 10000)) AS r), f AS (SELECT b.league, r.r, nb, (r.r * 1103515245 + i * 12345 + 67) % 2147483648 AS g FROM b, r),
+p AS (SELECT league, r, CAST(floor(((g * 1103515245 + 12345) % 2147483648) / 65536) AS BIGINT) % nb AS i FROM f),
+t AS (SELECT p.r, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxy) AS sxy, sum(sxx) AS sxx FROM p JOIN b ON b.league = p.league AND b.i = p.i GROUP BY p.r), s AS (SELECT (sxy - sx * sy / n) / (sxx - sx * sx / n) AS k FROM t)
+SELECT (SELECT count(*) FROM x) AS n, (SELECT count(*) FROM b) AS blocks, (SELECT round(regr_slope(y, x), 6) + 0.0 FROM x) AS slope, round(quantile_cont(k, 0.025), 6) + 0.0 AS low, round(quantile_cont(k, 0.975), 6) + 0.0 AS high FROM s""")
+def r15_slope_interval(spark, sf):
+    """Trend of the loss difference, with an interval from 10,000 resamples of blocks."""
+    rows = losses(spark, sf).join(lambdas(spark, sf).select("match_id", "lh"), "match_id").withColumn("x", (F.col("season") - 1995) + F.col("lh") / 10)
+    return scoring.slope_interval(rows, "league", "block", "x", "diff").select("n", "blocks", *(r6(c).alias(c) for c in ("slope", "low", "high")))
 
 
 @query(LOSSES + """, b AS (SELECT block, sum(diff) AS s, count(*) AS n FROM d GROUP BY ALL), t AS (SELECT sum(s) / sum(n) AS m, sum(n) AS n FROM b)
