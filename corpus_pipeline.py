@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import quoted, saved, table
 from tidemark.llm.linededup import dedup
 from tidemark.llm.ngramjoin import one_of_each
 from tidemark.llm.packing import pack_documents
@@ -22,7 +22,7 @@ from tidemark.llm.quality import keep_good
 
 def with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents, n_chars counted anew."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*map(quoted, columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

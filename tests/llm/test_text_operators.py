@@ -427,3 +427,24 @@ def test_malformed_long_pages_end_soon(part):
     began = time.time()
     assert html.blocks_of(page)[0][0] == "first"
     assert time.time() - began < 20
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    """Callers' columns, whatever their names, come out of every stage as they went in."""
+    names = ["a.b", "n_lines", "n_dropped", "__pii_base", "__pii_spans", "key", "__g", "x`y", "kept", "drops"]
+    docs = spark.createDataFrame([(k, f"{k} words that are said by nobody else, number {k * 7919} of them, mail{k}@site.org", "en", "s", 0) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.toDF(*docs.columns).selectExpr("*", *(f"concat('{i}-', doc_id) AS c{i}" for i in range(len(names)))).toDF(*docs.columns, *names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert [r[n] for n in names] == [f"{i}-{r['doc_id']}" for i in range(len(names))], name
+    assert linededup.dedup(docs).columns == [*docs.columns, "_n_lines", "_n_dropped"]
+
+
+def test_language_of_texts_without_letters(spark):
+    df = spark.createDataFrame([(1, "x²"), (2, "²½ 12 _"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, langid.Network(1), ["en"]).collect()}
+    assert got == {1: "en", 2: "und", 3: "und"}

@@ -59,6 +59,15 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
+def aside(docs: DataFrame, used: tuple[str, ...], use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``use`` of ``docs`` whose columns other than ``used`` have numbers for names meanwhile, so that no name of a caller's
+    column meets one of an operator's own or has to be quoted. Columns that ``use`` adds get a name that is free."""
+    plain = [c if c in used else f"__column_{k}__" for k, c in enumerate(docs.columns)]
+    out = use(docs.toDF(*plain))
+    back = dict(zip(plain, docs.columns, strict=True))
+    return out.toDF(*(back[c] if c in back else free_name(c, docs.columns) for c in out.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

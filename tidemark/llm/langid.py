@@ -11,7 +11,6 @@ give repeated results; ties go to the language first in order; an empty table gi
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -28,7 +27,10 @@ SAMPLE_WINDOWS = 4
 STEPS = 240
 BATCH = 64
 PAD = 256
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: bytes) -> bool:
+    return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -163,7 +165,7 @@ def sample(docs: DataFrame, per_language: int, per_document: int) -> list[tuple[
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, parts = [], []
         for lang, text in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text")), strict=True):
-            if not LETTER.search(text.decode("utf-8", "replace")):
+            if not has_letter(text):
                 continue
             starts = np.random.default_rng(zlib.crc32(text)).integers(0, max(1, len(text) - WINDOW + 1), per_document)
             for a in sorted(set(starts.tolist())):
@@ -193,7 +195,7 @@ def identify(df: DataFrame, net: Network | None, langs: list[str], text: str = "
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = as_bytes(batch.column(text))
-        letters = [bool(LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
+        letters = [has_letter(t) for t in texts]
         known = [i for i, ok in enumerate(letters) if ok and net is not None]
         pred, score = ["und"] * len(texts), [0.0] * len(texts)
         if known:

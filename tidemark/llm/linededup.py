@@ -19,8 +19,8 @@ positions share all tokens of one such class, so they meet within k rounds, unle
 itself; then chance deals it anew in each round.
 
 Cases: null and empty texts stay as they are; repeated rows and near copies have one mark and count once; ties between templates go to
-the first in the order of hashes; an empty table gives no rows; ``dedup`` keeps other columns, except that ``n_lines`` and
-``n_dropped`` are its own.
+the first in the order of hashes; an empty table gives no rows; ``dedup`` keeps other columns of any
+name; its own then have other names.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, free_name, map_arrow, release, saved, table
+from tidemark.llm.common import aside, as_bytes, free_name, map_arrow, release, saved, table
 from tidemark.llm.ngramjoin import components, mix, sets_of
 
 DEPTH = 3
@@ -250,7 +250,12 @@ def recurring(found: DataFrame, marks: DataFrame, docs: DataFrame, min_words: in
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with recurring lines dropped from ``text``, and n_lines, n_dropped."""
+    """``docs`` (doc_id, text, ...) with recurring lines dropped from ``text``, and n_lines, n_dropped (with underscores before
+    them where ``docs`` has such columns)."""
+    return aside(docs, ("doc_id", "text"), lambda d: _dedup(d, min_words, min_docs, similarity))
+
+
+def _dedup(docs: DataFrame, min_words: int, min_docs: int, similarity: float) -> DataFrame:
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     found = saved(lines(keyed, min_words), "lines-hashes")
     marks = near_copies(keyed)

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import aside, saved, table
 
 # Possessive forms of the contract's patterns. Nothing after a repetition can take back what it has read, so the matches
 # are the same, and Java neither recurses nor reads a long run once for each of its characters.
@@ -268,9 +268,13 @@ def without(text: Column, found: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``df`` with every span in ``text`` replaced by its kind in angle brackets; spans that overlap become one."""
-    found = saved(candidates(df, text), "pii")
-    got = spans(found, learn(found), threshold)
-    return got.withColumn(text, without(F.col(text), F.col(ALL_SPANS))).select(*df.columns)
+
+    def use(plain: DataFrame) -> DataFrame:
+        found = saved(candidates(plain, text), "pii")
+        got = spans(found, learn(found), threshold)
+        return got.withColumn(text, without(F.col(text), F.col(ALL_SPANS))).select(*plain.columns)
+
+    return aside(df, (text,), use)
 
 
 def digests(docs: DataFrame) -> DataFrame:

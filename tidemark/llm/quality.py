@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, free_name, map_arrow, saved, table
+from tidemark.llm.common import as_bytes, aside, map_arrow, saved, table
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 SHARE = 0.75
@@ -217,10 +217,13 @@ def judged(stats: DataFrame, share: float = SHARE, steps: int = STEPS, min_group
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text passes, all columns kept. Rows are told apart by a hash of id and text."""
-    key = free_name("key", docs.columns)
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", "lang", "source"))
-    verdict = judged(saved(statistics(keyed, keep=(key, "lang", "source")), "quality-stats")).filter("kept").select(key).distinct()
-    return keyed.join(verdict, key, "left_semi").select(*docs.columns)
+
+    def use(plain: DataFrame) -> DataFrame:
+        keyed = plain.withColumn("key", F.xxhash64("doc_id", "text", "lang", "source"))
+        verdict = judged(saved(statistics(keyed, keep=("key", "lang", "source")), "quality-stats")).filter("kept").select("key").distinct()
+        return keyed.join(verdict, "key", "left_semi").select(*plain.columns)
+
+    return aside(docs, ("doc_id", "text", "lang", "source"), use)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
