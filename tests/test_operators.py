@@ -75,6 +75,24 @@ def test_elo_is_a_daily_fold(spark):
         assert got[k] == pytest.approx(v, abs=1e-9)
 
 
+def test_elo_settings_rated_together(spark, monkeypatch):
+    """Many settings at once, a season a step: as one by one, all seasons in one task."""
+    rows = contests()
+    df = spark.createDataFrame(rows, CONTESTS)
+    grid = [{}, {"k": 30.0, "margin": False}, {"regress": 0.3, "gap": 200.0, "home": 0.0}]
+    whole = [{r["match_id"]: (r["home_elo"], r["away_elo"]) for r in ratings.elo(df, "league", params=p).collect()} for p in grid]
+    monkeypatch.setattr(ratings, "STEP_ROWS", 1)
+    stepped = {r["match_id"]: (r["home_elo"], r["away_elo"]) for r in ratings.elo(df, "league", params=grid[2]).collect()}
+    assert stepped == whole[2]
+    want = {}
+    for k, got in enumerate(whole):
+        for m, _, season, _, _, _, _, hg, ag, played in rows:
+            if played and season >= 2001:
+                key = (k, (got[m][0] - got[m][1]) // 5 * 5, 1 + (hg > ag) - (hg < ag))
+                want[key] = want.get(key, 0) + 1
+    assert {(r["setting"], r["gap"], r["outcome"]): r["n"] for r in ratings.gap_counts(df, "league", grid, 2001).collect()} == want
+
+
 def test_streamed_elo_equals_batch(spark, tmp_path):
     rows = [r for r in contests() if r[1] == "A"]
     df = spark.createDataFrame(rows, CONTESTS).withColumn("ladder", F.col("league"))

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ratings import seasons_of
+from tidemark.operators.ratings import gap_counts
 
 
 def standardised(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -71,10 +71,8 @@ def ordered_logit(gap: np.ndarray, outcome: np.ndarray, count: np.ndarray, steps
 
 def tune_elo(contests: DataFrame, ladder: str, grid: Sequence[dict], first_season: int) -> DataFrame:
     """setting, loss, n: ordered-logit loss of home win, draw and away win by rating gap, for each Elo setting. A ladder's season
-    is read once for all settings; gaps are counted in steps of five points before they are fitted."""
-    rated = seasons_of(contests, ladder, "day", grid)
-    known = contests.filter(F.col("played") & (F.col("season") >= first_season)).select("match_id", (F.sign(F.col("home_goals") - F.col("away_goals")) + 1).cast("int").alias("outcome"))
-    binned = rated.join(known, "match_id").groupBy("setting", (F.floor((F.col("home_elo") - F.col("away_elo")) / 5) * 5).alias("gap"), "outcome").agg(F.count("*").alias("n"))
+    is read and rated once for all settings; gaps are counted in steps of five points before they are fitted."""
+    binned = gap_counts(contests, ladder, grid, first_season)
 
     def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, loss = ordered_logit(rows["gap"].to_numpy(float), rows["outcome"].to_numpy(), rows["n"].to_numpy(float))

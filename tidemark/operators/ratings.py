@@ -6,14 +6,15 @@ before are drawn towards the mean of their new level by ``regress``; others ente
 ratings of that season or, where it has none, at ``base``, less ``gap`` in the second level. A season's contests come before
 those of the next one.
 
-The unit is a ladder's season: what the ladder held at its end is written to the shared folder and met by the next season's
-contests, so no task holds a ladder's history, and settings to be compared share each reading of the contests.
+Settings to be compared are rated together: a ladder holds a matrix of sides by settings, and a season is read and looped over
+once for all of them. The unit of work is a ladder's seasons up to ``STEP_ROWS`` contests, one season at least: what the ladder
+held at their end is written to the shared folder and met by the next ones, so no task holds a long ladder's history.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+import io
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,111 +23,175 @@ from pyspark.sql import functions as F
 
 from tidemark.session import written
 
-#: Fixed values of the rating rule.
-ELO = {"k": 15.0, "home": 40.0, "regress": 0.0, "gap": 100.0, "base": 1500.0, "scale": 400.0, "lowest": 3}
-SIDES = ["side", "rating", "games", "season", "level"]
-BREAK = ["level", "mean", "low"]
+#: Fixed values of the rating rule; ``margin`` says whether wide wins count for more.
+ELO = {"k": 15.0, "home": 40.0, "regress": 0.0, "gap": 100.0, "base": 1500.0, "scale": 400.0, "lowest": 3, "margin": True}
 RATINGS = ["match_id", "home_elo", "away_elo", "home_played", "away_played"]
+STEP_ROWS = 200_000
+
+
+class Ladder:
+    """Ratings (sides x settings), games, last season and level of a ladder's sides; the open season, and by level the mean
+    rating and that of the lowest ones of the season before."""
+
+    def __init__(self, settings: Sequence[dict]):
+        full = [ELO | s for s in settings]
+        self.p = {k: np.array([s[k] for s in full], float) for k in ELO}
+        self.at: dict = {}
+        self.rating, self.games, self.season, self.level = np.empty((0, len(full))), np.empty(0), np.empty(0), np.empty(0)
+        self.opened: float = np.nan
+        self.levels: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+
+    def held(self) -> dict:
+        """All of it as plain lists, for a state or a file."""
+        arrays = {k: getattr(self, k).tolist() for k in ("rating", "games", "season", "level")}
+        return arrays | {"sides": list(self.at), "opened": None if np.isnan(self.opened) else self.opened, "levels": [[k, m.tolist(), x.tolist()] for k, (m, x) in self.levels.items()]}
+
+    @classmethod
+    def of(cls, held: dict | None, settings: Sequence[dict]) -> Ladder:
+        out = cls(settings)
+        if held:
+            out.at = {s: i for i, s in enumerate(held["sides"])}
+            out.rating = np.array(held["rating"], float).reshape(len(out.at), len(settings))
+            out.games, out.season, out.level = (np.array(held[k], float) for k in ("games", "season", "level"))
+            out.opened = np.nan if held["opened"] is None else held["opened"]
+            out.levels = {k: (np.array(m), np.array(x)) for k, m, x in held["levels"]}
+        return out
+
+    def packed(self) -> bytes:
+        """``held`` as bytes: arrays as they are, so that many settings stay small."""
+        out = io.BytesIO()
+        keys = np.array(list(self.levels), float)
+        both = np.array([np.stack(v) for v in self.levels.values()]).reshape(len(keys), 2, self.rating.shape[1])
+        np.savez(out, sides=np.array(list(self.at)), rating=self.rating, games=self.games, season=self.season, level=self.level, opened=np.array(self.opened), keys=keys, both=both)
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: bytes, settings: Sequence[dict]) -> Ladder:
+        got = np.load(io.BytesIO(data), allow_pickle=False)
+        out = cls(settings)
+        out.at = {s: i for i, s in enumerate(got["sides"].tolist())}
+        out.rating, out.games, out.season, out.level, out.opened = got["rating"].reshape(len(out.at), len(settings)), got["games"], got["season"], got["level"], float(got["opened"])
+        out.levels = {float(k): (b[0], b[1]) for k, b in zip(got["keys"], got["both"], strict=True)}
+        return out
+
+    def open(self, season: float) -> None:
+        if self.opened >= season:
+            return
+        self.opened, self.levels = season, {}
+        last = self.season == season - 1
+        for level in np.unique(self.level[last & ~np.isnan(self.level)]):
+            ratings = self.rating[last & (self.level == level)]
+            self.levels[float(level)] = (ratings.mean(axis=0), np.sort(ratings, axis=0)[: int(self.p["lowest"][0])].mean(axis=0))
+
+    def enter(self, sides: np.ndarray, levels: np.ndarray, season: float) -> None:
+        """``sides`` (their first appearance in the season and its level) at the ratings that they begin it with."""
+        new = [s for s in sides.tolist() if s not in self.at]
+        self.at |= {s: len(self.at) + i for i, s in enumerate(new)}
+        self.rating = np.concatenate([self.rating, np.full((len(new), self.rating.shape[1]), np.nan)])
+        self.games, self.season, self.level = (np.concatenate([x, np.full(len(new), v)]) for x, v in ((self.games, 0.0), (self.season, np.nan), (self.level, np.nan)))
+        for side, level in zip(sides.tolist(), levels.tolist(), strict=True):
+            i = self.at[side]
+            if self.season[i] >= season:
+                continue
+            mean, low = self.levels.get(float(level), (self.rating[i], self.p["base"] - (self.p["gap"] if level == 2 else 0.0)))
+            if self.season[i] == season - 1:
+                self.rating[i] = mean + (1 - self.p["regress"]) * (self.rating[i] - mean)
+            else:
+                self.rating[i] = low
+            self.season[i], self.level[i] = season, level
+
+    def contest(self, rows: pd.DataFrame, day: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ratings (rows x settings) and games of home and away before each of ``rows``, one season sorted by day."""
+        home, away = (np.fromiter((self.at[s] for s in rows[c].tolist()), np.int64, len(rows)) for c in ("home_id", "away_id"))
+        margin = (rows["home_goals"].astype(float) - rows["away_goals"].astype(float)).to_numpy()
+        counts = rows["played"].fillna(False).to_numpy(bool) & ~np.isnan(margin)
+        wide = np.abs(np.where(counts, margin, 0))
+        factor = np.where(wide <= 1, 1.0, np.where(wide == 2, 1.5, (11 + wide) / 8))
+        factor = np.where(self.p["margin"] > 0, factor[:, None], 1.0) * self.p["k"] * counts[:, None]
+        result = (np.sign(np.where(counts, margin, 0)) + 1) / 2
+        before = [np.empty((len(rows), self.rating.shape[1])) for _ in range(2)] + [np.empty(len(rows)) for _ in range(2)]
+        edges = np.flatnonzero(np.diff(rows[day].to_numpy())) + 1
+        for a, b in zip(np.r_[0, edges], np.r_[edges, len(rows)], strict=True):
+            h, w = home[a:b], away[a:b]
+            rh, rw = self.rating[h], self.rating[w]
+            before[0][a:b], before[1][a:b], before[2][a:b], before[3][a:b] = rh, rw, self.games[h], self.games[w]
+            moved = factor[a:b] * (result[a:b, None] - 1 / (1 + 10 ** (-(rh + self.p["home"] - rw) / self.p["scale"])))
+            np.add.at(self.rating, h, moved)
+            np.add.at(self.rating, w, -moved)
+            np.add.at(self.games, h, counts[a:b])
+            np.add.at(self.games, w, counts[a:b])
+        return tuple(before)
+
+    def play(self, rows: pd.DataFrame, day: str = "day") -> tuple[pd.DataFrame, tuple[np.ndarray, ...]]:
+        """``rows`` in order, and ratings and games before each. ``rows`` may have ``regular``: contests that don't say which
+        level their sides belong to."""
+        rows = rows.sort_values(["season", day, "match_id"], kind="stable").reset_index(drop=True)
+        parts = []
+        for season, part in rows.groupby("season", sort=True):
+            self.open(float(season))
+            both = part[["home_id", "away_id"]].to_numpy().ravel()
+            level = np.repeat(part["level"].to_numpy(float), 2)
+            _, first = np.unique(both, return_index=True)
+            self.enter(both[np.sort(first)], level[np.sort(first)], float(season))
+            parts.append(self.contest(part.reset_index(drop=True), day))
+            told = np.repeat(part["regular"].to_numpy(bool), 2) if "regular" in part else np.ones(len(both), bool)
+            for side, lv in zip(both[told].tolist(), level[told].tolist(), strict=True):
+                self.level[self.at[side]] = lv
+        n = self.rating.shape[1]
+        empty = (np.empty((0, n)), np.empty((0, n)), np.empty(0), np.empty(0))
+        return rows, tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
 
 
 def start() -> dict:
-    """What a ladder holds before its first contest: its sides, the open season and that season's figures by level."""
-    return {"season": None, "sides": [], "levels": []}
-
-
-def season_break(sides: pd.DataFrame, season: int, lowest: int) -> pd.DataFrame:
-    """By level: mean rating, and mean of the lowest ones, of the sides that played the season before."""
-    last = sides[sides["season"] == season - 1].sort_values("rating")
-    return pd.DataFrame({"mean": last.groupby("level")["rating"].mean(), "low": last.groupby("level").head(lowest).groupby("level")["rating"].mean()})
-
-
-def appearances(rows: pd.DataFrame) -> pd.DataFrame:
-    """side and level of both sides of each contest, in order."""
-    return pd.concat([rows[[c, "level"]].set_axis(["side", "level"], axis=1) for c in ("home_id", "away_id")]).sort_index(kind="stable")
-
-
-def entered(sides: pd.DataFrame, rows: pd.DataFrame, season: int, levels: pd.DataFrame, p: dict) -> pd.DataFrame:
-    """``sides`` with those that begin the season in ``rows`` at their ratings for it."""
-    first = appearances(rows).drop_duplicates("side").set_index("side")["level"]
-    before = sides.reindex(first.index)
-    begins = ~(before["season"] >= season)
-    first, before = first[begins], before[begins]
-    mean = first.map(levels["mean"]).fillna(before["rating"])
-    low = first.map(levels["low"]).fillna(pd.Series(np.where(first == 2, p["base"] - p["gap"], p["base"]), first.index))
-    back = mean + (1 - p["regress"]) * (before["rating"] - mean)
-    fresh = pd.DataFrame({"rating": back.where(before["season"] == season - 1, low), "games": before["games"].fillna(0), "season": float(season), "level": first.astype(float)})
-    return pd.concat([sides.drop(fresh.index, errors="ignore"), fresh]) if len(sides) else fresh
-
-
-def contested(sides: pd.DataFrame, rows: pd.DataFrame, day: str, p: dict) -> pd.DataFrame:
-    """Ratings before each of ``rows``, sorted by day; moves the ratings and counts in ``sides``."""
-    home, away = sides.index.get_indexer(rows["home_id"]), sides.index.get_indexer(rows["away_id"])
-    rating, games = sides["rating"].to_numpy(copy=True), sides["games"].to_numpy(copy=True)
-    margin = (rows["home_goals"].astype(float) - rows["away_goals"].astype(float)).to_numpy()
-    counts = rows["played"].fillna(False).to_numpy(bool) & ~np.isnan(margin)
-    size = np.abs(np.where(counts, margin, 0))
-    step = p["k"] * np.where(size <= 1, 1.0, np.where(size == 2, 1.5, (11 + size) / 8))
-    result = (np.sign(np.where(counts, margin, 0)) + 1) / 2
-    out = np.empty((len(rows), 4))
-    edges = np.flatnonzero(np.diff(rows[day].to_numpy())) + 1
-    for a, b in zip(np.r_[0, edges], np.r_[edges, len(rows)], strict=True):
-        h, w = home[a:b], away[a:b]
-        out[a:b] = np.c_[rating[h], rating[w], games[h], games[w]]
-        moved = counts[a:b] * step[a:b] * (result[a:b] - 1 / (1 + 10 ** (-(rating[h] + p["home"] - rating[w]) / p["scale"])))
-        np.add.at(rating, h, moved)
-        np.add.at(rating, w, -moved)
-        np.add.at(games, h, counts[a:b])
-        np.add.at(games, w, counts[a:b])
-    sides["rating"], sides["games"] = rating, games
-    return pd.DataFrame({"match_id": rows["match_id"].to_numpy(), "home_elo": out[:, 0], "away_elo": out[:, 1], "home_played": out[:, 2].astype(int), "away_played": out[:, 3].astype(int)})
+    """What a ladder holds before its first contest."""
+    return Ladder([{}]).held()
 
 
 def rate(rows: pd.DataFrame, held: dict, day: str = "day", params: dict | None = None) -> tuple[pd.DataFrame, dict]:
-    """Ratings before each contest of one ladder, and what it holds then. ``rows`` may have ``regular``: contests that
-    don't say which level their sides belong to."""
-    p = ELO | (params or {})
-    sides = pd.DataFrame(held["sides"], columns=SIDES).set_index("side").astype(float)
-    levels = pd.DataFrame(held["levels"], columns=BREAK).set_index("level")
-    opened, parts = held["season"], []
-    for season, part in rows.sort_values(["season", day, "match_id"], kind="stable").groupby("season", sort=True):
-        part = part.reset_index(drop=True)
-        if opened is None or season > opened:
-            opened, levels = int(season), season_break(sides, int(season), p["lowest"])
-        sides = entered(sides, part, int(season), levels, p)
-        parts.append(contested(sides, part, day, p))
-        told = part[part["regular"]] if "regular" in part else part
-        last = appearances(told).drop_duplicates("side", keep="last").set_index("side")["level"]
-        sides.loc[last.index, "level"] = last.astype(float)
-    got = pd.concat(parts) if parts else pd.DataFrame(columns=RATINGS)
-    return got, {"season": opened, "sides": sides.rename_axis("side").reset_index().to_numpy().tolist(), "levels": levels.rename_axis("level").reset_index().to_numpy().tolist()}
-
-
-STEP = "setting int, ladder string, match_id bigint, home_elo double, away_elo double, home_played int, away_played int, held string"
-
-
-def seasons_of(contests: DataFrame, ladder: str, day: str, settings: Sequence[dict]) -> DataFrame:
-    """setting, ladder and the ratings before each contest, for each of ``settings``."""
+    """Ratings before each contest of one ladder, and what it holds then."""
+    ladder = Ladder.of(held, [params or {}])
+    ordered, before = ladder.play(rows, day)
+    return rated(ordered, before), ladder.held()
+
+
+def rated(rows: pd.DataFrame, before: tuple[np.ndarray, ...]) -> pd.DataFrame:
+    return pd.DataFrame({"match_id": rows["match_id"].to_numpy(), "home_elo": before[0][:, 0], "away_elo": before[1][:, 0], "home_played": before[2].astype(int), "away_played": before[3].astype(int)})
+
+
+def steps_of(keyed: DataFrame) -> list[tuple[int, int]]:
+    """Seasons (first, last) that are rated in one go: as many as no ladder has over STEP_ROWS contests in, one at least."""
+    sizes = keyed.groupBy("__ladder", "season").count().groupBy("season").agg(F.max("count").alias("n")).orderBy("season").collect()  # one row a season
+    steps, held = [], 0
+    for season, n in sizes:
+        if steps and held + n <= STEP_ROWS:
+            steps[-1], held = (steps[-1][0], season), held + n
+        else:
+            steps, held = [*steps, (season, season)], n
+    return steps
+
+
+def folded(contests: DataFrame, ladder: str, day: str, settings: Sequence[dict], told: Callable[[pd.DataFrame, tuple[np.ndarray, ...]], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``told`` says (columns of ``schema``) of each ladder's contests, in order, and of ratings and games before them."""
     spark = contests.sparkSession
-    keyed = written(contests.withColumn("__ladder", F.col(ladder).cast("string")), "elo-contests", ["season"])
-    seasons = sorted(r[0] for r in keyed.select("season").distinct().collect())  # one row a season
+    columns = [c.strip().split()[0] for c in schema.split(",")]
+    full = f"{schema}, ladder string, held binary"
+    complete = contests.dropna(subset=["home_id", "away_id", "season", day])
+    keyed = written(complete.withColumn("__ladder", F.col(ladder).cast("string")), "elo-contests", ["season"])
 
     def fold(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        had = dict(zip(before["setting"], before["held"], strict=True))
-        out = []
-        for i, setting in enumerate(settings):
-            held = json.loads(had[i]) if i in had else start()
-            got, held = rate(rows, held, day, setting) if len(rows) else (pd.DataFrame(columns=RATINGS), held)
-            last = pd.DataFrame({"match_id": [None], "held": [json.dumps(held)]})
-            out.append(pd.concat([got.assign(held=None), last]).assign(setting=i, ladder=key[0]))
-        return pd.concat(out)[["setting", "ladder", *RATINGS, "held"]]
-
-    held, made = spark.createDataFrame([], STEP), []
-    for season in seasons:
-        mine = keyed.filter(F.col("season") == season).groupBy("__ladder")
-        done = written(mine.cogroup(held.filter("held IS NOT NULL").groupBy("ladder")).applyInPandas(fold, STEP), "elo-season")
-        made.append(done.filter("held IS NULL").drop("held"))
+        mine = Ladder.unpacked(bytes(before["held"].iloc[0]), settings) if len(before) else Ladder(settings)
+        ordered, got = mine.play(rows, day)
+        said = told(ordered, got)[columns]
+        last = pd.DataFrame({c: [None] for c in columns}, dtype=object).assign(ladder=key[0], held=[mine.packed()])
+        return pd.concat([said.astype(object).assign(ladder=key[0], held=None), last]) if len(said) else last
+
+    held, made = spark.createDataFrame([], full), []
+    for first, last in steps_of(keyed):
+        mine = keyed.filter(F.col("season").between(first, last)).groupBy("__ladder")
+        done = written(mine.cogroup(held.filter("held IS NOT NULL").groupBy("ladder")).applyInPandas(fold, full), "elo-seasons")
+        made.append(done.filter("held IS NULL").select(*columns))
         held = done
-    out = spark.createDataFrame([], STEP).drop("held")
+    out = spark.createDataFrame([], schema)
     for some in made:
         out = out.unionByName(some)
     return out
@@ -134,5 +199,26 @@ def seasons_of(contests: DataFrame, ladder: str, day: str, settings: Sequence[di
 
 def elo(contests: DataFrame, ladder: str, day: str = "day", params: dict | None = None) -> DataFrame:
     """Ratings before each contest. contests: match_id, ladder, season, level, day, home_id, away_id, home_goals, away_goals,
-    played."""
-    return seasons_of(contests, ladder, day, [params or {}]).select(*RATINGS)
+    played. Contests without a season, a day or a side are left out."""
+    kind = contests.schema["match_id"].dataType.simpleString()
+    return folded(contests, ladder, day, [params or {}], rated, f"match_id {kind}, home_elo double, away_elo double, home_played int, away_played int")
+
+
+def gap_counts(contests: DataFrame, ladder: str, grid: Sequence[dict], first_season: int, day: str = "day", width: float = 5.0) -> DataFrame:
+    """setting, gap, outcome (0 away, 1 draw, 2 home), n: contests played from ``first_season`` on, counted by rating gap in
+    steps of ``width`` for each setting. Counts of a ladder's step are made where it is rated, so ratings are never written."""
+
+    def told(rows: pd.DataFrame, before: tuple[np.ndarray, ...]) -> pd.DataFrame:
+        margin = (rows["home_goals"].astype(float) - rows["away_goals"].astype(float)).to_numpy()
+        counts = rows["played"].fillna(False).to_numpy(bool) & ~np.isnan(margin) & (rows["season"].to_numpy() >= first_season)
+        gap = np.floor((before[0] - before[1])[counts] / width).astype(np.int64)
+        outcome = (np.sign(margin[counts]) + 1).astype(np.int64)
+        parts = []
+        for k in range(len(grid)):
+            keys, n = np.unique(gap[:, k] * 3 + outcome, return_counts=True)
+            parts.append(np.c_[np.full(len(keys), k), keys // 3, keys % 3, n])
+        got = np.concatenate(parts) if parts else np.empty((0, 4), np.int64)
+        return pd.DataFrame({"setting": got[:, 0], "gap": got[:, 1] * width, "outcome": got[:, 2], "n": got[:, 3]})
+
+    each = folded(contests, ladder, day, grid, told, "setting int, gap double, outcome int, n long")
+    return each.groupBy("setting", "gap", "outcome").agg(F.sum("n").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import prob
@@ -175,11 +177,15 @@ def g05_exact_scores(spark, sf):
     return got.withColumn("o", F.when(F.col("joint").isNotNull(), o)).select("match_id", "home_games", "away_games", "refused", F.round("home_rate", 3).alias("home_rate"), *(F.round(f"o.{k}", 3).alias(k) for k in ("home", "draw", "away")))
 
 
+#: 576 settings: step, home advantage, regression between seasons, margins, gap of the second level.
+ELO_GRID = [dict(zip(("k", "home", "regress", "margin", "gap"), v, strict=True)) for v in itertools.product((10.0, 15.0, 20.0, 25.0, 30.0, 40.0), (40.0, 60.0, 80.0, 100.0), (0.0, 0.1, 0.2, 0.33), (False, True), (0.0, 100.0, 200.0))]
+
+
 @query()
 def l02_elo_tuning(spark, sf):
-    m = matches(spark, sf).withColumn("level", F.lit(1)).withColumn("played", F.col("status") == "played")
+    m = matches(spark, sf).withColumn("level", F.when(F.col("home_id") % 2 == 0, 1).otherwise(2)).withColumn("played", F.col("status") == "played")
     m = m.select("match_id", "league", "season", "level", "day", "home_id", "away_id", "home_goals", "away_goals", "played")
-    got = groups.tune_elo(m, "league", [{"k": k, "home": h} for k in (10.0, 20.0) for h in (0.0, 40.0)], 1996)
+    got = groups.tune_elo(m, "league", ELO_GRID, 1996)
     return got.select("setting", r6("loss").alias("loss"), "n")
 
 

@@ -44,10 +44,11 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
 
 
 def parse_day(value):
-    """dd/MM/yyyy or dd/MM/yy; null for the rest."""
+    """dd/MM/yyyy or dd/MM/yy (years 69 to 99 are of the last century); null for the rest."""
     v = F.trim(value)
     long = F.when(v.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(v, "d/M/yyyy"))
-    return F.coalesce(long, F.when(v.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(v, "d/M/yy")))
+    short = F.when(v.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(v, "d/M/yy"))
+    return F.coalesce(long, F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short))
 
 
 def read_drifting_csv(spark: SparkSession, paths: Sequence[str], day: str = "Date", encoding: str = "UTF-8") -> DataFrame:
