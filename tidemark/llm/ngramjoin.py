@@ -241,7 +241,9 @@ def near_labels(links: DataFrame, hops: int = 3) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     label = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
     for _ in range(hops - 1):
-        seen = both.join(label.withColumnsRenamed({"u": "v"}), "v").select("u", "m").unionByName(label)
+        # u has a label of least(u, v) at most already: the stars of a key's least member have nothing to tell
+        told = label.select(F.col("u").alias("from"), "m")
+        seen = both.join(told, (F.col("v") == F.col("from")) & (F.col("m") < F.least("u", "v"))).select("u", "m").unionByName(label)
         label = seen.groupBy("u").agg(F.min("m").alias("m"))
     return label.select(F.col("u").alias("node"), F.col("m").alias("comp"))
 
