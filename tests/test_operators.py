@@ -153,12 +153,12 @@ def test_snapshot_registry_and_seal(spark, tmp_path):
     back, _ = snapshot.read_snapshot(spark, str(tmp_path), m1["version"])
     assert sorted(map(tuple, back.collect()), key=str) == [(1, "a"), (2, None)]
     assert snapshot.list_snapshots(spark, str(tmp_path)).count() == 1
-    reg = snapshot.Registry([snapshot.Entry("id", "ID", "bigint"), snapshot.Entry("ewm_h{h}", "G1", "double", both=True, half_lives=(60, 120))])
+    reg = snapshot.Registry(("ID", "G1"), 2, [snapshot.Entry("id", "ID", "bigint"), snapshot.Entry("ewm_h{h}", "G1", "double", both=True, half_lives=(60, 120))])
     assert reg.columns() == ["id", "ewm_h60", "opp_ewm_h60", "ewm_h120", "opp_ewm_h120"]
     with pytest.raises(ValueError):
         reg.project(df)
     with pytest.raises(ValueError):
-        snapshot.Registry([snapshot.Entry("id", "ID", "int"), snapshot.Entry("id", "G0", "int")])
+        snapshot.Registry(("ID", "G0"), 1, [snapshot.Entry("id", "ID", "int"), snapshot.Entry("id", "G0", "int")])
     when = spark.sql("SELECT timestamp_ntz'2020-01-01' AS t UNION ALL SELECT timestamp_ntz'2021-01-01'")
     assert snapshot.gate(when, "t", "2020-06-01").count() == 1
 
