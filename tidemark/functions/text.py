@@ -64,3 +64,8 @@ def loose_number(value: Column) -> Column:
 
 def season_label(season: Column) -> Column:
     return F.concat(season.cast("string"), F.lit("-"), F.lpad((F.pmod(season + 1, F.lit(100))).cast("string"), 2, "0"))
+
+
+def canonical_json(columns: dict[str, Column]) -> Column:
+    """An object with sorted keys, no blanks and explicit nulls: the same text, hence the same digest, for the same values."""
+    return F.to_json(F.struct(*(columns[k].alias(k) for k in sorted(columns))), {"ignoreNullFields": "false"})

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def latest(rows: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -80,3 +81,27 @@ def surrogate_ids(rows: DataFrame, natural: str, name: str = "id") -> DataFrame:
     sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
     offsets = sizes.select(F.col("__p"), (F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__o"))
     return local.join(F.broadcast(offsets), "__p").select(natural, (F.col("__o") + F.col("__r")).cast("long").alias(name))
+
+
+#: A list of up to so many values is written into the filter, which the scan gets; a longer one is joined.
+LISTED = 1000
+
+
+def among(rows: DataFrame, column: str, values: Sequence, listed: int = LISTED) -> DataFrame:
+    """Rows whose ``column`` is one of ``values``; no values, no rows; nulls match nothing."""
+    values = list(dict.fromkeys(v for v in values if v is not None))
+    if len(values) <= listed:
+        return rows.filter(F.col(column).isin(values))
+    kind = rows.select(column).schema[0].dataType
+    held = rows.sparkSession.createDataFrame([(v,) for v in values], StructType([StructField(column, kind)]))
+    return rows.join(held, column, "left_semi").select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
+def looked_up(wanted: DataFrame, rows: DataFrame, key: str, position: str, strict: bool = True) -> DataFrame:
+    """A row for each wanted key, in the order of ``position``, keys repeated as wanted. A key that ``rows`` lacks is an error, or
+    has nulls unless ``strict``. Keys of ``rows`` are unique."""
+    found = wanted.join(rows.withColumn("__there", F.lit(True)), key, "left")
+    if strict:
+        missing = F.raise_error(F.concat(F.lit(f"no {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+        found = found.filter(F.coalesce("__there", missing))
+    return found.drop("__there").orderBy(position)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,18 +51,40 @@ def propagate(matches_a: DataFrame, matches_b: DataFrame, known: DataFrame, tole
     return mutual_best(fresh, "a", "b", "votes", 1.0, 2.0).select("a", "b")
 
 
-def match_schedules(matches_a: DataFrame, matches_b: DataFrame, rounds: int | None = None) -> DataFrame:
-    """a, b: entities of two schedules that are the same, from the seed and rounds of votes until one adds none (or so many)."""
-    matches_a, matches_b = written(matches_a, "schedule-a"), written(matches_b, "schedule-b")
+def match_schedules(matches_a: DataFrame, matches_b: DataFrame, rounds: int | None = None, tolerances: Sequence[int] = (0, 1)) -> DataFrame:
+    """a, b: entities of two schedules that are the same, from the seed and rounds of votes, for each tolerance in turn until one
+    adds none (or so many). Contests of the second schedule before or after all of the first take no part."""
+    span = matches_a.agg(F.min("day").alias("__first"), F.max("day").alias("__last"))
+    far = max(tolerances)
+    within = matches_b.crossJoin(F.broadcast(span)).filter((F.col("day") >= F.col("__first") - far) & (F.col("day") <= F.col("__last") + far)).drop("__first", "__last")  # one row
+    matches_a, matches_b = written(matches_a, "schedule-a"), written(within, "schedule-b")
     known = written(anchor_seed(matches_a, matches_b).select("a", "b"), "schedule-pairs")
-    while rounds is None or rounds > 0:
-        more = written(propagate(matches_a, matches_b, known), "schedule-votes")
-        if more.isEmpty():
-            break
-        known, rounds = known.unionByName(more), None if rounds is None else rounds - 1
+    for tolerance in tolerances:
+        left = rounds
+        while left is None or left > 0:
+            more = written(propagate(matches_a, matches_b, known, tolerance), "schedule-votes")
+            if more.isEmpty():
+                break
+            known, left = known.unionByName(more), None if left is None else left - 1
     return known
 
 
+def confirmed(matches_a: DataFrame, matches_b: DataFrame, pairs: DataFrame, tolerance: int = 1, least: float = 0.9) -> DataFrame:
+    """Each entity of the first schedule: a, b (null without a pair), played, ok, share and whether it is confirmed. A contest is
+    ok if both sides have a pair and the second schedule has it between those, on the same sides, within ``tolerance`` days; a pair
+    is confirmed if ``least`` of all contests of its entity are ok. Equal contests count each."""
+    pair = pairs.select("a", "b").distinct()
+    mapped = matches_a.select("day", "home", "away")
+    for side in ("home", "away"):
+        mapped = mapped.join(pair.select(F.col("a").alias(side), F.col("b").alias(f"__{side}")), side, "left")
+    there = matches_b.select(F.col("home").alias("__home"), F.col("away").alias("__away"), F.explode(F.sequence(F.col("day") - tolerance, F.col("day") + tolerance)).alias("day")).distinct()
+    seen = mapped.join(there.withColumn("__ok", F.lit(1)), ["__home", "__away", "day"], "left")
+    each = seen.select(F.explode(F.array("home", "away")).alias("a"), F.coalesce("__ok", F.lit(0)).alias("__ok"))
+    counts = each.groupBy("a").agg(F.count("*").alias("played"), F.sum("__ok").alias("ok"))
+    share = F.col("ok") / F.col("played")
+    return counts.join(pair, "a", "left").select("a", "b", "played", "ok", share.alias("share"), (F.col("b").isNotNull() & (share >= least)).alias("confirmed"))
+
+
 def name_groups(names: DataFrame, name: str = "name") -> DataFrame:
     """Each distinct name with ``grp``, the least name that compatible names lead to. Names are compatible if they are equal
     after normalising or share a significant token; labels pass by tokens, so no pair of names is ever made."""
@@ -75,6 +99,14 @@ def name_groups(names: DataFrame, name: str = "name") -> DataFrame:
         label = stepped
 
 
+def shared_letters(a: str, b: str) -> Column:
+    """How many letters two normalised names have in common, each as often as both have it: at least what any alignment matches."""
+    def times(name: str, c: str) -> Column:
+        return F.length(name) - F.length(F.replace(F.col(name), F.lit(c), F.lit("")))
+
+    return sum((F.least(times(a, c), times(b, c)) for c in " abcdefghijklmnopqrstuvwxyz0123456789"), F.lit(0))
+
+
 def fuzzy_names(foreign: DataFrame, canonical: DataFrame, name: str = "name", accept: float = 0.84, review: float = 0.55) -> DataFrame:
     """Each foreign name with its best canonical name of those that share a token or the first three letters, the score and
     a verdict: accepted, review or unknown."""
@@ -85,7 +117,8 @@ def fuzzy_names(foreign: DataFrame, canonical: DataFrame, name: str = "name", ac
 
     pairs = blocks(foreign, "foreign").join(blocks(canonical, "canonical"), "k").select("foreign", "foreign_n", "canonical", "canonical_n").distinct()
     # no pair that the ratio would accept or give to review has a greater edit distance, so the ratio is taken for few
-    near = F.levenshtein("foreign_n", "canonical_n") <= (1 - review) * (F.length("foreign_n") + F.length("canonical_n"))
+    both = F.length("foreign_n") + F.length("canonical_n")
+    near = (F.levenshtein("foreign_n", "canonical_n") <= (1 - review) * both) & (2 * shared_letters("foreign_n", "canonical_n") >= review * both)
     scored = pairs.filter(near).withColumn("score", text.matching_ratio("foreign_n", "canonical_n"))
     best = scored.groupBy("foreign").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), "canonical")).alias("b"))
     out = foreign.select(F.col(name).alias("foreign")).distinct().join(best, "foreign", "left")

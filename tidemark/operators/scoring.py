@@ -135,3 +135,19 @@ def decision(folds: int, positive: int, low: float, mean: float, gap_increase: f
     if folds < 3:
         return "not applicable"
     return "replace" if low > 0 and mean > 0 and positive >= 3 and gap_increase <= 0.005 and 0.9 <= slope <= 1.1 else "keep"
+
+
+def decided(folds: Column, positive: Column, low: Column, mean: Column, gap_increase: Column, slope: Column) -> Column:
+    """``decision`` for each row; an unknown figure counts against B."""
+    good = (low > 0) & (mean > 0) & (positive >= 3) & (gap_increase <= 0.005) & slope.between(0.9, 1.1)
+    return F.when(folds < 3, "not applicable").when(F.coalesce(good, F.lit(False)), "replace").otherwise("keep")
+
+
+def replacement(losses: DataFrame, fold: str, a: str, b: str, gap_increase: float = 0.0, slope: float = 1.0) -> DataFrame:
+    """One row: folds, folds that gain, mean gain of b over a, the lower end of its 95 % interval by folds as blocks, and the
+    decision. Folds are counted and averaged first, so one row a fold is all that is compared."""
+    by_fold = losses.select(fold, (F.col(a) - F.col(b)).alias("__g")).dropna().groupBy(fold).agg(F.avg("__g").alias("gain"), F.sum("__g").alias("s"), F.count("*").alias("n"))
+    total = by_fold.agg(F.count("*").alias("folds"), F.count_if(F.col("gain") > 0).alias("positive"), *(F.sum(x).alias(k) for k, x in {"s": F.col("s"), "n": F.col("n"), "ss": F.col("s") ** 2, "sn": F.col("s") * F.col("n"), "nn": F.col("n") * F.col("n")}.items()))
+    mean = F.col("s") / F.col("n")
+    low = mean - 1.959963984540054 * F.sqrt(F.greatest(F.lit(0.0), F.col("ss") - 2 * mean * F.col("sn") + mean * mean * F.col("nn"))) / F.col("n")
+    return total.select("folds", "positive", mean.alias("mean"), low.alias("low")).withColumn("decision", decided(F.col("folds"), F.col("positive"), F.col("low"), F.col("mean"), F.lit(gap_increase), F.lit(slope)))

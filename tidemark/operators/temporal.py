@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +14,16 @@ def before(entity: Sequence[str], day: str, reach: int | None = None) -> W:
     return W.partitionBy(*entity).orderBy(day).rangeBetween(W.unboundedPreceding if reach is None else -reach, -1)
 
 
+def total_before(agg: Callable[[Column], Column], x: Column, entity: Sequence[str], day: str, reach: int | None = None) -> Column:
+    """Sum or count over the entity's earlier rows, 0 without any. A bounded one is the total up to the day less the total that
+    is out of reach: both frames only grow, so a row costs the same however long the reach is."""
+    earlier = F.coalesce(agg(x).over(before(entity, day)), F.lit(0))
+    if reach is None:
+        return earlier
+    out = W.partitionBy(*entity).orderBy(day).rangeBetween(W.unboundedPreceding, -reach - 1)
+    return earlier - F.coalesce(agg(x).over(out), F.lit(0))
+
+
 def weight(day: Column, half_life: float) -> Column:
     return F.pow(F.lit(0.5), -day / F.lit(float(half_life)))
 
@@ -22,17 +32,18 @@ def decayed_mean(rows: DataFrame, entity: str, prior: Sequence[str], day: str, v
     """Decayed mean of the entity's earlier values, shrunk with ``strength`` towards the mean of all rows of its ``prior``
     group in the same time; null where the entity has no earlier value. Adds ``name`` and ``{name}_weight``.
 
-    Both windows range over integer days. The prior is summed by day first, so a large group is a few rows a day.
+    Both are running totals over integer days; whether there is an earlier value is told by counts, which are exact. The
+    prior is summed by day first, so a large group is a few rows a day.
     """
     known = F.col(value).isNotNull() if history is None else history & F.col(value).isNotNull()
     x = F.when(known, F.col(value).cast("double"))
     w = F.when(known, weight(F.col(day), half_life))
     daily = rows.groupBy(*prior, day).agg(F.sum(x).alias("__s"), F.count(x).alias("__c"))
-    over_prior = before(prior, day, reach)
-    mu = daily.select(*prior, day, (F.sum("__s").over(over_prior) / F.nullif(F.sum("__c").over(over_prior), F.lit(0))).alias("__mu"))
-    own = before([entity], day, reach)
+    count = F.nullif(total_before(F.sum, F.col("__c"), prior, day, reach), F.lit(0))
+    mu = daily.select(*prior, day, (total_before(F.sum, F.col("__s"), prior, day, reach) / count).alias("__mu"))
     scale = F.pow(F.lit(0.5), F.col(day) / F.lit(float(half_life)))
-    sums = rows.withColumn("__wx", F.sum(w * x).over(own) * scale).withColumn("__w", F.sum(w).over(own) * scale)
+    some = total_before(F.count, x, [entity], day, reach) > 0
+    sums = rows.withColumns({"__wx": total_before(F.sum, w * x, [entity], day, reach) * scale, "__w": F.when(some, total_before(F.sum, w, [entity], day, reach) * scale)})
     out = sums.join(mu, [*prior, day], "left")
     shrunk = (F.col("__wx") + strength * F.col("__mu")) / (F.col("__w") + strength)
     return out.withColumn(name, F.when(F.col("__w") > 0, shrunk)).withColumn(f"{name}_weight", F.coalesce("__w", F.lit(0.0))).drop("__wx", "__w", "__mu")
@@ -46,7 +57,7 @@ def days_since(rows: DataFrame, entity: str, day: str, event: Column, name: str,
 
 def count_before(rows: DataFrame, entity: str, day: str, event: Column, reach: int, name: str) -> DataFrame:
     """How many earlier rows with ``event`` lie within ``reach`` days."""
-    return rows.withColumn(name, F.coalesce(F.count(F.when(event, 1)).over(before([entity], day, reach)), F.lit(0)))
+    return rows.withColumn(name, total_before(F.count, F.when(event, 1), [entity], day, reach))
 
 
 def any_before(rows: DataFrame, entity: str, day: str, event: Column, reach: int, name: str) -> DataFrame:
@@ -137,7 +148,7 @@ def cohesion(rows: DataFrame, entity: str, order: Sequence[str], day: str, membe
 def new_members(rows: DataFrame, entity: str, row_id: str, day: str, members: str, reach: int = 365, below: int = 3, name: str = "new_members") -> DataFrame:
     """How many members have fewer than ``below`` earlier rows of the entity within ``reach`` days."""
     each = rows.select(entity, row_id, day, F.explode(members).alias("__m"))
-    seen = each.withColumn("__n", F.count("*").over(before([entity, "__m"], day, reach)))
+    seen = each.withColumn("__n", total_before(F.count, F.lit(1), [entity, "__m"], day, reach))
     fresh = seen.groupBy(entity, row_id).agg(F.count_if(F.col("__n") < below).alias(name))
     return rows.join(fresh, [entity, row_id], "left")
 
@@ -187,3 +198,19 @@ def percentile_rank(rows: DataFrame, group: Sequence[str], value: str, name: str
     ties = F.count("*").over(W.partitionBy(*group, value))
     return rows.withColumn(name, F.when(known, 100.0 * (rank + (ties - 1) / 2.0) / F.count("*").over(w)))
 
+
+
+def live_features(rows: DataFrame, asked: DataFrame, today: int, form: int = 10, expected: int = 5) -> DataFrame:
+    """``asked`` (league, season, team_id, is_home) with what is known before ``today``: mean points and goals for and against of
+    the side's last ``form`` contests at that venue, mean xg of its last ``expected`` with one, points, goal difference and place
+    in its league's season; null where there is none. rows: played sides with goals and xg. The last rows of each side are cut
+    before they are shuffled."""
+    points = F.when(F.col("goals_for") > F.col("goals_against"), 3).when(F.col("goals_for") == F.col("goals_against"), 1).otherwise(0)
+    past = rows.filter(F.col("day") < today).withColumn("__p", points)
+    newest = F.row_number().over(W.partitionBy("team_id", "is_home").orderBy(F.desc("day"), F.desc("match_id")))
+    means = {"form_points": "__p", "form_for": "goals_for", "form_against": "goals_against"}
+    last = past.withColumn("__r", newest).filter(F.col("__r") <= form).groupBy("team_id", "is_home").agg(*(F.avg(v).alias(n) for n, v in means.items()))
+    xg = past.filter(F.col("xg").isNotNull()).withColumn("__r", newest).filter(F.col("__r") <= expected).groupBy("team_id", "is_home").agg(F.avg("xg").alias("form_xg"))
+    table = past.groupBy("league", "season", "team_id").agg(F.sum("__p").alias("standing_points"), F.sum(F.col("goals_for") - F.col("goals_against")).alias("standing_diff"))
+    table = table.withColumn("standing_place", F.row_number().over(W.partitionBy("league", "season").orderBy(F.desc("standing_points"), F.desc("standing_diff"), "team_id")))
+    return asked.join(last, ["team_id", "is_home"], "left").join(xg, ["team_id", "is_home"], "left").join(table, ["league", "season", "team_id"], "left")

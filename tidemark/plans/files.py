@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.plans.base import query, table
 from tidemark.session import shared_folder
-from tidemark.sources import lines, raw, store
+from tidemark.sources import lines, raw, snapshot, store
 
 
 def folder(spark, name: str) -> str:
@@ -94,3 +95,27 @@ def k10_model_registry(spark, sf):
     for r in counts.collect():  # five rows
         state = store.register(spark, root, r["o_orderpriority"], {"orders": r["n"]}, f"{root}/{r['o_orderpriority']}", activate=True)
     return spark.createDataFrame([(v, m["card"]["orders"], v == state["active"]) for v, m in state["models"].items()], "version string, orders long, active boolean")
+
+
+@query("""SELECT CASE o_orderstatus WHEN 'F' THEN '2000-07-01' WHEN 'O' THEN '2001-07-01' ELSE '2002-07-01' END AS day, count(*) AS rows, CAST(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END AS INT) AS place FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY o_orderstatus""")
+def s13_snapshot_listing(spark, sf):
+    """Three snapshots written, listed newest first."""
+    root = folder(spark, "snapshots")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    for day, status in (("2001-07-01", "O"), ("2002-07-01", "P"), ("2000-07-01", "F")):
+        snapshot.write_snapshot(orders.filter(F.col("o_orderstatus") == status), root, day)
+    # as many rows as there are snapshots
+    return snapshot.list_snapshots(spark, root).select("day", "rows", F.row_number().over(W.orderBy(F.desc("day"), "version")).alias("place"))
+
+
+@query("""SELECT c_custkey, CAST(1 AS INT) AS as_of, c_mktsegment AS segment, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS DOUBLE) ELSE c_acctbal END AS score FROM customer
+UNION ALL SELECT c_custkey, 2, NULL, CAST(c_custkey AS DOUBLE) FROM customer WHERE c_custkey % 5 = 0""")
+def k12_score_upserts(spark, sf):
+    """Scores by customer and day: some replaced, their other columns kept, and those of a new day added."""
+    root = folder(spark, "scores")
+    c = table(spark, sf, "customer").select("c_custkey", F.lit(1).alias("as_of"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("double").alias("score"))
+    store.upsert(spark, root, "scores", c, ["c_custkey", "as_of"])
+    key = F.col("c_custkey")
+    new = c.filter(key % 3 == 0).select("c_custkey", "as_of", key.cast("double").alias("score")).unionByName(c.filter(key % 5 == 0).select("c_custkey", F.lit(2).alias("as_of"), key.cast("double").alias("score")))
+    store.upsert(spark, root, "scores", new, ["c_custkey", "as_of"])
+    return store.read_table(spark, root, "scores")

@@ -192,14 +192,14 @@ def l02_elo_tuning(spark, sf):
 @query()
 def l10_boosted_poisson(spark, sf):
     rows = rows_of(spark, sf)
-    model = trees.fit(rows, ["a", "b"], "y", trees=3, depth=2)
+    model = trees.fit(rows, ["a", "b"], "y", trees=10, depth=3)
     return rows.select("match_id", r6(F.exp(model.score())).alias("mean"))
 
 
 @query()
 def l15_mixture_clusters(spark, sf):
     lines = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
-    got, _ = groups.mixture(lines, ["q", "d", "t"], (2, 3))
+    got, _ = groups.mixture(lines, ["q", "d", "t"])
     return got.groupBy("cluster").agg(F.count("*").alias("n"))
 
 

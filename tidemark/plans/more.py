@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import prob, text
 from tidemark.operators import lookup as L
-from tidemark.operators import stats
+from tidemark.operators import resolve, stats
+from tidemark.operators import temporal as T
 from tidemark.plans.base import HISTORY, MATCHES, SIDES, history, matches, query, r6, sides, table
 
 
@@ -141,12 +142,22 @@ def e05_alias_selection(spark, sf):
     return lines.groupBy("l_partkey").agg(F.when(apart, F.min("l_suppkey")).alias("never_together"), F.min_by("l_suppkey", F.struct(-F.col("n"), "l_suppkey")).alias("primary_id"))
 
 
-@query("""SELECT a.g AS a, count(*) FILTER (a.d = b.d) AS agree, count(*) AS total, count(*) FILTER (a.d = b.d) >= 0.9 * count(*) AS confirmed FROM (SELECT c_nationkey AS g, c_custkey AS k, c_custkey % 7 AS d FROM customer) a JOIN (SELECT c_custkey AS k, CASE WHEN c_nationkey < 12 THEN c_custkey % 7 ELSE c_custkey % 5 END AS d FROM customer) b USING (k) GROUP BY ALL""")
+PAIRED = f"""WITH {MATCHES}, p AS (SELECT DISTINCT a, a + 5000 + CASE WHEN a % 11 = 0 THEN 1 ELSE 0 END AS b FROM (SELECT home_id AS a FROM matches UNION SELECT away_id FROM matches) WHERE a % 13 <> 0),
+o AS (SELECT DISTINCT day + CASE WHEN match_id % 29 = 0 THEN 2 WHEN match_id % 17 = 0 THEN 1 ELSE 0 END AS day, home_id + 5000 AS home, away_id + 5000 AS away FROM matches),
+k AS (SELECT home_id, away_id, EXISTS (SELECT 1 FROM o WHERE o.home = h.b AND o.away = w.b AND abs(o.day - m.day) <= 1) AS good FROM matches m LEFT JOIN p h ON h.a = home_id LEFT JOIN p w ON w.a = away_id),
+e AS (SELECT home_id AS a, good FROM k UNION ALL SELECT away_id, good FROM k)"""
+
+
+@query(PAIRED + """ SELECT e.a, p.b, count(*) AS played, count(*) FILTER (good) AS ok, round(count(*) FILTER (good) / count(*), 6) + 0.0 AS share, p.b IS NOT NULL AND count(*) FILTER (good) >= 0.6 * count(*) AS confirmed FROM e LEFT JOIN p ON p.a = e.a GROUP BY e.a, p.b""")
 def e03_confirmation(spark, sf):
-    c = table(spark, sf, "customer")
-    d, other = F.col("c_custkey") % 7, F.when(F.col("c_nationkey") < 12, F.col("c_custkey") % 7).otherwise(F.col("c_custkey") % 5)
-    agree = F.count_if(d == other)
-    return c.groupBy(F.col("c_nationkey").alias("a")).agg(agree.alias("agree"), F.count("*").alias("total"), (agree >= 0.9 * F.count("*")).alias("confirmed"))
+    """Pairs of sides, some wrong and some lacking, applied to both schedules: the share of an entity's contests that the second
+    schedule has between the paired sides, a day apart at most."""
+    m = matches(spark, sf).select("match_id", "day", F.col("home_id").alias("home"), F.col("away_id").alias("away"))
+    late = F.when(F.col("match_id") % 29 == 0, 2).when(F.col("match_id") % 17 == 0, 1).otherwise(0)
+    other = m.select((F.col("day") + late).alias("day"), (F.col("home") + 5000).alias("home"), (F.col("away") + 5000).alias("away"))
+    every = m.select(F.explode(F.array("home", "away")).alias("a")).distinct().filter("a % 13 <> 0")
+    pairs = every.select("a", (F.col("a") + 5000 + F.when(F.col("a") % 11 == 0, 1).otherwise(0)).alias("b"))
+    return resolve.confirmed(m, other, pairs, least=0.6).withColumn("share", r6("share"))
 
 
 @query("""SELECT c_mktsegment, list_sort(list(DISTINCT o_orderpriority)) AS names FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
@@ -185,13 +196,38 @@ def g06_calibration_brier(spark, sf):
     return table(spark, sf, "orders").groupBy("o_orderpriority").agg(r6(F.avg(o) - F.avg(p)).alias("bias"), r6(F.avg(F.pow(p - o, 2))).alias("brier"))
 
 
-@query("""SELECT o_custkey, round(avg(o_totalprice) FILTER (rn <= 10), 6) + 0.0 AS live_form FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) GROUP BY ALL""")
+@query(f"""WITH {SIDES}, h AS (SELECT *, CASE WHEN goals_for > goals_against THEN 3 WHEN goals_for = goals_against THEN 1 ELSE 0 END AS points, CASE WHEN goals_for <> 4 THEN goals_for END AS xg FROM sides WHERE status = 'played' AND day < 1500),
+f AS (SELECT team_id, is_home, avg(points) AS fp, avg(goals_for) AS ff, avg(goals_against) AS fa FROM (SELECT *, row_number() OVER (PARTITION BY team_id, is_home ORDER BY day DESC, match_id DESC) AS rn FROM h) WHERE rn <= 10 GROUP BY ALL),
+g AS (SELECT team_id, is_home, avg(xg) AS fx FROM (SELECT *, row_number() OVER (PARTITION BY team_id, is_home ORDER BY day DESC, match_id DESC) AS rn FROM h WHERE xg IS NOT NULL) WHERE rn <= 5 GROUP BY ALL),
+t AS (SELECT league, season, team_id, sum(points) AS sp, sum(goals_for - goals_against) AS sd, row_number() OVER (PARTITION BY league, season ORDER BY sum(points) DESC, sum(goals_for - goals_against) DESC, team_id) AS place FROM h GROUP BY league, season, team_id)
+SELECT league, season, team_id, is_home, round(fp, 6) + 0.0 AS form_points, round(ff, 6) + 0.0 AS form_for, round(fa, 6) + 0.0 AS form_against, round(fx, 6) + 0.0 AS form_xg, CAST(sp AS BIGINT) AS standing_points, CAST(sd AS BIGINT) AS standing_diff, CAST(place AS INT) AS standing_place
+FROM (SELECT DISTINCT league, season, team_id, is_home FROM sides WHERE season = 1999) LEFT JOIN f USING (team_id, is_home) LEFT JOIN g USING (team_id, is_home) LEFT JOIN t USING (league, season, team_id)""")
 def g04_live_features(spark, sf):
-    w = W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    rows = table(spark, sf, "orders").withColumn("rn", F.row_number().over(w))
-    return rows.filter("rn <= 10").groupBy("o_custkey").agg(r6(F.avg("o_totalprice")).alias("live_form"))
+    """What a prediction made on day 1500 knows of every side of that season, at home and away."""
+    rows = sides(spark, sf).withColumn("xg", F.when(F.col("goals_for") != 4, F.col("goals_for")))
+    asked = rows.filter("season = 1999").select("league", "season", "team_id", "is_home").distinct()
+    return T.live_features(rows.filter("status = 'played'"), asked, 1500).withColumns({c: r6(c) for c in ("form_points", "form_for", "form_against", "form_xg")})
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity * l_discount) / nullif(sum(l_quantity), 0), 6) + 0.0 AS weighted, count(DISTINCT l_suppkey) FILTER (l_tax > 0.03) AS suppliers FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def a05_a07_cube_filter(spark, sf):
     return table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(r6(stats.weighted_mean(F.col("l_discount"), F.col("l_quantity"))).alias("weighted"), F.countDistinct(F.when(F.col("l_tax") > 0.03, F.col("l_suppkey"))).alias("suppliers"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_custkey < 4500 AND o_custkey % 3 = 0 AND o_orderstatus IN ('F', 'P')""")
+def s12_value_lists(spark, sf):
+    """A short list that reaches the scan and a long one that is joined."""
+    short = L.among(table(spark, sf, "orders"), "o_orderstatus", ["F", "P"])
+    return L.among(short, "o_custkey", range(0, 4500, 3)).select("o_orderkey")
+
+
+@query("""SELECT o_orderkey AS position, o_custkey AS c_custkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey""")
+def j14_ordered_lookup(spark, sf):
+    wanted = table(spark, sf, "orders").select(F.col("o_orderkey").alias("position"), F.col("o_custkey").alias("c_custkey"))
+    return L.looked_up(wanted, table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", "position")
+
+
+@query("""SELECT o_orderkey, sha256('{"customer":' || o_custkey || ',"order":' || o_orderkey || ',"status":' || CASE WHEN o_orderstatus = 'F' THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}') AS digest FROM orders""")
+def n06_canonical_digest(spark, sf):
+    json = text.canonical_json({"status": F.nullif("o_orderstatus", F.lit("F")), "order": F.col("o_orderkey"), "customer": F.col("o_custkey")})
+    return table(spark, sf, "orders").select("o_orderkey", F.sha2(json, 256).alias("digest"))

@@ -200,6 +200,14 @@ def r12_paired_comparison(spark, sf):
     return scoring.compare(rows, "season", "a", "b").select("season", "n", r6("gain").alias("gain"), r6("share_better").alias("share_better"))
 
 
+@query(LAMBDAS + """, f AS (SELECT season, avg(g) AS gain, sum(g) AS s, count(*) AS n FROM (SELECT season, abs(home_goals - 1.4) - abs(home_goals - lh) AS g FROM l) GROUP BY season),
+t AS (SELECT sum(s) / sum(n) AS mean, sum(n) AS n FROM f), u AS (SELECT count(*) AS folds, count(*) FILTER (gain > 0) AS positive, t.mean, t.mean - 1.959963984540054 * sqrt(sum(pow(s - f.n * t.mean, 2))) / t.n AS low FROM f, t GROUP BY t.mean, t.n)
+SELECT folds, positive, round(mean, 6) + 0.0 AS mean, round(low, 6) + 0.0 AS low, CASE WHEN folds < 3 THEN 'not applicable' WHEN low > 0 AND mean > 0 AND positive >= 3 THEN 'replace' ELSE 'keep' END AS decision FROM u""")
+def r13_decision(spark, sf):
+    rows = lambdas(spark, sf).select("season", F.abs(F.col("home_goals") - 1.4).alias("a"), F.abs(F.col("home_goals") - F.col("lh")).alias("b"))
+    return scoring.replacement(rows, "season", "a", "b").withColumns({c: r6(c) for c in ("mean", "low")})
+
+
 @query("""WITH t AS (SELECT n_nationkey AS k, ((n_nationkey * 37) % 100) / 1000.0 AS p FROM nation), r AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, k) + 1) * p) AS a FROM t)
 SELECT k, round(max(a) OVER (ORDER BY p, k ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS p_holm FROM r""")
 def r14_holm(spark, sf):

@@ -11,8 +11,9 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -101,9 +102,10 @@ class Log:
         raise Conflict(f"{tries} tries lost")
 
 
-def refresh(spark: SparkSession, root: str, tables: dict[str, DataFrame], check: Callable[[str, dict], None] | None = None) -> dict:
+def refresh(spark: SparkSession, root: str, tables: dict[str, DataFrame], check: Callable[[str, dict], None] | None = None, seen: dict[str, str | None] | None = None) -> dict:
     """Replace ``tables`` of the store, all or none, and log the run. ``check`` sees each staged table's name and figures (rows,
-    sum, xor) and may raise. Tables that aren't named stay. Returns the run's row."""
+    sum, xor) and may raise. Tables that aren't named stay. With ``seen`` (paths by table, None for
+    none) it is a ``Conflict`` if another writer has replaced one of those meanwhile. Returns the run's row."""
     run, began, files = uuid.uuid4().hex, time.time(), Files(spark, root)
     row = {"run": run, "started_at": datetime.now(UTC).isoformat(), "status": "running", "tables": sorted(tables), "counts": {}, "seconds": None, "error": None}
     files.create(f"_runs/{run}-running.json", json.dumps(row))
@@ -115,7 +117,14 @@ def refresh(spark: SparkSession, root: str, tables: dict[str, DataFrame], check:
             staged[name] = {"path": f"{name}/{run}", "rows": got["rows"], "sum": str(got["sum"]), "xor": str(got["xor"])}
             if check:
                 check(name, staged[name])
-        Log(spark, root, "_commits").change(lambda state: state | staged)
+
+        def commit(state: dict) -> dict:
+            for name, path in (seen or {}).items():
+                if state.get(name, {}).get("path") != path:
+                    raise Conflict(f"{name} was replaced")
+            return state | staged
+
+        Log(spark, root, "_commits").change(commit)
         row |= {"status": "ok", "counts": {k: v["rows"] for k, v in staged.items()}}
     except BaseException as e:
         row |= {"status": "failed", "error": f"{type(e).__name__}: {e}"[:500]}
@@ -134,6 +143,34 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{state[name]['path']}")
 
 
+def upsert(spark: SparkSession, root: str, name: str, rows: DataFrame, keys: Sequence[str], tries: int = 5, before: Callable[[], None] | None = None) -> dict:
+    """Rows of the table with the keys of ``rows`` take over its columns and keep their others; new keys are added, and columns
+    that a side lacks are null. Of repeated keys in ``rows`` the greatest row counts; null keys are keys like others. Merged anew
+    when another writer was faster."""
+    rest = [c for c in rows.columns if c not in keys]
+    new = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__new")) if rest else rows.select(*keys).distinct().withColumn("__new", F.struct(F.lit(1)))
+    for attempt in range(tries):
+        _, state = Log(spark, root, "_commits").newest()
+        path = state.get(name, {}).get("path")
+        if path is None:
+            merged = new.select(*keys, *(F.col("__new").getField(c).alias(c) for c in rest))
+        else:
+            old = spark.read.parquet(f"{root}/{path}").withColumn("__old", F.lit(True))
+            same = reduce(lambda a, b: a & b, (F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in keys))
+            both = old.alias("o").join(new.alias("n"), same, "full")
+            chosen = [F.when(F.col("o.__old"), F.col(f"o.`{k}`")).otherwise(F.col(f"n.`{k}`")).alias(k) for k in keys]
+            taken = [F.when(F.col("n.__new").isNotNull(), F.col("n.__new").getField(c)).otherwise(F.col(f"o.`{c}`") if c in old.columns else F.lit(None)).alias(c) for c in rest]
+            kept = [F.col(f"o.`{c}`") for c in old.columns if c not in keys and c not in rest and c != "__old"]
+            merged = both.select(*chosen, *kept, *taken)
+        if before and not attempt:
+            before()
+        try:
+            return refresh(spark, root, {name: merged}, seen={name: path})
+        except Conflict:
+            time.sleep(0.01 * (attempt + 1))
+    raise Conflict(f"{tries} tries lost")
+
+
 RUN = "run string, started_at string, status string, tables array<string>, counts map<string,long>, seconds double, error string"
 
 

@@ -68,7 +68,7 @@ def incremental_elo(contests: DataFrame, ladder: str, day: str = "day") -> DataF
 
 def idempotent_sink(path: str, keys: Sequence[str], deadline: tuple[str, str] | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends rows whose keys aren't stored. With deadline (made, limit), rows made too late go to
-    ``path/refused``."""
+    ``path/refused``, once for each batch however often it is repeated."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -76,7 +76,7 @@ def idempotent_sink(path: str, keys: Sequence[str], deadline: tuple[str, str] |
         if deadline:
             made, limit = deadline
             late = F.coalesce(F.col(made) >= F.col(limit), F.lit(False))
-            batch.filter(late).withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{path}/refused")
+            batch.filter(late).write.mode("overwrite").parquet(f"{path}/refused/batch={batch_id}")
             rows = batch.filter(~late)
         rows = rows.dropDuplicates(list(keys))
         try:
