@@ -51,6 +51,25 @@ def test_shared_turns_are_emitted_once_with_ancestors(spark):
             assert all(s["end"] <= n["start"] for s in n["attends"])
 
 
+def test_repeated_conversations_close_their_tree(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"t{t}") for c in range(500) for t in range(4)] + [(1000 + c, 0, "user", f"x{c}") for c in range(5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    trees = chat.prefix_trees(df, max_ends=64)
+    assert max(len(t["ends"]) for t in trees.collect()) == 64
+    assert as_dict(chat.read_back(trees).collect()) == brute_chat(rows)
+
+
+def test_masks_inside_spans():
+    draw = np.random.default_rng(1)
+    for _ in range(200):
+        cuts = np.unique(draw.integers(0, 60, 12)).tolist()
+        masks = list(zip(cuts[::2], cuts[1::2], strict=False))
+        ends = np.unique(draw.integers(0, 60, 6)).tolist()
+        spans = [(a, b) for a, b in zip(ends[::2], ends[1::2], strict=False)]
+        spans = [(a, b) for a, b in spans if all(b <= x or a >= y or (a <= x and y <= b) for x, y in masks)]
+        assert chat.parts_within(masks, spans) == [(x, y) for a, b in spans for x, y in masks if a <= x and y <= b]
+
+
 def brute_top(vectors, k, every):
     ids = [i for i, _ in vectors]
     x = np.array([v for _, v in vectors])

@@ -3,8 +3,8 @@
 Conversations are sorted by the hashes of their turns, so those that share initial turns are neighbours; range
 partitioning splits even one very common first turn, as the later turns and then the conversation's id go on to order
 them. Each task walks its sorted conversations once, compares each with the one before it, and so emits every shared
-turn once, depth-first. A tree's stream is closed when it has ``max_chars`` code points and its turns begin anew in the
-next, which bounds what a task holds.
+turn once, depth-first. A tree is closed when its stream has ``max_chars`` code points or ``max_ends`` conversations end in
+it, and its turns begin anew in the next, which bounds what a task holds, however often a conversation is repeated.
 
 A tree is a row: ``stream`` (the formatted turns, one after another), ``nodes`` (for each turn its start and length in
 the stream, the position id of its first token, the part that bears loss, and the stream's intervals that it attends to
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_arrow, table
 
 START, END = "<|im_start|>", "<|im_end|>"
-MAX_CHARS = 1 << 18
+MAX_CHARS, MAX_ENDS = 1 << 18, 1 << 12
 INTERVAL = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 NODE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("position", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("attends", pa.list_(INTERVAL))])
 STOP = pa.struct([("conv_id", pa.int64()), ("node", pa.int64())])
@@ -98,7 +99,7 @@ def conversations(turns: DataFrame) -> DataFrame:
     return grouped.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])))
 
 
-def prefix_trees(turns: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+def prefix_trees(turns: DataFrame, max_chars: int = MAX_CHARS, max_ends: int = MAX_ENDS) -> DataFrame:
     """``turns`` (conv_id, turn, role, text) as rows of trees: tree_id, stream, nodes, ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def prefix_trees(turns: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
         tree, made = Tree(), 0
         for batch in batches:
             for row in batch.to_pylist():
-                if tree.size >= max_chars:
+                if tree.size >= max_chars or len(tree.ends) >= max_ends:
                     yield pa.RecordBatch.from_pylist([tree.row(first + made)], TREE)
                     tree, made = Tree(), made + 1
                 tree.add(row["conv_id"], [(t["role"], t["text"]) for t in row["turns"]])
@@ -126,22 +127,34 @@ def parse(text: str) -> list[tuple[str, str]]:
     return turns
 
 
+def parts_within(masks: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of ``masks``, sorted and apart from each other, that lie inside a span: found by bisection."""
+    return [m for a, b in spans for m in masks[bisect_left(masks, (a, a)) : bisect_left(masks, (b, b))]]
+
+
 def read_back(trees: DataFrame) -> DataFrame:
-    """Each conversation as the trees give it back: what its last node attends to, and that node; the loss mask of both."""
+    """Each conversation as the trees give it back: what its last node attends to, and that node; the loss mask of both. Those
+    that end at one node are read once."""
+
+    def given(stream: str, nodes: list[dict], masks: list[tuple[int, int]], node: int) -> tuple:
+        last = nodes[node]
+        spans = [(s["start"], s["end"]) for s in last["attends"]] + [(last["start"], last["start"] + last["length"])]
+        text = "".join(stream[a:b] for a, b in spans)
+        turns = parse(text)
+        loss = "".join(unescape(stream[a:b]) for a, b in parts_within(masks, spans))
+        said = "".join(f"{r}\n{t}\n" for r, t in turns)
+        return len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for row in batch.to_pylist():
             stream, nodes = row["stream"], row["nodes"]
             masks = sorted((n["loss_start"], n["loss_end"]) for n in nodes if n["loss_end"] > n["loss_start"])
+            seen: tuple[int | None, tuple] = (None, ())
             for end in row["ends"]:
-                last = nodes[end["node"]]
-                spans = [(s["start"], s["end"]) for s in last["attends"]] + [(last["start"], last["start"] + last["length"])]
-                text = "".join(stream[a:b] for a, b in spans)
-                turns = parse(text)
-                loss = "".join(unescape(stream[a:b]) for s, e in spans for a, b in masks if s <= a and b <= e)
-                said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                out.append((end["conv_id"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+                if end["node"] != seen[0]:
+                    seen = end["node"], given(stream, nodes, masks, end["node"])
+                out.append((end["conv_id"], *seen[1]))
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names)
