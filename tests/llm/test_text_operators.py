@@ -448,3 +448,48 @@ def test_language_of_texts_without_letters(spark):
     df = spark.createDataFrame([(1, "x²"), (2, "²½ 12 _"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, langid.Network(1), ["en"]).collect()}
     assert got == {1: "en", 2: "und", 3: "und"}
+
+
+def grown(spark, bodies, **limits):
+    """template of each line of one leaf."""
+    rows = [(1, linededup.hash64(b.encode()), b.encode()) for b in bodies]
+    got = linededup.tree_of(spark.createDataFrame(rows, "leaf long, line long, body binary"), linededup.SIMILARITY).collect()
+    assert len(got) == len(rows)
+    return {r["line"]: r["template"] for r in got}
+
+
+def test_op5_long_unlike_lines_end_in_bounded_rounds(spark, monkeypatch):
+    """Lines of 400 words: 101 classes, but a leaf rests after CYCLE rounds; a template's lines meet all the same."""
+    made = []
+    monkeypatch.setattr(linededup, "MAX_LEAF", 10)
+    monkeypatch.setattr(linededup, "CYCLE", 6)
+    keep = linededup.saved
+    monkeypatch.setattr(linededup, "saved", lambda df, name: made.append(name) or keep(df, name))
+    r = random.Random(4)
+    unlike = ["a b c " + " ".join(f"w{r.randrange(10**6)}x" for _ in range(400)) for _ in range(24)]
+    got = grown(spark, unlike)
+    assert len(set(got.values())) == len(unlike)
+    assert made.count("lines-grown") <= 10
+
+
+def test_op5_leaves_bounded_by_bytes_and_large_leaves_merge(spark, monkeypatch):
+    """A template's variants in a leaf that is too large by bytes or by lines end in one template, with unlike lines around."""
+    r = random.Random(5)
+    fixed = [f"t{i}" + "x" for i in range(20)]
+    variants = ["a b c " + " ".join(x if i % 5 else f"v{r.randrange(10**6)}q" for i, x in enumerate(fixed)) for _ in range(30)]
+    unlike = ["a b c " + " ".join(f"u{r.randrange(10**6)}q" for _ in range(20)) for _ in range(30)]
+    for name, value in (("MAX_BYTES", 2000), ("MAX_LEAF", 12)):
+        with monkeypatch.context() as m:
+            m.setattr(linededup, name, value)
+            got = grown(spark, variants + unlike)
+        assert len({got[linededup.hash64(v.encode())] for v in variants}) == 1
+        assert len({got[linededup.hash64(u.encode())] for u in unlike}) == len(unlike)
+
+
+def test_op5_control_tokens_are_words(spark):
+    """Words that are control characters are no wildcards and no blanks."""
+    r = random.Random(6)
+    notice = "\x00 \x01 share this page with friends"
+    rows = [(i, prose(r) + "\n" + notice) for i in range(40)]
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(notice not in x["text"] and x["n_dropped"] == 1 for x in got)

@@ -12,11 +12,13 @@ that percentage takes more disk than the check tool allows. Lines of fewer than
 
 Only hashes are shuffled for all lines. Leaves that too few documents reach are put aside, and the texts of lines are
 fetched for the remaining leaves alone, through a bitmap of fixed size that lets some others pass (an exact join follows).
-A leaf with more than ``MAX_LEAF`` distinct lines is dealt to parts, whose templates are then lines of a next round, until
-one part holds what is left or a whole cycle of rounds merges nothing, so no group grows with the input. A round deals by
-every k-th token, k being one more than the positions in which lines of a template may differ: lines that agree in enough
-positions share all tokens of one such class, so they meet within k rounds, unless a class has over ``MAX_LEAF`` lines
-itself; then chance deals it anew in each round.
+A leaf with more than ``MAX_LEAF`` distinct lines or ``MAX_BYTES`` is dealt to parts, whose templates are then lines of a next
+round, until one part holds what is left or a whole cycle of rounds merges nothing in that leaf, so no group grows with the
+input and a leaf that still merges keeps no other going. A round deals by every k-th token, k being one more than the
+positions in which lines of a template may differ: lines that agree in enough positions share all tokens of one such class,
+so they meet within k rounds. Where k is over ``CYCLE`` a round deals by ``PROBES`` positions drawn by the round instead: two lines
+that agree in three quarters of their positions then miss each other in all rounds of a cycle once in 8,000 times. A class that is
+too large itself is dealt by chance, anew in each round.
 
 Cases: null and empty texts stay as they are; repeated rows and near copies have one mark and count once; ties between templates go to
 the first in the order of hashes; an empty table gives no rows; ``dedup`` keeps other columns of any
@@ -48,10 +50,14 @@ BANDS = 24
 ROWS = 4
 TURNS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).reshape(2, -1)
 MAX_LEAF = 2000
+MAX_BYTES = 4 << 20
+#: So many rounds without a merge end a leaf at most; and the positions by which long lines are dealt in one of them.
+CYCLE = 24
+PROBES = 4
 BITS = 1 << 24
-WILD = b"\x00"
-#: A position in which lines of a template differ.
-BLANK = b"\x01"
+#: A token with a digit; and a position in which lines of a template differ. No token holds a tab.
+WILD = b"\t0"
+BLANK = b"\t1"
 DIGIT_BYTES = b"0123456789"
 
 
@@ -181,10 +187,17 @@ def tree_of(bodies: DataFrame, similarity: float) -> DataFrame:
 
     def deal(turn: int):  # noqa: ANN202
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            held = [b.split(b" ") for b in batch.column("body").to_pylist()]
-            kind = [hash64(b" ".join(t[DEPTH + turn % k :: k])) for t in held for k in [classes(len(t), similarity)]]
-            cycle = [classes(len(t), similarity) for t in held]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind, pa.int64()), pa.array(cycle, pa.int32())], [*batch.schema.names, "kind", "cycle"])
+            kinds, cycles = [], []
+            for body in batch.column("body").to_pylist():
+                tokens = body.split(b" ")
+                k = classes(len(tokens), similarity)
+                if k <= CYCLE:
+                    some = tokens[DEPTH + turn % k :: k]
+                else:
+                    some = [tokens[DEPTH + hash64(b"%d %d" % (turn, i)) % (len(tokens) - DEPTH)] for i in range(PROBES)]
+                kinds.append(hash64(b" ".join(some)))
+                cycles.append(min(k, CYCLE))
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.int64()), pa.array(cycles, pa.int32())], [*batch.schema.names, "kind", "cycle"])
 
         return run
 
@@ -196,20 +209,27 @@ def tree_of(bodies: DataFrame, similarity: float) -> DataFrame:
 
     kinds = "leaf bigint, id bigint, template bigint, body binary"
     seeds = bodies.select("leaf", F.col("line").alias("id"), "body")
-    tree, turn, idle, before = None, 0, 0, -1
+    fits = (F.col("n") <= MAX_LEAF) & (F.col("bytes") <= MAX_BYTES)
+    tree, turn, held = None, 0, None
     while True:
-        sized = seeds.join(seeds.groupBy("leaf").agg(F.count("*").alias("n")), "leaf")
-        whole = sized.filter(F.col("n") <= MAX_LEAF).select(F.col("leaf").alias("part"), "leaf", "id", "body")
-        made = whole.groupBy("part").applyInPandas(grow, kinds)
-        large = saved(map_arrow(sized.filter(F.col("n") > MAX_LEAF).select("leaf", "id", "body"), deal(turn), "leaf bigint, id bigint, body binary, kind bigint, cycle int"), "lines-large")
-        left, cycle = large.agg(F.count("*"), F.max("cycle")).first()
-        idle = idle + 1 if left == before else 0
-        if left and idle > cycle:  # nothing merged in a whole cycle: these are templates
-            made, left = made.unionByName(large.select("leaf", "id", F.col("id").alias("template"), "body")), 0
-        elif left:
-            pieces = large.groupBy("leaf", "kind").agg(F.ceil(F.count("*") / MAX_LEAF).alias("pieces"))
+        sized = seeds.join(seeds.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("bytes")), "leaf")
+        made = sized.filter(fits).select(F.col("leaf").alias("part"), "leaf", "id", "body").groupBy("part").applyInPandas(grow, kinds)
+        large = saved(map_arrow(sized.filter(~fits).select("leaf", "id", "body"), deal(turn), "leaf bigint, id bigint, body binary, kind bigint, cycle int"), "lines-large")
+        now = large.groupBy("leaf").agg(F.count("*").alias("n"), F.max("cycle").alias("cycle"))
+        if held is not None:  # a leaf rests once nothing merged in it in a whole cycle: what is left are its templates
+            now = now.join(held.select("leaf", F.col("n").alias("was"), F.col("idle").alias("waited")), "leaf", "left")
+            now = now.select("leaf", "n", "cycle", F.when(F.col("n") == F.col("was"), F.col("waited") + 1).otherwise(0).alias("idle"))
+        else:
+            now = now.withColumn("idle", F.lit(0))
+        held = saved(now.withColumn("rests", F.col("idle") > F.col("cycle")), "lines-leaves")
+        left = held.filter("not rests").count()
+        if held.filter("rests").limit(1).count():
+            made = made.unionByName(large.join(held.filter("rests"), "leaf", "left_semi").select("leaf", "id", F.col("id").alias("template"), "body"))
+        if left:
+            open_ = large.join(held.filter("not rests").select("leaf"), "leaf", "left_semi")
+            pieces = open_.groupBy("leaf", "kind").agg(F.ceil(F.greatest(F.count("*") / MAX_LEAF, F.sum(F.octet_length("body")) / MAX_BYTES)).alias("pieces"))
             part = F.xxhash64("leaf", "kind", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("pieces")))
-            made = made.unionByName(large.join(pieces, ["leaf", "kind"]).select(part.alias("part"), "leaf", "id", "body").groupBy("part").applyInPandas(grow, kinds))
+            made = made.unionByName(open_.join(pieces, ["leaf", "kind"]).select(part.alias("part"), "leaf", "id", "body").groupBy("part").applyInPandas(grow, kinds))
         made = saved(made, "lines-grown")
         step = made.select(F.col("id").alias("from"), "template")
         if tree is None:
@@ -218,9 +238,8 @@ def tree_of(bodies: DataFrame, similarity: float) -> DataFrame:
             tree = saved(tree.join(step.withColumnRenamed("template", "to"), tree["template"] == step["from"], "left").select("line", F.coalesce("to", "template").alias("template")), "lines-tree")
         if not left:
             return tree
-        open_ = large.select("leaf").distinct()
-        seeds = saved(made.join(open_, "leaf", "left_semi").select("leaf", F.col("template").alias("id"), "body").dropDuplicates(["id"]), "lines-seeds")
-        before, turn = left, turn + 1
+        seeds = saved(made.join(held.filter("not rests").select("leaf"), "leaf", "left_semi").select("leaf", F.col("template").alias("id"), "body").dropDuplicates(["id"]), "lines-seeds")
+        turn += 1
 
 
 def recurring(found: DataFrame, marks: DataFrame, docs: DataFrame, min_words: int, min_docs: int, similarity: float) -> DataFrame:
