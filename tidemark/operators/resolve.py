@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.session import written
 
+#: Tokens of the sets that a task compares with as many of another schedule.
+BLOCK_TOKENS = 1 << 22
+
 
 def set_jaccard(a: DataFrame, b: DataFrame, id_a: str, id_b: str, token: str) -> DataFrame:
     """Jaccard index of the token sets of all pairs that share a token: an equality join on tokens, no cross join."""
@@ -30,12 +35,72 @@ def mutual_best(scored: DataFrame, id_a: str, id_b: str, score: str, least: floa
     return best.join(alone, id_b, "left_semi").select(id_a, id_b, score)
 
 
+def distinct_sets(rows: DataFrame, entity: str, token: str) -> DataFrame:
+    """set (sorted 64-bit hashes of tokens) and members, the entities that have it in order."""
+    sets = rows.filter(F.col(entity).isNotNull()).groupBy(entity).agg(F.array_sort(F.collect_set(F.xxhash64(token))).alias("set"))
+    return sets.groupBy("set").agg(F.array_sort(F.collect_list(entity)).alias("members"))
+
+
+def best_two(left: Sequence[np.ndarray], right: Sequence[np.ndarray], several: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set of ``left`` the first of ``right`` (none: -1) with the greatest Jaccard index of at least ``low``, that index and
+    the next one (0: none); a right set of ``several`` entities is its own next one."""
+    size = np.array([len(s) for s in left])
+    tokens, at = np.unique(np.concatenate(left), return_inverse=True)
+    by_token = np.repeat(np.arange(len(left)), size)[np.argsort(at, kind="stable")]
+    edges = np.r_[0, np.cumsum(np.bincount(at, minlength=len(tokens)))]
+    best, score, after = np.full(len(left), -1), np.zeros(len(left)), np.zeros(len(left))
+    for r, mine in enumerate(right):
+        place = np.searchsorted(tokens, mine)
+        place = place[(place < len(tokens)) & (tokens[np.minimum(place, len(tokens) - 1)] == mine)]
+        if not len(place):
+            continue
+        common = np.bincount(np.concatenate([by_token[edges[p] : edges[p + 1]] for p in place.tolist()]), minlength=len(left))
+        jaccard = common / (size + len(mine) - common)
+        hit = np.flatnonzero(jaccard >= low)
+        s = jaccard[hit]
+        better = s > score[hit]
+        after[hit] = np.where(better, s if several[r] else score[hit], np.maximum(after[hit], s))
+        best[hit[better]], score[hit[better]] = r, s[better]
+    return best, score, after
+
+
+def mutual_jaccard(a: DataFrame, b: DataFrame, id_a: str, id_b: str, token: str, least: float = 0.6, ratio: float = 1.5) -> DataFrame:
+    """``mutual_best`` of ``set_jaccard``, score in ``jaccard``, without its pairs: a token that many sets have would make the square
+    of their number. Entities of equal sets are compared once, blocks of at most ``BLOCK_TOKENS`` by blocks, and a block keeps two
+    candidates a set. Different sets are still compared all with all, in bounded memory."""
+    low = least / ratio * (1 - 1e-9)  # what is further below than that changes no verdict
+    lefts, rights = (written(distinct_sets(x, i, token), "schedule-sets") for x, i in ((a, id_a), (b, id_b)))
+    held = [int(x.agg(F.sum(F.size("set"))).first()[0] or 0) for x in (lefts, rights)]
+    n = -(-held[0] // BLOCK_TOKENS) or 1
+    m = max(-(-held[1] // BLOCK_TOKENS), min(a.sparkSession.sparkContext.defaultParallelism, held[1] // 10_000), 1)
+    first = F.col("members")[0]
+    blocks = F.xxhash64("set")
+    x = lefts.select(first.alias("a"), "set", F.pmod(blocks, F.lit(n)).alias("l"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("r"))
+    y = rights.select(first.alias("b"), "set", (F.size("members") > 1).alias("several"), F.pmod(blocks, F.lit(m)).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("l"))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": x["a"][:0], "b": y["b"][:0], "score": np.empty(0), "next": np.empty(0)})
+        y = y.sort_values("b", kind="stable")
+        best, score, after = best_two([np.asarray(s) for s in x["set"]], [np.asarray(s) for s in y["set"]], y["several"].to_numpy(bool), low)
+        got = best >= 0
+        return pd.DataFrame({"a": x["a"].to_numpy()[got], "b": y["b"].to_numpy()[best[got]], "score": score[got], "next": after[got]})
+
+    kinds = {i: d.schema[i].dataType.simpleString() for d, i in ((a, id_a), (b, id_b))}
+    met = x.groupBy("l", "r").cogroup(y.groupBy("l", "r")).applyInPandas(meet, f"a {kinds[id_a]}, b {kinds[id_b]}, score double, next double")
+    every = F.sort_array(F.flatten(F.collect_list(F.array("score", "next"))), False)  # two a block
+    best = met.groupBy("a").agg(F.min_by(F.struct("b", "score"), F.struct(-F.col("score"), "b")).alias("top"), every[1].alias("next")).filter((F.col("top.score") >= least) & (F.col("top.score") >= ratio * F.col("next")))
+    claims = best.join(lefts.select(first.alias("a"), "members"), "a").select(F.explode("members").alias(id_a), F.col("top.b").alias(id_b), F.col("top.score").alias("jaccard"))
+    alone = claims.groupBy(id_b).agg(F.count("*").alias("__n")).filter("__n = 1").select(id_b)
+    return claims.join(alone, id_b, "left_semi").select(id_a, id_b, "jaccard")
+
+
 def anchor_seed(matches_a: DataFrame, matches_b: DataFrame) -> DataFrame:
     """Pairs of entities with the same fingerprint of (day, side) in two schedules. Both: day, home, away."""
     def marks(m: DataFrame, name: str) -> DataFrame:
         return m.select(F.explode(F.array(F.struct(F.col("home").alias(name), F.concat_ws("/", "day", F.lit("h")).alias("mark")), F.struct(F.col("away").alias(name), F.concat_ws("/", "day", F.lit("a")).alias("mark")))).alias("x")).select("x.*")
 
-    return mutual_best(set_jaccard(marks(matches_a, "a"), marks(matches_b, "b"), "a", "b", "mark"), "a", "b", "jaccard")
+    return mutual_jaccard(marks(matches_a, "a"), marks(matches_b, "b"), "a", "b", "mark")
 
 
 def propagate(matches_a: DataFrame, matches_b: DataFrame, known: DataFrame, tolerance: int = 1) -> DataFrame:
