@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tidemark.session import written
+
 
 def latest(rows: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """The newest version of each key, as one aggregation (no window, so a hot key combines before the shuffle)."""
@@ -76,7 +78,7 @@ def overlay(current: DataFrame, late: DataFrame, keys: Sequence[str], frozen: Co
 def surrogate_ids(rows: DataFrame, natural: str, name: str = "id") -> DataFrame:
     """Dense ids in the order of natural ids, for dimensions. Counts per range partition give each partition its offset, so
     no task sorts everything."""
-    distinct = rows.select(natural).distinct().repartitionByRange(natural).withColumn("__p", F.spark_partition_id())
+    distinct = written(rows.select(natural).distinct().repartitionByRange(natural).withColumn("__p", F.spark_partition_id()), "ordered")  # one division for both uses
     local = distinct.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(natural)))
     sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
     offsets = sizes.select(F.col("__p"), (F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__o"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 
 def safe_ratio(top: Column, under: Column) -> Column:
     return top / F.nullif(under, F.lit(0.0))
@@ -42,7 +44,8 @@ def ordered_bins(rows: DataFrame, order: Sequence[str], bins: int, partition: Se
     if partition:
         w = W.partitionBy(*partition)
         return rows.withColumn(name, F.floor((F.row_number().over(w.orderBy(*order)) - 1) * bins / F.count("*").over(w)).cast("int"))
-    placed = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    # written, as both uses must see one division: planned anew, it may be sampled and coalesced otherwise
+    placed = written(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ordered")
     ranked = placed.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
     sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
     everyone = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
