@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -155,24 +157,47 @@ def log_gamma(x: Column) -> Column:
     return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.ln(t) - t + F.ln(series)
 
 
+def _gamma_tails(a: np.ndarray, x: np.ndarray, log_gammas: np.ndarray, terms: int) -> np.ndarray:
+    """``gamma_tail`` of arrays. Rows leave a round of the series or the fraction once a step moves them no more."""
+    out = np.where(np.isnan(x) | np.isnan(a), np.nan, 1.0)
+    with np.errstate(all="ignore"):
+        scale = np.exp(-x + a * np.log(x) - log_gammas)
+        at = np.flatnonzero((x > 0) & (x < a + 1))
+        term = total = 1.0 / a[at]
+        for k in range(1, terms + 1):
+            if not len(at):
+                break
+            term = term * x[at] / (a[at] + k)
+            new = total + term
+            done = (new == total) | (k == terms)
+            out[at[done]] = 1.0 - scale[at[done]] * new[done]
+            at, term, total = at[~done], term[~done], new[~done]
+        at = np.flatnonzero((x > 0) & (x >= a + 1))
+        b0 = x[at] + 1.0 - a[at]
+        d, c, h = 1.0 / b0, np.full(len(at), 1e300), 1.0 / b0
+        for k in range(1, terms + 1):
+            if not len(at):
+                break
+            step, b = -(k * (k - a[at])), x[at] + 1.0 - a[at] + 2.0 * k
+            d = 1.0 / (step * d + b)
+            c = b + step / c
+            held = h * d * c
+            done = (np.abs(d * c - 1.0) < 1e-15) | (step == 0) | np.isnan(held) | (k == terms)  # a zero step ends the fraction
+            out[at[done]] = scale[at[done]] * held[done]
+            at, d, c, h = at[~done], d[~done], c[~done], held[~done]
+    return out
+
+
 def gamma_tail(a: Column, x: Column, terms: int = 250) -> Column:
     """The regularised upper incomplete gamma function Q(a, x): below a + 1 one less its series, above it its continued fraction
-    (both of at most ``terms`` terms, enough for a up to some hundreds). One where x isn't positive."""
-    steps = F.sequence(F.lit(1), F.lit(terms))
-    scale = F.exp(-x + a * F.ln(x) - log_gamma(a))
-    start = F.struct((1.0 / a).alias("term"), (1.0 / a).alias("sum"))
-    series = F.aggregate(steps, start, lambda s, k: F.struct((s["term"] * x / (a + k)).alias("term"), (s["sum"] + s["term"] * x / (a + k)).alias("sum")), lambda s: s["sum"])
-
-    def lentz(s: Column, k: Column) -> Column:
-        step = -(k * (k - a))
-        b = x + 1.0 - a + 2.0 * k
-        d = 1.0 / (step * s["d"] + b)
-        c = b + step / s["c"]
-        return F.struct(d.alias("d"), c.alias("c"), (s["h"] * d * c).alias("h"))
-
-    b0 = x + 1.0 - a
-    fraction = F.aggregate(steps, F.struct((1.0 / b0).alias("d"), F.lit(1e300).alias("c"), (1.0 / b0).alias("h")), lentz, lambda s: s["h"])
-    return F.when(x <= 0, 1.0).when(x < a + 1, 1.0 - scale * series).otherwise(scale * fraction)
+    (both of at most ``terms`` terms, enough for a up to some hundreds, and no more than a row needs). One where x isn't positive."""
+
+    @F.pandas_udf("double")
+    def tails(a: pd.Series, x: pd.Series, log_gammas: pd.Series) -> pd.Series:
+        return pd.Series(_gamma_tails(*(s.to_numpy(float) for s in (a, x, log_gammas)), terms))
+
+    a, x = a.cast("double"), x.cast("double")
+    return F.when(a.isNotNull() & x.isNotNull(), tails(a, x, log_gamma(a)))
 
 
 def chi_square_tail(x: Column, degrees: Column | float) -> Column:
