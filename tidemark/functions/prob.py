@@ -112,6 +112,33 @@ def corrected_joint(lh: Column, la: Column, rho: Column, size: int) -> Column:
     return F.transform(raw, lambda r, h: F.transform(r, lambda p, a: F.greatest(F.lit(0.0), p * low_score_factor(h, a, lh, la, rho))))
 
 
+def _corrected(lh: np.ndarray, la: np.ndarray, rho: np.ndarray, size: int) -> np.ndarray:
+    """``corrected_joint`` of arrays: rows x home x away."""
+    home, away = (np.cumprod(np.column_stack([np.exp(-m), *(m / k for k in range(1, size))]), axis=1) for m in (lh, la))
+    p = home[:, :, None] * away[:, None, :]
+    for h, a, tau in ((0, 0, 1 - lh * la * rho), (0, 1, 1 + lh * rho), (1, 0, 1 + la * rho), (1, 1, 1 - rho)):
+        if max(h, a) < size:
+            p[:, h, a] *= tau
+    return np.maximum(p, 0.0)
+
+
+def corrected_summary(lh: Column, la: Column, rho: Column, size: int) -> Column:
+    """struct(p00, p01, p10, p11, mass, home_mean, away_mean, squares) of ``corrected_joint``, whose cells are only made in arrays
+    of a batch; ``size`` is two at least, nulls give nulls."""
+    names = ("p00", "p01", "p10", "p11", "mass", "home_mean", "away_mean", "squares")
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def summary(lh: pd.Series, la: pd.Series, rho: pd.Series) -> pd.DataFrame:
+        parts = [np.empty((0, len(names)))]
+        for i in range(0, len(lh), 4096):
+            p = _corrected(*(s.iloc[i : i + 4096].to_numpy(float) for s in (lh, la, rho)), size)
+            k = np.arange(size)
+            parts.append(np.column_stack([p[:, 0, 0], p[:, 0, 1], p[:, 1, 0], p[:, 1, 1], p.sum(axis=(1, 2)), p.sum(axis=2) @ k, p.sum(axis=1) @ k, (p * p).sum(axis=(1, 2))]))
+        return pd.DataFrame(np.concatenate(parts), columns=list(names))
+
+    return summary(lh.cast("double"), la.cast("double"), rho.cast("double"))
+
+
 def cdf(pmf: Column) -> Column:
     return let(pmf, lambda p: F.transform(p, lambda _, i: total(F.slice(p, 1, i + 1))))
 

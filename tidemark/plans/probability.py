@@ -65,11 +65,8 @@ def m09_discretised_normal(spark, sf):
 SELECT match_id, round(max(p) FILTER (h = 0 AND a = 0), 6) + 0.0 AS p00, round(max(p) FILTER (h = 0 AND a = 1), 6) + 0.0 AS p01, round(max(p) FILTER (h = 1 AND a = 0), 6) + 0.0 AS p10, round(max(p) FILTER (h = 1 AND a = 1), 6) + 0.0 AS p11,
   round(sum(p), 6) + 0.0 AS mass, round(sum(h * p), 6) + 0.0 AS home_mean, round(sum(a * p), 6) + 0.0 AS away_mean, round(sum(p * p), 6) + 0.0 AS squares FROM c GROUP BY match_id""")
 def m10_corrected_joint(spark, sf):
-    j = prob.corrected_joint(F.col("lh"), F.col("la"), F.lit(-0.05), 11)
-    cell = lambda h, a: F.col("j")[h][a]
-    sums = lambda f: prob.total(F.transform("j", lambda r, h: prob.total(F.transform(r, lambda p, a: f(p, h, a)))))
-    moments = {"mass": sums(lambda p, h, a: p), "home_mean": sums(lambda p, h, a: p * h), "away_mean": sums(lambda p, h, a: p * a), "squares": sums(lambda p, h, a: p * p)}
-    return lambdas(spark, sf).select("match_id", j.alias("j")).select("match_id", *(r6(cell(h, a)).alias(f"p{h}{a}") for h in (0, 1) for a in (0, 1)), *(r6(v).alias(k) for k, v in moments.items()))
+    got = lambdas(spark, sf).select("match_id", prob.corrected_summary(F.col("lh"), F.col("la"), F.lit(-0.05), 11).alias("s")).select("match_id", "s.*")
+    return got.select("match_id", *(r6(c).alias(c) for c in got.columns if c != "match_id"))
 
 
 @query("""SELECT p_partkey, round(exp(-x / 2) * list_sum(list_transform(range(0, k), lambda i: pow(x / 2, i) / factorial(i::INT))), 9) + 0.0 AS tail FROM (SELECT p_partkey, p_size * 1.5::DOUBLE AS x, (p_partkey % 8 + 1) AS k FROM part)""")
