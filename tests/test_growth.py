@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import prob
+from tidemark.llm import ngramjoin
 from tidemark.operators import lookup, quality, ratings, resolve, stats
 
 
@@ -117,3 +118,29 @@ def test_summary_of_corrected_joint(spark):
         want = [p[0, 0], p[0, 1], p[1, 0], p[1, 1], p.sum(), k @ p.sum(axis=1), k @ p.sum(axis=0), (p * p).sum()]
         assert list(s) == pytest.approx(want, abs=1e-12)
     assert got[4]["s"] is None or all(v is None for v in got[4]["s"])
+
+
+def test_components_join_few_links(spark, monkeypatch):
+    """Checks of op5_linededup and pipeline: each text of a large group links with many of its members, and chains run across;
+    the stars are made over the links that remain between least neighbours, and every component is found."""
+    r = random.Random(11)
+    ends = [-1000 + i for i in range(20)]
+    links = [(x, e) for x in range(400) for e in r.sample(ends, 15)] + [(e, ends[0]) for e in ends[1:]]
+    links += [(1000 + i, 1001 + i) for i in range(40)] + [(r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(150)] + [(5, 5), (9000, 9000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    df = spark.createDataFrame(links, "a long, b long")
+    own, left = ngramjoin.merged(df)
+    assert own.count() == len(root) and left.count() < len(set(links)) / 20
+    got, held = ngramjoin.components(df)
+    assert {x["node"]: x["comp"] for x in got.collect()} == {x: find(x) for x in root}
+    assert ngramjoin.components(df.limit(0))[0].count() == 0

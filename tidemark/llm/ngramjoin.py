@@ -248,11 +248,22 @@ def near_labels(links: DataFrame, hops: int = 3) -> DataFrame:
     return label.select(F.col("u").alias("node"), F.col("m").alias("comp"))
 
 
+def merged(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """u, m: every node of ``links`` (a, b) and the least one that a link gives it, itself included; and the distinct links
+    u > v between such least nodes. Both are saved. A component's least node is its own m, so what the second table connects
+    names the components of all, however many links a node has."""
+    ends = links.select("a", "b").filter("a <> b")
+    own = saved(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m")).withColumnRenamed("a", "u"), "join-own")
+    told = ends.join(own.select(F.col("u").alias("a"), F.col("m").alias("x")), "a").select("x", "b").distinct()
+    left = told.join(own.select(F.col("u").alias("b"), F.col("m").alias("y")), "b").filter("x <> y")
+    return own, saved(left.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "join-stars")
+
+
 def components(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node, comp (its component's least node) of every node of ``links`` (a, b), by alternating large and small stars; and
-    the saved table to release."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
-    before, last = None, None
+    """node, comp (its component's least node) of every node of ``links`` (a, b), by alternating large and small stars over what
+    remains once each node has gone to its least neighbour; and the saved table to release."""
+    own, last = merged(links)
+    before, edges = None, last
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
@@ -260,14 +271,15 @@ def components(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v")
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         edges = saved(small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "join-stars")
-        if last is not None:
-            release(last)
+        release(last)
         last = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return edges.withColumnsRenamed({"u": "node", "v": "comp"}), last
+    out = saved(own.join(edges.select(F.col("u").alias("m"), F.col("v").alias("to")), "m", "left").select(F.col("u").alias("node"), F.coalesce("to", "m").alias("comp")), "join-components")
+    release(own, last)
+    return out, out
 
 
 def still_apart(postings: DataFrame, links: DataFrame) -> DataFrame:
