@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.lookup import intersection
+from tidemark.session import written
 
 TARGETS = ("goals_for", "goals_against", "y")
 
@@ -64,18 +64,22 @@ def select_and_fit(model: Model, train: DataFrame, target: str, season: str = "s
 
 
 def walk_forward(rows: DataFrame, models: dict[str, Model], some: Sequence[Fold], item: str, target: str, season: str = "season") -> DataFrame:
-    """model, fold, item, mean, target of every test row, for items that all models predict. Nothing but the training rows
-    of a fold reaches a fit, and targets are gone from what is predicted on."""
+    """model, fold, item, mean, target of every test row, for rows that all models predict; ``item`` is a key of ``rows``. Nothing
+    but the training rows of a fold reaches a fit, and a mean that needs a target is refused. The rows are written once, since every
+    fit reads them; the means of all models stand side by side in a row of them, so nothing is joined or sorted."""
+    rows = written(rows, "walk-forward")
     out = None
     for fold in some:
         train, test = rows.filter(fold.train(season)), rows.filter(fold.test(season))
-        blind = test.drop(*[t for t in TARGETS if t in test.columns])
-        for name, model in models.items():
-            mean, _ = select_and_fit(model, train, target, season)
-            part = blind.select(F.lit(name).alias("model"), F.lit(fold.valid).alias("fold"), item, mean.alias("mean"))
-            out = part if out is None else out.unionByName(part)
-    shared = intersection(out.filter("mean is not null"), item, "model", len(models))
-    return out.join(shared, item, "left_semi").join(rows.select(item, F.col(target).alias("target")), item)
+        blind = test.drop(*{t for t in (*TARGETS, target) if t in test.columns})
+        means = {name: select_and_fit(model, train, target, season)[0] for name, model in models.items()}
+        blind.select(*means.values())  # fails if one names a target
+        each = test.filter(F.col(item).isNotNull()).select(item, F.col(target).alias("target"), *(m.alias(f"__mean{k}") for k, m in enumerate(means.values())))
+        each = each.dropna(subset=[f"__mean{k}" for k in range(len(means))])
+        parts = F.array(*(F.struct(F.lit(name).alias("model"), F.col(f"__mean{k}").cast("double").alias("mean")) for k, name in enumerate(means)))
+        part = each.select(F.inline(parts), F.lit(fold.valid).alias("fold"), item, "target").select("model", "fold", item, "mean", "target")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def pooled(predictions: DataFrame) -> DataFrame:
