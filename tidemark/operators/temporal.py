@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def before(entity: Sequence[str], day: str, reach: int | None = None) -> W:
@@ -183,11 +187,59 @@ def regulars_missing(rows: DataFrame, entity: str, order: str, day: str, members
     return out.withColumn(name, F.when(F.size("__reg") > 0, absent / F.size("__reg"))).drop("__past", "__reg")
 
 
+def changes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Where a value differs from the one before it (nulls are equal); true at the first."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    here, there = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+    other = pc.fill_null(pc.not_equal(here, there), False).to_numpy(zero_copy_only=False)
+    gone = column.is_null().to_numpy(zero_copy_only=False)
+    return np.r_[np.ones(min(len(column), 1), bool), other | (gone[1:] != gone[:-1])]
+
+
+def rolling_means(batches: Iterator[pa.RecordBatch], keys: Sequence[str], day: str, values: dict[str, str], last: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rows in the order of ``keys`` and ``day`` with the mean, named by ``values``, of each value's last ``last`` of
+    earlier days. From one batch to the next go only the open key's last ``last`` values of earlier days and of the open day."""
+    end, held, now = None, {v: np.empty(0) for v in values}, {v: np.empty(0) for v in values}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        head = pa.Table.from_batches([batch.select([*keys, day])])
+        both = pa.concat_tables([end, head]) if end is not None else head
+        skip = 0 if end is None else 1
+        key = np.logical_or.reduce([changes(both[k]) for k in keys])[skip:]
+        new = key | changes(both[day])[skip:]
+        end = head.slice(batch.num_rows - 1)
+        at = np.arange(batch.num_rows)
+        first_of_key, first_of_day = (np.maximum.accumulate(np.where(x, at, -1)) for x in (key, new))
+        none = np.logical_or.reduce([batch.column(c).is_null().to_numpy(zero_copy_only=False) for c in (*keys, day)])
+        made = []
+        for v in values:
+            x, there = batch.column(v).to_numpy(zero_copy_only=False).astype(float), batch.column(v).is_valid().to_numpy(zero_copy_only=False)
+            # what has been carried, then what this batch has; count[i] is how many of those are before row i
+            known = np.concatenate([held[v], now[v], x[there]])
+            h, c = len(held[v]), len(held[v]) + len(now[v])
+            count = c + np.r_[0, np.cumsum(there)]
+            low = np.where(first_of_key < 0, 0, count[np.maximum(first_of_key, 0)])
+            high = np.where(first_of_day < 0, h, count[np.maximum(first_of_day, 0)])
+            total, n = np.zeros(batch.num_rows), np.minimum(high - low, last)
+            for k in range(1, last + 1):  # the newest first
+                has = high - k >= low
+                total[has] += known[high[has] - k]
+            made.append(pa.array(total / np.maximum(n, 1), mask=none | (n == 0)))
+            begin, open_, to = low[-1], high[-1], count[-1]
+            held[v], now[v] = known[max(begin, open_ - last) : open_], known[max(open_, to - last) : to]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *values.values()])
+
+
 def last_rows_mean(rows: DataFrame, keys: Sequence[str], day: str, order: str, values: Sequence[str], last: int) -> DataFrame:
-    """Means of the last ``last`` rows of earlier days, null values skipped."""
-    out = newest_before(rows, keys, day, [order], {f"__{v}": F.col(v).cast("double") for v in values}, last)
-    mean = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c))
-    return out.withColumns({f"{v}_last{last}": mean(f"__{v}") for v in values}).drop(*(f"__{v}" for v in values))
+    """Means of the last ``last`` rows of earlier days, null values skipped; null without any or where a key or the day is null.
+
+    Rows are dealt by ``keys`` and sorted once; the means are made in arrays of a batch while they pass. All columns of ``rows``
+    pass too, so drop before what isn't needed."""
+    made = {f"__v{k}": f"{v}_last{last}" for k, v in enumerate(values)}
+    sorted_ = rows.withColumns({c: F.col(v).cast("double") for c, v in zip(made, values, strict=True)}).repartition(*keys).sortWithinPartitions(*keys, day, order, *made)
+    kind = StructType([*(StructField(f.name, f.dataType) for f in sorted_.schema), *(StructField(name, DoubleType()) for name in made.values())])
+    return sorted_.mapInArrow(lambda batches: rolling_means(batches, keys, day, made, last), kind).drop(*made)
 
 
 def percentile_rank(rows: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:

@@ -198,6 +198,7 @@ p AS (SELECT a.match_id, a.team_id, b.points, b.goals_for, b.goals_against, b.xg
 SELECT match_id, team_id, round(p, 6) + 0.0 AS points_last10, round(f, 6) + 0.0 AS goals_for_last10, round(a, 6) + 0.0 AS goals_against_last10 FROM sides LEFT JOIN g USING (match_id, team_id)""")
 def w20_same_venue_form(spark, sf):
     rows = sides(spark, sf).withColumn("points", F.when(F.col("goals_for") > F.col("goals_against"), 3).when(F.col("goals_for") == F.col("goals_against"), 1).otherwise(0))
+    rows = rows.select("match_id", "team_id", "is_home", "day", "points", "goals_for", "goals_against")
     got = T.last_rows_mean(rows, ["team_id", "is_home"], "day", "match_id", ["points", "goals_for", "goals_against"], 10)
     return got.select("match_id", "team_id", *(r6(c).alias(c) for c in ("points_last10", "goals_for_last10", "goals_against_last10")))
 
@@ -205,7 +206,7 @@ def w20_same_venue_form(spark, sf):
 @query(_last(5, "AND b.xg IS NOT NULL") + """, g AS (SELECT match_id, team_id, avg(xg) AS x FROM p WHERE rk <= 5 GROUP BY ALL)
 SELECT match_id, team_id, round(x, 6) + 0.0 AS xg_last5 FROM sides LEFT JOIN g USING (match_id, team_id)""")
 def w21_same_venue_xg(spark, sf):
-    rows = sides(spark, sf).withColumn("xg", F.when(F.col("goals_for") != 4, F.col("goals_for")))
+    rows = sides(spark, sf).withColumn("xg", F.when(F.col("goals_for") != 4, F.col("goals_for"))).select("match_id", "team_id", "is_home", "day", "xg")
     return T.last_rows_mean(rows, ["team_id", "is_home"], "day", "match_id", ["xg"], 5).select("match_id", "team_id", r6("xg_last5").alias("xg_last5"))
 
 
