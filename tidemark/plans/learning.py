@@ -11,6 +11,7 @@ from tidemark.models import calibrate, dependence, glm, groups, scores, trees
 from tidemark.models.design import Design
 from tidemark.operators import protocol, stats
 from tidemark.plans.base import MATCHES, matches, query, r6, table
+from tidemark.session import written
 
 
 def rows_of(spark, sf):
@@ -150,7 +151,7 @@ def l08_rho(spark, sf):
 @query()
 def l13_score_model(spark, sf):
     """Attack and defence of every side, home advantage and dependence, weights halving in about two years."""
-    played = matches(spark, sf).filter("status = 'played'")
+    played = contests_once(spark, sf).filter("status = 'played'")
     model = scores.fit(played, [0.001], tolerance=1e-2)
     gamma, rho = (round(float(v), 4) for v in model.shared[0])
     return model.strengths.select("side", F.round("attack0", 3).alias("attack"), F.round("defence0", 3).alias("defence"), F.lit(gamma).alias("gamma"), F.lit(rho).alias("rho"))
@@ -159,10 +160,15 @@ def l13_score_model(spark, sf):
 GRID = (0.0, 0.001, 0.002, 0.005, 0.01)
 
 
+def contests_once(spark, sf):
+    """What the score model reads of contests, written once: the search, the fit, the losses and the histories read it again."""
+    return written(matches(spark, sf).select("match_id", "day", "home_id", "away_id", "home_goals", "away_goals", "status"), "contests")
+
+
 @query()
 def g03_decay_search(spark, sf):
     """Losses of five decays on the contests of the last seasons, all fitted in one go, and which is chosen."""
-    played = matches(spark, sf).filter("status = 'played'")
+    played = contests_once(spark, sf).filter("status = 'played'")
     found, best, _ = scores.decay_search(played, GRID, 365 * 3, steps=6)
     return spark.createDataFrame([(xi, round(loss, 5), k == best) for k, (xi, loss) in enumerate(found)], "decay double, loss double, chosen boolean")
 
@@ -170,7 +176,7 @@ def g03_decay_search(spark, sf):
 @query()
 def g05_exact_scores(spark, sf):
     """Outcomes of the contests still to come, null with the reason where a side has played fewer than five before."""
-    both = matches(spark, sf)
+    both = contests_once(spark, sf)
     played = both.filter("status = 'played'")
     got = scores.exact_scores(scores.fit(played, [0.001], tolerance=1e-2), both.filter("status <> 'played'").select("match_id", "home_id", "away_id", "day"), played)
     o = prob.outcomes(F.col("joint"))
