@@ -139,6 +139,24 @@ def corrected_summary(lh: Column, la: Column, rho: Column, size: int) -> Column:
     return summary(lh.cast("double"), la.cast("double"), rho.cast("double"))
 
 
+def corrected_outcomes(lh: Column, la: Column, rho: Column, size: int) -> Column:
+    """``outcomes`` of ``corrected_joint``, whose cells are only made in arrays of a batch; nulls give nulls, as do rates so
+    large that no cell has any mass."""
+    names = ("home", "draw", "away")
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def sums(lh: pd.Series, la: pd.Series, rho: pd.Series) -> pd.DataFrame:
+        parts = [np.empty((0, len(names)))]
+        for i in range(0, len(lh), 4096):
+            p = _corrected(*(s.iloc[i : i + 4096].to_numpy(float) for s in (lh, la, rho)), size)
+            some = np.column_stack([np.tril(p, -1).sum(axis=(1, 2)), np.trace(p, axis1=1, axis2=2), np.triu(p, 1).sum(axis=(1, 2))])
+            mass = some.sum(axis=1, keepdims=True)
+            parts.append(np.divide(some, mass, out=np.full_like(some, np.nan), where=mass > 0))
+        return pd.DataFrame(np.concatenate(parts), columns=list(names))
+
+    return sums(lh.cast("double"), la.cast("double"), rho.cast("double"))
+
+
 def cdf(pmf: Column) -> Column:
     return let(pmf, lambda p: F.transform(p, lambda _, i: total(F.slice(p, 1, i + 1))))
 

@@ -178,9 +178,12 @@ def g05_exact_scores(spark, sf):
     """Outcomes of the contests still to come, null with the reason where a side has played fewer than five before."""
     both = contests_once(spark, sf)
     played = both.filter("status = 'played'")
-    got = scores.exact_scores(scores.fit(played, [0.001], tolerance=1e-2), both.filter("status <> 'played'").select("match_id", "home_id", "away_id", "day"), played)
-    o = prob.outcomes(F.col("joint"))
-    return got.withColumn("o", F.when(F.col("joint").isNotNull(), o)).select("match_id", "home_games", "away_games", "refused", F.round("home_rate", 3).alias("home_rate"), *(F.round(f"o.{k}", 3).alias(k) for k in ("home", "draw", "away")))
+    model = scores.fit(played, [0.001], tolerance=1e-2)
+    got = scores.exact_scores(model, both.filter("status <> 'played'").select("match_id", "home_id", "away_id", "day"), played)
+    # the outcomes alone are asked for: the joint distributions, of 121 cells each, need not be rows
+    o = prob.corrected_outcomes(F.col("home_rate"), F.col("away_rate"), F.lit(float(model.shared[0, -1])), 11)
+    got = got.select("match_id", "home_games", "away_games", "refused", "home_rate", "away_rate").withColumn("o", F.when(F.col("refused").isNull(), o))
+    return got.select("match_id", "home_games", "away_games", "refused", F.round("home_rate", 3).alias("home_rate"), *(F.round(f"o.{k}", 3).alias(k) for k in ("home", "draw", "away")))
 
 
 #: 576 settings: step, home advantage, regression between seasons, margins, gap of the second level.
