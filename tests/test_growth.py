@@ -2,16 +2,19 @@
 
 import math
 import random
+import re
 import time
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import prob
-from tidemark.llm import ngramjoin
+from tidemark.llm import bpe, common, ngramjoin, packing
+from tidemark.llm import quality as llm_quality
 from tidemark.operators import lookup, protocol, quality, ratings, resolve, stats, temporal
 from tidemark.plans import base, learning
 
@@ -211,3 +214,68 @@ def test_score_queries_read_contests_once(spark, sf, monkeypatch):
         made.clear()
         plan = getattr(learning, name)(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert len(made) == 1 and "l_orderkey" not in plan
+
+
+def test_quality_broadcasts_are_as_large_as_their_rows(spark, sf, monkeypatch):
+    """Check of pipeline: a table broadcast by a key that isn't one long holds a whole memory page in each executor."""
+    plans, keep = [], llm_quality.saved
+    monkeypatch.setattr(llm_quality, "saved", lambda df, name: plans.append(df) or keep(df, name))
+    plans.append(llm_quality.keep_good(spark.read.parquet(f"{sf}/documents.parquet")))
+    text = "\n".join(p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    keys = re.findall(r"HashedRelationBroadcastMode\(List\((.*?)\),", text)
+    assert len(keys) >= 8
+    assert {re.sub(r"input\[\d+, (\w+), \w+\]", r"\1", k) for k in keys} == {"bigint"}
+
+
+def test_star_tables_have_files_by_their_rows(spark, monkeypatch):
+    """Check of pipeline: the few links of a round of stars were written as one file for each shuffle partition."""
+    files, keep = [], ngramjoin.saved
+
+    def counted(df, name):
+        out = keep(df, name)
+        files.append((name, len(out.inputFiles()), out.count()))
+        return out
+
+    monkeypatch.setattr(ngramjoin, "saved", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20] + [(100, 7), (100, 45)], "a long, b long")
+        got, _ = ngramjoin.components(df)
+        assert {r["comp"] for r in got.collect()} == {1, 21}
+        stars = [x for x in files if x[0] == "join-stars"][1:]
+        assert stars and all(x[1] == 1 for x in stars)
+        monkeypatch.setattr(ngramjoin, "STARS_A_FILE", 1)
+        files.clear()
+        assert {r["comp"] for r in ngramjoin.components(df)[0].collect()} == {1, 21}
+        assert max(x[1] for x in files if x[0] == "join-stars") > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_workers_forget_the_encoder_of_another_step(spark):
+    """Check of pipeline: workers that packing had used held its encoder and chunks while the next stages ran."""
+    docs = spark.createDataFrame([(i, f"some words {i} of text") for i in range(400)], "doc_id long, text string").repartition(8)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.pieces(docs, path).count() == 400
+
+    def held(batch):
+        return pa.RecordBatch.from_arrays([pa.array([bpe.encoder.cache_info().currsize])], ["n"])
+
+    assert sum(r["n"] for r in common.map_arrow(docs, held, "n bigint", keeps="bpe").collect()) > 0
+    assert sum(r["n"] for r in common.map_arrow(docs, held, "n bigint").collect()) == 0
+    assert packing.pieces(docs, path).count() == 400
+
+
+def test_near_labels_after_each_number_of_hops(spark):
+    """Check of pipeline: only labels that have changed are told again, and every label is the least within so many links."""
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(12)] + [(r.randrange(20, 90), r.randrange(20, 90)) for _ in range(80)] + [(100, 200 + i) for i in range(30)]
+    links = [(a, b) for a, b in links if a != b]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    df, want = spark.createDataFrame(links, "a long, b long"), {x: x for x in near}
+    for hops in range(1, 5):
+        want = {x: min(want[y] for y in near[x]) for x in near}
+        assert {x["node"]: x["comp"] for x in ngramjoin.near_labels(df, hops).collect()} == want

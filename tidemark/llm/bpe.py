@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from tidemark.llm.common import as_bytes, map_arrow, table
+from tidemark.llm.common import KEPT, as_bytes, map_arrow, table
 
 #: Entries of a worker's chunk cache, and bytes of chunks in it, before it starts anew.
 CACHE_CHUNKS, CACHE_BYTES = 600_000, 1 << 25
@@ -226,6 +226,9 @@ def encoder(path: str, kinds: tuple[str, str, str], named: bool = True) -> Encod
     return Encoder(path, kinds, named)
 
 
+KEPT["bpe"] = encoder.cache_clear
+
+
 def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with ``ids`` (array of long) and ``decoded`` of every text."""
     fields, kinds = {f.name: f.dataType.simpleString() for f in df.schema}, classes()
@@ -238,7 +241,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
 
     names = list(dict.fromkeys([*keep, text]))
     schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keep), "ids array<bigint>", "decoded string"])
-    return map_arrow(df.select(*names), run, schema)
+    return map_arrow(df.select(*names), run, schema, keeps="bpe")
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
@@ -252,7 +255,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_arrow(df.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(df.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", keeps="bpe")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

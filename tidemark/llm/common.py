@@ -95,11 +95,24 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType, rows: int = 512) -> DataFrame:
-    """``mapInArrow`` of a function of one small batch. Columns may have any names: Spark sees numbered ones."""
+#: What operators keep in a Python worker from task to task, by name: how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def forget(but: str = "") -> None:
+    """Let go of what other operators have kept in this worker: Spark reuses workers, and all that they hold adds up."""
+    for name, clear in KEPT.items():
+        if name != but:
+            clear()
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType, rows: int = 512, keeps: str = "") -> DataFrame:
+    """``mapInArrow`` of a function of one small batch. Columns may have any names: Spark sees numbered ones. keeps: what of
+    ``KEPT`` the function uses; the rest is dropped."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         for batch in slices(batches, rows):
             out = fn(batch.rename_columns(names))
             yield from (out.to_batches() if isinstance(out, pa.Table) else [out])

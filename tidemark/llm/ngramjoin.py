@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, free_name, map_arrow, release, saved, slices, table
+from tidemark.llm.common import as_bytes, forget, free_name, map_arrow, release, saved, slices, table
 
 FREQUENT = 256
 LISTED = 16
@@ -41,6 +41,8 @@ PAIR_SIZE = 200
 #: Bits of a sketch at least; sets with more tokens have as many, rounded up to a power of two.
 SKETCH = 512
 CHUNK_DOCS = 4096
+#: Rows of a star table for each of its files: they are few, whatever the number of shuffle partitions.
+STARS_A_FILE = 100_000
 #: Ways to choose the two members that all others of a key meet first.
 TURNS = 16
 SPACE = np.zeros(256, bool)
@@ -128,6 +130,7 @@ def read(docs: DataFrame, width: int) -> DataFrame:
     documents of a chunk share and their counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[np.ndarray] = []
         docs_held = 0
 
@@ -239,12 +242,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
 def near_labels(links: DataFrame, hops: int = 3) -> DataFrame:
     """node, comp: the least node within so many links. Nodes of one label are in one component, not the other way round."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+    label = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")).withColumn("was", F.col("u"))
     for _ in range(hops - 1):
-        # u has a label of least(u, v) at most already: the stars of a key's least member have nothing to tell
-        told = label.select(F.col("u").alias("from"), "m")
-        seen = both.join(told, (F.col("v") == F.col("from")) & (F.col("m") < F.least("u", "v"))).select("u", "m").unionByName(label)
-        label = seen.groupBy("u").agg(F.min("m").alias("m"))
+        # u has a label of least(u, v) at most already: the stars of a key's least member have nothing to tell; nor have those
+        # whose label is what they told before
+        told = label.filter("m < was").select(F.col("u").alias("from"), "m")
+        seen = both.join(told, (F.col("v") == F.col("from")) & (F.col("m") < F.least("u", "v"))).select("u", "m", F.lit(None).cast("long").alias("was"))
+        label = seen.unionByName(label.select("u", "m", F.col("m").alias("was"))).groupBy("u").agg(F.min("m").alias("m"), F.min("was").alias("was"))
     return label.select(F.col("u").alias("node"), F.col("m").alias("comp"))
 
 
@@ -262,18 +266,20 @@ def merged(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def components(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """node, comp (its component's least node) of every node of ``links`` (a, b), by alternating large and small stars over what
     remains once each node has gone to its least neighbour; and the saved table to release."""
+    sums = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     own, last = merged(links)
-    before, edges = None, last
-    while True:
+    before, edges = last.agg(*sums).first(), last
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v")
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        edges = saved(small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "join-stars")
+        edges = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        edges = saved(edges.coalesce(-(-before[0] // STARS_A_FILE)), "join-stars")
         release(last)
         last = edges
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = edges.agg(*sums).first()
         if now == before:
             break
         before = now

@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH) ->
         return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, names)
 
     salted = docs.select("doc_id", "text", F.xxhash64("doc_id", F.length("text"), F.lit("pack")).alias("salt"))
-    return map_arrow(salted, run, PIECES)
+    return map_arrow(salted, run, PIECES, keeps="bpe")
 
 
 def pack(found: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:

@@ -106,22 +106,28 @@ def vector() -> list[Column]:
 P = len(FLOOR)
 X = [f"__x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-PARAMS = "__g string, mu array<double>, inv array<double>"
+
+
+def with_kind(df: DataFrame, others: str) -> str:
+    """A schema of ``__g``, as ``df`` has it, and ``others``."""
+    return f"__g {df.schema['__g'].dataType.simpleString()}, {others}"
 
 
 def grouped(stats: DataFrame, min_group: int) -> tuple[DataFrame, bool]:
-    """``stats`` with the group ``__g`` whose estimate judges the row, and whether groups are few enough to broadcast."""
+    """``stats`` with the group ``__g`` whose estimate judges the row, and whether groups are few enough to broadcast. Groups are
+    64-bit hashes: a broadcast table of one long key is as large as its rows, one of any other key holds a whole memory page
+    (16 MB and more) in every executor until the driver collects garbage, and a query broadcasts a dozen."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source"))
-    keyed = stats.withColumn("__l", lang).withColumn("__s", source)
+    keyed = stats.withColumn("__l", F.xxhash64(lang)).withColumn("__s", F.xxhash64(lang, source))
     sizes = keyed.groupBy("__l", "__s").agg(F.count("*").alias("__n"), F.count_if(~F.col("base_failed")).alias("__ok"))
     sizes = saved(sizes, "quality-sizes")
     few = sizes.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     small = sizes.filter(F.col("__ok") < min_group)
     pool = small.groupBy("__l").agg(F.sum("__ok").alias("__pool"))
     named = sizes.join(pool, "__l", "left").withColumn(
-        "__g", F.when(F.col("__ok") >= min_group, F.to_json(F.array("__l", "__s"))).when(F.col("__pool") >= min_group, F.to_json(F.array("__l"))).otherwise("[]")
+        "__g", F.when(F.col("__ok") >= min_group, F.col("__s")).when(F.col("__pool") >= min_group, F.col("__l")).otherwise(F.lit(0).cast("long"))
     )
-    return with_group(keyed, named.select("__l", "__s", "__g"), ["__l", "__s"], few).drop("__l", "__s"), few
+    return with_group(keyed, named.select("__s", "__g"), ["__s"], few).drop("__l", "__s"), few
 
 
 def estimate(total: np.ndarray) -> tuple[list[float], list[float]]:
@@ -143,7 +149,7 @@ def first_estimate(good: DataFrame, few: bool = False) -> DataFrame:
             at = np.searchsorted(rows["n"].cumsum().to_numpy(), rows["n"].sum() / 2)
             return pd.DataFrame({"__g": [key[0]], "k": [key[1]], "m": [(rows["bin"].iloc[at] + 0.5) / fine]})
 
-        return counts.groupBy("__g", "k").applyInPandas(run, "__g string, k int, m double")
+        return counts.groupBy("__g", "k").applyInPandas(run, with_kind(counts, "k int, m double"))
 
     long = good.select("__g", F.posexplode(F.array(*X)).alias("k", "x"))
     middle = median(long.groupBy("__g", "k", F.floor(F.col("x") * fine).alias("bin")).agg(F.count("*").alias("n")))
@@ -184,7 +190,7 @@ def concentrate(good: DataFrame, params: DataFrame, share: float, few: bool = Fa
         mu, inv = estimate(rows[MOMENTS].to_numpy()[:upto].sum(axis=0))
         return pd.DataFrame({"__g": [key[0]], "mu": [mu], "inv": [inv]})
 
-    return binned(good, params, few).groupBy("__g").applyInPandas(run, PARAMS)
+    return binned(good, params, few).groupBy("__g").applyInPandas(run, with_kind(params, "mu array<double>, inv array<double>"))
 
 
 def scaled(good: DataFrame, params: DataFrame, min_group: int, few: bool) -> DataFrame:
@@ -197,7 +203,7 @@ def scaled(good: DataFrame, params: DataFrame, min_group: int, few: bool) -> Dat
         factor = max(1.0, 2 ** ((rows["bin"].iloc[at] + 1) / 8) / MEDIAN)
         return pd.DataFrame({"__g": [key[0]], "cut": [CUTOFF * factor if n >= min_group else math.inf]})
 
-    return params.join(binned(good, params, few).groupBy("__g").applyInPandas(run, "__g string, cut double"), "__g")
+    return params.join(binned(good, params, few).groupBy("__g").applyInPandas(run, with_kind(params, "cut double")), "__g")
 
 
 def judged(stats: DataFrame, share: float = SHARE, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
